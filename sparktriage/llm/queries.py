@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import ORACLE as OP1_SQL
 from .decontaminate import op1_decontaminate
+from .pieces import op6_pieces
 from .quality import op9_quality
 from .simhash import op8_simhash
 from .suffix_dedup import op2_suffix_dedup
@@ -12,6 +13,7 @@ from .suffix_dedup import op2_suffix_dedup
 QUERIES = {
     "op1_decontaminate": lambda spark, d: op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_suffix_dedup": lambda spark, d: op2_suffix_dedup(table(spark, d, "documents")),
+    "op6_pieces": lambda spark, d: op6_pieces(table(spark, d, "documents")),
     "op8_simhash": lambda spark, d: op8_simhash(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
