@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE as OP3_SQL
+from .chat import op3_chat
 from .common import table
 from .decontaminate import ORACLE as OP1_SQL
 from .decontaminate import op1_decontaminate
+from .mtree import ORACLE as OP4_SQL
+from .mtree import op4_topk
 from .pieces import op6_pieces
 from .quality import op9_quality
 from .simhash import op8_simhash
@@ -13,9 +17,11 @@ from .suffix_dedup import op2_suffix_dedup
 QUERIES = {
     "op1_decontaminate": lambda spark, d: op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_suffix_dedup": lambda spark, d: op2_suffix_dedup(table(spark, d, "documents")),
+    "op3_chat": lambda spark, d: op3_chat(spark, table(spark, d, "conversations")),
+    "op4_topk": lambda spark, d: op4_topk(table(spark, d, "embeddings")),
     "op6_pieces": lambda spark, d: op6_pieces(table(spark, d, "documents")),
     "op8_simhash": lambda spark, d: op8_simhash(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
