@@ -7,19 +7,23 @@ from .chat import op3_chat
 from .common import table
 from .decontaminate import ORACLE as OP1_SQL
 from .decontaminate import op1_decontaminate
+from .language import op5_language
 from .mtree import ORACLE as OP4_SQL
 from .mtree import op4_topk
 from .pieces import op6_pieces
 from .quality import op9_quality
 from .simhash import op8_simhash
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontaminate": lambda spark, d: op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_suffix_dedup": lambda spark, d: op2_suffix_dedup(table(spark, d, "documents")),
     "op3_chat": lambda spark, d: op3_chat(spark, table(spark, d, "conversations")),
     "op4_topk": lambda spark, d: op4_topk(table(spark, d, "embeddings")),
+    "op5_language": lambda spark, d: op5_language(table(spark, d, "documents")),
     "op6_pieces": lambda spark, d: op6_pieces(table(spark, d, "documents")),
+    "op7_toxicity": lambda spark, d: op7_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_simhash": lambda spark, d: op8_simhash(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
