@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy, with thresholds calibrated by inferred language.
 
-Words hash to rows of an embedding table; filters of several widths slide over the whole text, each gives its maximum
+Words hash to buckets; a bucket that enough training texts hold has a row of an embedding table, all others share row 0,
+which stays zero, so a rare word is no evidence. Filters of several widths slide over the whole text, each gives its maximum
 (through a rectifier), a logistic layer reads the maxima. Scoring folds embeddings and filters into one table for each offset
 of a filter, so a position costs a gather and a sum. A naive Bayes over the same hashed words infers the language of a
 text, from text alone; on a part of the training rows each language gets the threshold of best F1, and scores are stretched
@@ -25,17 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, labelled_sample
 
-MAX_TRAIN = 9_000
+MAX_TRAIN = 16_000
 THRESHOLD = 0.7
-BITS, DIM, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
-PAD = 1 << BITS
-EPOCHS, BATCH = 6, 48
+BITS, DIM, FILTERS, WIDTHS = 20, 8, 8, (1, 2, 3)
+PAD = 0
+EPOCHS, BATCH = 10, 48
+DROPOUT, DECAY, SHARE = 0.3, 2e-3, 0.002
 FEW = 15
 _WORD = re.compile(r"[^\W_]+")
 
 
 class _Rows(dict):
-    """word -> row of the embedding table."""
+    """word -> bucket."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
@@ -54,13 +56,14 @@ def word_rows(text: str | None) -> np.ndarray:
 
 @dataclass
 class TextCNN:
+    index: np.ndarray  # bucket -> row
     emb: np.ndarray
     filters: dict[int, np.ndarray]  # width -> (width, DIM, FILTERS)
     shift: dict[int, np.ndarray]
     out: np.ndarray
     bias: float
     languages: list[str] = field(default_factory=list)
-    lang_log: np.ndarray | None = None  # (PAD + 1) x languages
+    lang_log: np.ndarray | None = None  # rows x languages
     cuts: list[float] = field(default_factory=list)
     cut: float = THRESHOLD
     tables: dict | None = None
@@ -117,23 +120,35 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2, 0.02, 0.98))
 
 
+def _in_parts(m: TextCNN, docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([m.raw([docs[i] for i in part]) for part in np.array_split(rows, max(1, len(rows) // 64)) if len(part)])
+
+
 def fit_cnn(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: int = 11) -> TextCNN:
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.3, (PAD + 1, DIM)).astype(np.float32)
+    n, pos = len(y), float(y.sum())
+    held = np.zeros(1 << BITS, np.int32)  # texts that hold a bucket
+    for d in docs:
+        held[np.unique(d)] += 1
+    kept = np.flatnonzero(held >= max(4, SHARE * n))
+    index = np.zeros(1 << BITS, np.int32)
+    index[kept] = np.arange(1, len(kept) + 1)
+    docs = [index[d] for d in docs]
+    emb = rng.normal(0, 0.3, (len(kept) + 1, DIM)).astype(np.float32)
     emb[PAD] = 0
     filters = {w: rng.normal(0, (1.0 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     shift = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
     out = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
-    n, pos = len(y), float(y.sum())
     prior = (pos + 1) / (n + 2)
-    m = TextCNN(emb, filters, shift, out, float(np.log(prior / (1 - prior))))
+    m = TextCNN(index, emb, filters, shift, out, float(np.log(prior / (1 - prior))))
     if n < 40 or pos == 0 or pos == n:
         m.out[:] = 0
         m.cut = min(max(prior + (0.01 if pos == 0 else -0.01), 0.01), 0.99) if pos in (0, n) else THRESHOLD
         m.fold()
         return m
     fold = rng.permutation(n) % 4 == 0  # the part that calibrates
-    train = np.flatnonzero(~fold)
+    train, cal = np.flatnonzero(~fold), np.flatnonzero(fold)
+    least, best = np.inf, None
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in [("emb", emb), ("out", out), *[(f"f{w}", filters[w]) for w in WIDTHS], *[(f"s{w}", shift[w]) for w in WIDTHS]]}
     step = 0
     for epoch in range(EPOCHS):
@@ -142,36 +157,48 @@ def fit_cnn(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed
             m.fold()
             part = [docs[i] for i in rows]
             feats, places, flat, start, size = m.maxima(part)
+            on = (rng.random(feats.shape) >= DROPOUT) / np.float32(1 - DROPOUT)
+            feats = (feats * on).astype(np.float32)
             p = 1 / (1 + np.exp(-np.clip(feats @ m.out + m.bias, -30, 30)))
             d = ((p - y[rows]) / len(rows)).astype(np.float32)
-            rate = 0.02 * 0.7**epoch
-            grads = {"out": feats.T @ d + 1e-4 * m.out, "emb": np.zeros_like(emb)}
-            back = (d[:, None] * m.out[None, :]) * (feats > 0)
+            rate = 0.01 * 0.85**epoch
+            grads = {"out": feats.T @ d + 1e-4 * m.out, "emb": DECAY * emb / len(emb)}
+            back = (d[:, None] * m.out[None, :]) * on * (feats > 0)
             for k, w in enumerate(WIDTHS):
                 a, top = places[k]
                 g = back[:, k * FILTERS : (k + 1) * FILTERS]
                 grads[f"s{w}"], gf = g.sum(0), np.zeros_like(filters[w])
-                for i, c in zip(*np.nonzero(g), strict=True):
-                    at = start[i] + int(a[start[i] : start[i] + size[i] - w + 1, c].argmax())
-                    for j in range(w):
-                        row = flat[at + j]
-                        gf[j, :, c] += g[i, c] * emb[row]
-                        grads["emb"][row] += g[i, c] * filters[w][j, :, c]
+                own = np.repeat(np.arange(len(part)), size)[: len(a)]
+                at, c = np.nonzero(a == top[own])
+                i = own[at]
+                _, first = np.unique(i * FILTERS + c, return_index=True)  # the first place of each maximum
+                at, c, i = at[first], c[first], i[first]
+                live = np.flatnonzero(g[i, c])
+                at, c, by = at[live], c[live], g[i[live], c[live]][:, None]
+                for j in range(w):
+                    row = flat[at + j]
+                    np.add.at(gf[j].T, c, by * emb[row])
+                    np.add.at(grads["emb"], row, by * filters[w][j, :, c])
                 grads[f"f{w}"] = gf
             grads["emb"][PAD] = 0
             for k, v in [("emb", emb), ("out", m.out), *[(f"f{w}", filters[w]) for w in WIDTHS], *[(f"s{w}", shift[w]) for w in WIDTHS]]:
                 _adam(v, grads[k], state[k], rate, step)
             m.bias -= rate * float(d.sum())
+        m.fold()
+        p = _in_parts(m, docs, cal)
+        loss = -float(np.mean(np.where(y[cal] > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
+        if loss < least:
+            least, best = loss, (emb.copy(), {w: f.copy() for w, f in filters.items()}, {w: f.copy() for w, f in shift.items()}, m.out.copy(), m.bias)
+    m.emb, m.filters, m.shift, m.out, m.bias = best
     m.fold()
     m.languages = sorted({x for x in langs if x is not None})
     if m.languages:
-        count = np.full((PAD + 1, len(m.languages)), 0.2)
+        count = np.full((len(emb), len(m.languages)), 0.2)
         for doc, lang in zip(docs, langs, strict=True):
             if lang is not None:
                 np.add.at(count[:, m.languages.index(lang)], doc, 1.0)
         m.lang_log = np.log(count / count.sum(0)).astype(np.float32)
-    cal = np.flatnonzero(fold)
-    p = np.concatenate([m.raw([docs[i] for i in part]) for part in np.array_split(cal, max(1, len(cal) // 64))])
+    p = _in_parts(m, docs, cal)
     own = np.array([m.language(docs[i]) for i in cal])
     m.cut = _best_cut(p, y[cal]) if y[cal].any() else THRESHOLD
     m.cuts = [_best_cut(p[own == i], y[cal][own == i]) if y[cal][own == i].sum() >= FEW else m.cut for i in range(len(m.languages))]
@@ -186,12 +213,12 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [word_rows(x).astype(np.uint16).tobytes() for x in b.column(3).to_pylist()]
+            raw = [word_rows(x).tobytes() for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], ["doc_id", "__y", "lang", "rows"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     got = chosen.select("doc_id", "__y", "lang", "text").mapInArrow(hashed, f"doc_id {kind}, __y double, lang string, rows binary").toPandas().sort_values(["doc_id", "__y", "lang"], kind="stable")
-    docs = [np.frombuffer(x, np.uint16).astype(np.int32) for x in got["rows"]]
+    docs = [np.frombuffer(x, np.int32) for x in got["rows"]]
     return fit_cnn(docs, got["__y"].to_numpy(np.float32), [x if isinstance(x, str) else None for x in got["lang"]])
 
 
@@ -203,7 +230,7 @@ def score_toxicity(documents: DataFrame, model: TextCNN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            docs = [word_rows(x) for x in b.column(1).to_pylist()]
+            docs = [m.index[word_rows(x)] for x in b.column(1).to_pylist()]
             score, lo, total = [], 0, 0
             for i, d in enumerate(docs):
                 total += len(d) + len(WIDTHS)
