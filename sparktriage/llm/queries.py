@@ -14,6 +14,7 @@ from .pieces import op6_pieces
 from .quality import op9_quality
 from .simhash import op8_simhash
 from .suffix_dedup import op2_suffix_dedup
+from .tokenfile import op10_token_ids
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_pieces": lambda spark, d: op6_pieces(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: op7_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_simhash": lambda spark, d: op8_simhash(table(spark, d, "documents")),
+    "op10_token_ids": lambda spark, d: op10_token_ids(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
