@@ -16,7 +16,7 @@ overlapping repeats inside a document count; strings are judged on the input; ex
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from .suffix_sort import Suffixes, powers, prefix_hashes
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 20
-GROUP = 2000
+GROUP = 20_000
 _DIGEST = xxhash.xxh3_64_intdigest
 
 
@@ -182,6 +182,17 @@ def repeats_in_group(spans: list[tuple[bytes, int, int]], length: int) -> list[l
             x = at[x]
         return x
 
+    levels = [np.array(back)]  # minima over 1, 2, 4 ... neighbours
+    while 2 << len(levels) - 1 < n:
+        half, low = 1 << len(levels) - 1, levels[-1]
+        levels.append(np.minimum(low[:-half], low[half:]))
+    levels = [x.tolist() for x in levels]
+
+    def between(a: int, b: int) -> int:
+        """Common prefix, backwards, of the spans of ranks a < b."""
+        j = (b - a).bit_length() - 1
+        return min(levels[j][a], levels[j][b - (1 << j)])
+
     for e, k in sorted(((e, k) for k, e in enumerate(ahead)), key=lambda p: -p[0]):
         a, b = root(k), root(k + 1)
         if len(sets[a]) > len(sets[b]):
@@ -190,10 +201,15 @@ def repeats_in_group(spans: list[tuple[bytes, int, int]], length: int) -> list[l
         for r in small:
             i = bisect_left(big, r)
             if i:
-                meet(by_left[r], by_left[big[i - 1]], e, min(back[big[i - 1] : r]))
+                meet(by_left[r], by_left[big[i - 1]], e, between(big[i - 1], r))
             if i < len(big):
-                meet(by_left[r], by_left[big[i]], e, min(back[r : big[i]]))
-        sets[b] = sorted(big + small)
+                meet(by_left[r], by_left[big[i]], e, between(r, big[i]))
+        if len(small) < 8:
+            for r in small:
+                insort(big, r)
+        else:
+            big += small
+            big.sort()
         sets[a] = []
         at[a] = b
     return found
