@@ -1,7 +1,8 @@
 """Exact removal of repeated byte strings: a suffix sort dealt out over the cluster by content.
 
 Every 200-byte string of a text has one anchor, the k-gram of least hash inside it, so equal strings have equal anchors at
-equal places. Neighbouring strings with the same anchor form one span. Spans are dealt by anchor:
+equal places. Neighbouring strings with the same anchor form one span. Copies of a span inside a batch are known before the shuffle:
+one stands for them. The rest are dealt by anchor:
 - spans of one anchor that are wholly equal repeat in full;
 - where an anchor has spans that differ (the edges of repeats), one of each kind is fetched and the group's suffixes from
   the anchor and the reversed prefixes before it are sorted by hash comparison (suffix_sort). Merging neighbours of the
@@ -83,6 +84,7 @@ def _spans(length: int, gram: int):
             if not len(text) or text.buffers()[2] is None:
                 continue
             raw = np.frombuffer(text.buffers()[2], np.uint8)
+            found = []
             for lo, hi, start in _pieces(offsets, length):
                 stop = min(offsets[hi], start + PIECE + length - 1) if hi == lo + 1 else offsets[hi]
                 data = raw[start:stop]
@@ -94,12 +96,18 @@ def _spans(length: int, gram: int):
                 same = np.fromiter([_DIGEST(view[s:e]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64, len(first))
                 same = _mixed(same ^ (at - first).astype(np.uint64))
                 row = lo + np.searchsorted(offsets[lo + 1 : hi + 1], first + start, side="right")
-                place = (first + start - offsets[row]) << 16 | (count - 1) << 8 | (at - first)
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(same.view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array(place)],
-                    ["anchor", "same", "doc_id", "hash", "place"],
-                )
+                found.append((anchor, same, row, (first + start - offsets[row]) << 16 | (count - 1) << 8 | (at - first)))
+            if not found:
+                continue
+            anchor, same, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((same, anchor))  # copies within the batch: one stands for them, the others are told and dealt anywhere
+            again = np.r_[False, (anchor[order][1:] == anchor[order][:-1]) & (same[order][1:] == same[order][:-1])]
+            kind = np.zeros(len(order), np.int32)
+            kind[order] = np.where(again, 1, np.where(np.r_[again[1:], False], 4, 0))
+            deal = np.where(kind == 1, _mixed(anchor ^ place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ row.astype(np.uint64) << np.uint64(20)), anchor)
+            pick = pa.array(row)
+            cols = [pa.array(deal.view(np.int64)), pa.array(same.view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array(place), pa.array(kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "same", "doc_id", "hash", "place", "kind"])
 
     return run
 
@@ -113,21 +121,30 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(a)])
+        many = (size > 1) | np.logical_or.reduceat(t.column("kind").to_numpy() == 4, first)
         heads = a[first]
         mixed = np.r_[heads[0] == before if before is not None else False, heads[1:] == heads[:-1]] | np.r_[heads[:-1] == heads[1:], heads[-1] == after if after is not None else False]
-        full = np.flatnonzero(np.repeat(size > 1, size) & ~told)
-        rep, lone = first[mixed], (size == 1)[mixed]
+        full = np.flatnonzero(np.repeat(many, size) & ~told)
+        rep, lone = first[mixed], ~many[mixed]
         pick = np.r_[full, rep]
         kind = np.r_[np.ones(len(full), np.int32), np.where(lone, 3, 2).astype(np.int32)]
         out = t.take(pa.array(pick)).combine_chunks()
         cols = [out.column(c).combine_chunks() for c in ("anchor", "doc_id", "hash", "place")]
         return pa.RecordBatch.from_arrays([*cols, pa.array(kind)], ["anchor", "doc_id", "hash", "place", "kind"])
 
+    def as_told(t: pa.Table) -> pa.RecordBatch:
+        cols = [t.column(c).combine_chunks() for c in ("anchor", "doc_id", "hash", "place")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.ones(t.num_rows, np.int32))], ["anchor", "doc_id", "hash", "place", "kind"])
+
     held, told, before = None, np.zeros(0, bool), None
     for b in batches:
-        if not b.num_rows:
-            continue
         t = pa.Table.from_batches([b])
+        known = t.column("kind").to_numpy() == 1
+        if known.any():
+            yield as_told(t.filter(pa.array(known)).combine_chunks())
+            t = t.filter(pa.array(~known))
+        if not t.num_rows:
+            continue
         if held is not None:
             t = pa.concat_tables([held, t])
         told = np.r_[told, np.zeros(t.num_rows - len(told), bool)]
@@ -138,9 +155,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = a[cut - 1]
         held, told = t.slice(cut), told[cut:]
         if held.num_rows > 2:  # the open run is known to repeat: tell its rows, keep two that stand for it
-            rest = held.filter(pa.array(~told)).combine_chunks()
-            cols = [rest.column(c).combine_chunks() for c in ("anchor", "doc_id", "hash", "place")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.ones(rest.num_rows, np.int32))], ["anchor", "doc_id", "hash", "place", "kind"])
+            yield as_told(held.filter(pa.array(~told)).combine_chunks())
             held, told = held.slice(0, 2).combine_chunks(), np.ones(2, bool)
     if held is not None:
         yield verdicts(held, told, before, None)
@@ -249,7 +264,7 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    spans = docs.mapInArrow(_spans(length, gram), f"anchor long, same long, doc_id {id_type}, hash long, place long")
+    spans = docs.mapInArrow(_spans(length, gram), f"anchor long, same long, doc_id {id_type}, hash long, place long, kind int")
     spans = spans.repartition(parts, "anchor").sortWithinPartitions("anchor", "same")
     judged = written(spans.mapInArrow(_judge, f"anchor long, doc_id {id_type}, hash long, place long, kind int"), "judged")
 
