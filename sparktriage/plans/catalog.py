@@ -2,5 +2,306 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.names import jaro_winkler_udf, normalize_name, token_sort_udf
+from ..operators import decisions, evaluation, features, graph, rules, scoring, screening, slices, strategies, validation
+from ..sources.files import pattern_labels
+from . import inputs
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+STRICT = rules.Thresholds(fan=9, pass_ratio=20.0)
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(c: str, n: int = 6):
+    return F.round(F.col(c).cast("double"), n).alias(c)
+
+
+@query
+def accounts_universe(spark, d):
+    return inputs.accounts(spark, d)
+
+
+@query
+def validation_report(spark, d):
+    tx = inputs.tx(spark, d)
+    report = validation.validation_report(tx, validation.accounts_universe(tx), required=("timestamp", "from_account", "to_account", "amount_paid"), rows=10_000, n_accounts=150, tolerance=50, ratio=0.2, ratio_tolerance=0.05)
+    return report.select("check", "passed", "actual")
+
+
+@query
+def laundering_senders(spark, d):
+    return validation.labelled_senders(inputs.tx(spark, d))
+
+
+@query
+def feature_outbound(spark, d):
+    o = features.outbound(inputs.tx(spark, d))
+    return o.select("account_id", "outbound_count", "unique_out_recipients", *[_r(c) for c in (*features.MEDIAN, "round_amount_ratio")])
+
+
+@query
+def feature_inbound(spark, d):
+    return features.inbound(inputs.tx(spark, d))
+
+
+@query
+def feature_timing(spark, d):
+    return features.timing(inputs.tx(spark, d)).select("account_id", "first_ts", "last_ts", _r("day_range"), _r("off_hours_fraction"))
+
+
+@query
+def feature_hour_entropy(spark, d):
+    return features.hour_entropy(inputs.tx(spark, d)).select("account_id", F.abs(F.round("txn_hour_entropy", 6)).alias("txn_hour_entropy"))
+
+
+def _matrix(spark, d):
+    return features.feature_matrix(inputs.tx(spark, d), inputs.accounts(spark, d))
+
+
+@query
+def feature_matrix(spark, d):
+    return _matrix(spark, d).select("account_id", *[F.abs(F.round(F.col(c).cast("double"), 2)).alias(c) if c != "amount_skew" else _r(c, 2) for c in features.FEATURES])
+
+
+@query
+def robust_z_stats(spark, d):
+    return scoring.robust_stats(_matrix(spark, d)).select("feature", _r("median", 3), _r("mad", 3), _r("std", 3))
+
+
+@query
+def robust_z_score(spark, d):
+    return scoring.robust_scores(_matrix(spark, d)).select("account_id", _r("score", 4))
+
+
+@query
+def anomaly_percentile(spark, d):
+    """Percentiles of the rounded mean amount: many ties, so the mean rank shows."""
+    o = features.outbound(inputs.tx(spark, d)).select("account_id", F.floor(F.col("amount_mean") / 100).cast("double").alias("score"))
+    return scoring.percentiles(o).select("account_id", "score", _r("percentile"), "is_flagged")
+
+
+@query
+def graph_edges(spark, d):
+    return graph.edges(inputs.tx(spark, d))
+
+
+@query
+def graph_adjacency(spark, d):
+    return graph.adjacency(graph.edges(inputs.tx(spark, d))).select("account", "degree", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query
+def entity_hop2(spark, d):
+    return graph.hop2(graph.edges(inputs.tx(spark, d)), inputs.accounts(spark, d))
+
+
+@query
+def pattern_label(spark, d):
+    return pattern_labels(inputs.patterns(spark, d))
+
+
+@query
+def entity_chain(spark, d):
+    c = graph.entity_chain(inputs.tx(spark, d), inputs.accounts(spark, d), inputs.profiles(spark, d), pattern_labels(inputs.patterns(spark, d)))
+    return c.withColumns({h: F.array_join(h, ",") for h in ("hop1", "hop2")})
+
+
+@query
+def account_window_trim(spark, d):
+    return rules.account_window(inputs.tx(spark, d), 20).select("account", "row_nr", "side")
+
+
+@query
+def rule_structuring(spark, d):
+    return rules.structuring(rules.account_window(inputs.tx(spark, d))).drop("amounts")
+
+
+@query
+def rule_passthrough(spark, d):
+    return rules.passthrough(rules.account_window(inputs.tx(spark, d)))
+
+
+@query
+def rule_fan_out(spark, d):
+    return rules.fan(rules.account_window(inputs.tx(spark, d)), "o")
+
+
+@query
+def rule_fan_in(spark, d):
+    return rules.fan(rules.account_window(inputs.tx(spark, d)), "i")
+
+
+@query
+def rule_fan_out_strict(spark, d):
+    return rules.fan(rules.account_window(inputs.tx(spark, d)), "o", STRICT)
+
+
+@query
+def rule_corridor(spark, d):
+    return rules.corridor(inputs.profiles(spark, d), inputs.tx(spark, d))
+
+
+@query
+def rules_all(spark, d):
+    return rules.all_rules(inputs.tx(spark, d), inputs.profiles(spark, d))
+
+
+@query
+def recent_txn_ids(spark, d):
+    return rules.recent_ids(inputs.tx(spark, d))
+
+
+@query
+def name_normalize(spark, d):
+    s = inputs.subjects(spark, d)
+    return s.select("account_id", normalize_name(F.concat(F.col("name"), F.lit("  Éà"))).alias("norm"))
+
+
+def _pairs(spark, d):
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_name").distinct()
+    a, b = F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), -1)
+    return n.select(F.col("p_name").alias("a"), F.explode(F.array(F.concat(b, F.lit(" "), a), F.translate("p_name", "o", "0"), F.concat(a, F.lit(" gizmo")))).alias("b"))
+
+
+@query
+def name_jaro_winkler(spark, d):
+    return _pairs(spark, d).select("a", "b", F.round(jaro_winkler_udf("a", "b"), 9).alias("score"))
+
+
+@query
+def name_token_sort(spark, d):
+    return _pairs(spark, d).select("a", "b", F.round(token_sort_udf("a", "b"), 9).alias("score"))
+
+
+@query
+def watchlist_index(spark, d):
+    return screening.build_index(inputs.records(spark, d)).select("uid", "norm", "kind", "list_name")
+
+
+@query
+def screen_exact(spark, d):
+    return screening.screen_exact(inputs.subjects(spark, d), screening.build_index(inputs.records(spark, d))).select("account_id", "uid", "kind")
+
+
+def _hits(h):
+    return h.select("account_id", "uid", F.round("score", 9).alias("score"), "scorer", "kind")
+
+
+@query
+def screen_fuzzy(spark, d):
+    return _hits(screening.screen_fuzzy(inputs.subjects(spark, d), screening.build_index(inputs.records(spark, d))))
+
+
+@query
+def screen_best_hit(spark, d):
+    return screening.best_hits(inputs.subjects(spark, d), screening.build_index(inputs.records(spark, d))).select("account_id", "uid", F.round("score", 9).alias("score"), "rank")
+
+
+@query
+def surname_block_collision(spark, d):
+    s = inputs.subjects(spark, d).select(normalize_name(F.col("name")).alias("norm"))
+    return screening.surname_collisions(s, screening.build_index(inputs.records(spark, d)))
+
+
+@query
+def decision_table(spark, d):
+    return decisions.decision_table(inputs.cases(spark, d)).select("case_id", "disposition", "decision_reason")
+
+
+@query
+def decision_policy(spark, d):
+    return decisions.policy(inputs.cases(spark, d)).select("case_id", "disposition", "decision_reason", "reasoning", "confidence", "human_review")
+
+
+def _phase(spark, d):
+    c = inputs.cases(spark, d)
+    return decisions.overrides(decisions.policy(c), decisions.decision_table(c))
+
+
+@query
+def case_override(spark, d):
+    return _phase(spark, d).select("case_id", "disposition", "baseline_disposition", "agent_override")
+
+
+@query
+def override_rates(spark, d):
+    return evaluation.rates(_phase(spark, d))
+
+
+@query
+def case_weights(spark, d):
+    return inputs.cases(spark, d).select("case_id", evaluation.case_weight().cast("int").alias("weight"))
+
+
+def _metrics(spark, d, decide):
+    c = inputs.cases(spark, d)
+    return evaluation.metrics(evaluation.joined(c.drop("latency_ms"), decide(c).select("case_id", "disposition", "latency_ms")))
+
+
+@query
+def metric_report(spark, d):
+    return _metrics(spark, d, decisions.decision_table)
+
+
+@query
+def metric_delta(spark, d):
+    return evaluation.delta(_metrics(spark, d, decisions.policy), _metrics(spark, d, decisions.decision_table))
+
+
+@query
+def reason_histogram(spark, d):
+    return evaluation.histogram(decisions.policy(inputs.cases(spark, d)), "decision_reason")
+
+
+@query
+def duplicate_names(spark, d):
+    return evaluation.duplicates(spark.read.parquet(f"{d}/part.parquet"), "p_name")
+
+
+@query
+def conflict_pools(spark, d):
+    return slices.conflict_pools(inputs.cases(spark, d))
+
+
+@query
+def eval_slices(spark, d):
+    pool = slices.conflict_pools(inputs.cases(spark, d))
+    return slices.stratified(pool, "conflict_type", "account_id", {"anomaly_no_rule": 4, "rule_no_anomaly": 4, "rule3_no_anomaly": 2}, "slices")
+
+
+@query
+def strategy_agreement(spark, d):
+    results, _ = strategies.run_all(inputs.cases(spark, d))
+    return strategies.agreement(results, len(strategies.REGISTRY))
+
+
+@query
+def result_invariants(spark, d):
+    c = inputs.cases(spark, d)
+    results, _ = strategies.run_all(c)
+    return strategies.invariants(results.where("NOT (framework = 'sql' AND case_id LIKE '%7')"), c.where("case_id NOT LIKE '%13'"), 100)
+
+
+@query
+def entity_triage(spark, d):
+    """Flagship: every account's rules and outlier percentile through the policy, as one plan."""
+    tx = inputs.tx(spark, d)
+    fired = rules.all_rules(tx, inputs.profiles(spark, d)).groupBy(F.col("account").alias("account_id")).agg(
+        F.max("severity").alias("max_sev"), F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == 3, F.struct("ord", "rule_id")))), lambda x: x["rule_id"]).alias("sev3_ids"),
+    )
+    mean = features.outbound(tx).select("account_id", F.floor(F.col("amount_mean") / 100).cast("double").alias("score"))
+    ranked = scoring.percentiles(mean).select("account_id", "score", "percentile")
+    own = validation.accounts_universe(tx).join(fired, "account_id", "left").join(ranked, "account_id", "left").withColumn("max_hit", F.lit(None).cast("double"))
+    return decisions.policy(own).select("account_id", "disposition", "decision_reason", "human_review", F.coalesce("max_sev", F.lit(0)).alias("max_sev"), F.round(F.coalesce("percentile", F.lit(0.0)), 6).alias("percentile"))
