@@ -170,9 +170,10 @@ def score_quality(documents: DataFrame, model: RuleEnsemble, threshold: float =
     """documents with <prefix>score and <prefix>predicted; one narrow pass over the whole texts."""
     used = {name for rule in model.rules for name, _, _ in rule}
     stat = {k: c for k, c in statistics(F.col("text")).items() if k in used}
-    own = documents.withColumns({f"__stat_{k}": c.cast("double") for k, c in stat.items()})
+    # a generator of one row: neither projections nor filters above it are folded into the statistics, so each is computed once
+    own = documents.select("*", F.inline(F.array(F.struct(F.lit(0).alias("__stat_"), *[c.cast("double").alias(f"__stat_{k}") for k, c in stat.items()]))))
     score = model.column({k: F.col(f"__stat_{k}") for k in stat})
-    out = own.withColumn(f"{prefix}score", score).drop(*[f"__stat_{k}" for k in stat])
+    out = own.withColumn(f"{prefix}score", score).drop("__stat_", *[f"__stat_{k}" for k in stat])
     return out.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= threshold).cast("int"))
 
 
