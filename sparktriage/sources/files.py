@@ -40,15 +40,16 @@ def pattern_labels(patterns: DataFrame) -> DataFrame:
 def sanctions_xml(spark: SparkSession, path: str, list_name: str = "SDN") -> DataFrame:
     """uid, canonical_name, aka_names, entry_type, list_name: Latin-script names of each party, the last primary one canonical."""
     value = "array<struct<_ScriptID:string,_VALUE:string>>"
-    alias = f"array<struct<_Primary:string,DocumentedName:array<struct<NamePart:array<struct<NamePartValue:{value}>>>>>>"
+    alias = f"array<struct<_Primary:string,DocumentedName:array<struct<DocumentedNamePart:array<struct<NamePartValue:{value}>>>>>>"
     schema = f"_FixedRef string, Profile struct<_PartySubTypeID:string,Identity:struct<Alias:{alias}>>"
     party = spark.read.format("xml").option("rowTag", "DistinctParty").schema(schema).load(path)
     types = spark.read.format("xml").option("rowTag", "PartySubType").schema("_ID string, _PartyTypeID string").load(path)
-    latin = lambda n: F.array_join(F.transform(F.filter(F.flatten(F.transform(n["NamePart"], lambda p: p["NamePartValue"])), lambda v: v["_ScriptID"] == LATIN), lambda v: v["_VALUE"]), " ")
-    named = F.flatten(F.transform("Profile.Identity.Alias", lambda a: F.transform(a["DocumentedName"], lambda n: F.struct((a["_Primary"] == "true").alias("primary"), F.trim(latin(n)).alias("name")))))
+    values = lambda a: F.flatten(F.flatten(F.transform(a["DocumentedName"], lambda n: F.transform(n["DocumentedNamePart"], lambda p: p["NamePartValue"]))))
+    latin = lambda a: F.array_join(F.transform(F.filter(values(a), lambda v: v["_ScriptID"] == LATIN), lambda v: F.trim(v["_VALUE"])), " ")
+    named = F.transform("Profile.Identity.Alias", lambda a: F.struct((F.lower(a["_Primary"]) == "true").alias("primary"), latin(a).alias("name")))
     rows = party.select(F.col("_FixedRef").alias("uid"), F.col("Profile._PartySubTypeID").alias("sub"), F.filter(named, lambda n: n["name"] != "").alias("names"))
     canonical = F.element_at(F.filter("names", lambda n: n["primary"]), -1)["name"]
-    rows = rows.select("uid", "sub", F.when(F.exists("names", lambda n: n["primary"]), canonical).alias("canonical_name"), F.transform(F.filter("names", lambda n: ~n["primary"]), lambda n: n["name"]).alias("aka_names"))
+    rows = rows.select("uid", "sub", F.when(F.exists("names", lambda n: n["primary"]), canonical).alias("canonical_name"), F.transform(F.filter("names", lambda n: ~F.coalesce(n["primary"], F.lit(False))), lambda n: n["name"]).alias("aka_names"))
     kind = F.when(F.col("_PartyTypeID") == "1", "Individual").otherwise("Entity")
     rows = rows.where("uid is not null and canonical_name is not null").join(types, rows["sub"] == types["_ID"], "left")
     return rows.select("uid", "canonical_name", "aka_names", kind.alias("entry_type"), F.lit(list_name).alias("list_name"))

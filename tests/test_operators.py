@@ -36,7 +36,7 @@ def test_patterns_and_manifest(spark, tmp_path):
 
 
 def test_sanctions_xml(spark, tmp_path):
-    name = lambda text, script: f'<DocumentedName><NamePart><NamePartValue ScriptID="{script}">{text}</NamePartValue></NamePart></DocumentedName>'
+    name = lambda text, script: f'<DocumentedName><DocumentedNamePart><NamePartValue ScriptID="{script}">{text}</NamePartValue></DocumentedNamePart></DocumentedName>'
     p = tmp_path / "s.xml"
     p.write_text(f'<S><PartySubType ID="4" PartyTypeID="1"/><DistinctParty FixedRef="7"><Profile PartySubTypeID="4"><Identity><Alias Primary="true">{name("Ana Bell", 215)}</Alias><Alias Primary="false">{name("A. Bell", 215)}{name("x", 999)}</Alias></Identity></Profile></DistinctParty></S>')
     r = files.sanctions_xml(spark, str(p)).collect()
