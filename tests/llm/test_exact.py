@@ -167,6 +167,15 @@ def test_coder_round_trip(n):
             mixcoder.decode(bytes(hurt))
 
 
+@pytest.mark.parametrize(("vocab", "n"), [(1, 3000), (257, 5000), (70_000, 9000), (262_144, 2049)])
+def test_coder_for_any_vocabulary(vocab, n):
+    rng = np.random.default_rng(vocab)
+    even, runs = rng.integers(0, vocab, n), np.repeat(rng.integers(0, vocab, n // 50 + 1), 50)[:n]
+    for x in (even, runs, np.full(n, vocab - 1), np.minimum(rng.zipf(1.3, n), vocab) - 1):
+        x = x.astype(np.uint32)
+        assert (mixcoder.decode(mixcoder.encode(x, vocab)) == x).all()
+
+
 def test_token_files(spark, texts):
     odd = texts + ["It's <|endoftext|> 12 É é", "<|ENDOFTEXT|>"]
     tok = Tokenizer.from_file(public_tokenizers.path(tokenfile.MODEL))
