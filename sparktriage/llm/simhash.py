@@ -29,17 +29,24 @@ LANES = 1 << 16
 _HASH = xxhash.xxh64_intdigest
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of one text: lower-cased A-Z words between ASCII blanks, shingles of `width` words with repeats."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of a text's shingles with repeats: lower-cased A-Z words between ASCII blanks, `width` words each."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = size.cumsum() - size
     n = max(1, len(words) - width + 1)
     end = (start + size - 1)[min(width, len(words)) - 1 :]
-    h = np.fromiter([_HASH(joined[s:e], 42) for s, e in zip(start[:n].tolist(), end.tolist(), strict=True)], np.uint64, n)
+    return np.fromiter([_HASH(joined[s:e], 42) for s, e in zip(start[:n].tolist(), end.tolist(), strict=True)], np.uint64, n)
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of one text over its shingles of `width` words."""
+    h = shingle_hashes(text, width)
+    if not (n := len(h)):
+        return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     ones = np.add.reduce(bits, axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
