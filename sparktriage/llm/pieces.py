@@ -2,9 +2,12 @@
 
 A text is cut into units that no merge can cross (blanks with the word after them, line ends). In a unit the agenda takes
 the best mergeable pair of neighbours (highest piece score, leftmost first); a candidate is skipped for good if a keyed
-hash of (seed, variant, unit, its place, the piece it would make) falls under the dropout rate, so a segmentation depends on
-the seed alone. Each occurrence of a unit takes one of `variants` keys by a hash of document and place. Units are encoded
-once per task and variant, many at a time: every round merges the best pair of each unit that still has one.
+hash of (seed, doc_id, the unit's place in the document, the candidate's place in the unit, the piece it would make) falls
+under the dropout rate, so each occurrence is segmented on its own and depends on seed and document alone.
+What a unit gives with a set of candidates skipped (a state) is kept, with the other candidates it met. An occurrence starts
+at the state of no skips; where its key skips candidates of the state, it goes to the state that skips them too, until its
+key skips none of the others: that is its own segmentation. States are encoded many at a time: every round merges the best
+pair of each unit that still has one.
 Characters outside the vocabulary, and the blank mark itself, become byte pieces, so decoding gives the text back.
 
 Defined results: null or empty text has no pieces and decodes to the empty text; with dropout 0 the pieces are those of
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import Interned, Ragged
+from .ragged import Interned, Ragged, grown
 
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
-MOST_UNITS = 600_000
+DROPOUT, SEED = 0.1, 1
+MOST_STATES = 400_000
+MOST_BITS = 62
 WIDE = 48
 SPACE = "▁"
 NONE = np.int32(1 << 30)
@@ -131,8 +135,8 @@ def _skipped(key, place, rank, dropout: float) -> np.ndarray:
     return h < np.uint64(int(dropout * float(1 << 63)) * 2)
 
 
-def agenda_encode(v: Vocabulary, syms: list[int], key: int, dropout: float) -> list[int]:
-    """One unit by an agenda of candidates; the form for very long units."""
+def agenda_encode(v: Vocabulary, syms: list[int], skip) -> list[int]:
+    """One unit by an agenda of candidates; the form for very long units. skip: as in encode_units, of places and ranks."""
     n = len(syms)
     sym, nxt, prv, start = list(syms), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(n))
     alive = [True] * n
@@ -144,7 +148,7 @@ def agenda_encode(v: Vocabulary, syms: list[int], key: int, dropout: float) -> l
             return
         a, b = np.array([sym[i] for i in lefts], np.int32), np.array([sym[nxt[i]] for i in lefts], np.int32)
         for i, r, x, y in zip(lefts, v.merges(a, b).tolist(), a.tolist(), b.tolist(), strict=True):
-            if r != NONE and not (dropout and _skipped(np.uint64(key), np.array([i]), np.array([r]), dropout)[0]):
+            if r != NONE and not (skip and skip(np.array([i]), np.array([r]))[0]):
                 heapq.heappush(agenda, (r, i, x, y))
 
     propose(list(range(n - 1)))
@@ -164,8 +168,11 @@ def agenda_encode(v: Vocabulary, syms: list[int], key: int, dropout: float) -> l
     return out
 
 
-def encode_units(v: Vocabulary, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the units, their sizes and flat ids, in one order of its own; keys: one hash key each."""
+def encode_units(v: Vocabulary, units: list[str], skip) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the units, their sizes and flat ids, in one order of its own.
+
+    skip(units, places, ranks) marks the candidates that are skipped; None: none are.
+    """
     flat, size = v.symbols(units)
     off = size.cumsum() - size
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -182,7 +189,7 @@ def encode_units(v: Vocabulary, units: list[str], keys: np.ndarray, dropout: flo
 
     wide = np.where(size <= 16, size, np.where(size <= WIDE, -(-size // 8) * 8, 0))
     for u in np.flatnonzero(wide == 0):
-        row = np.array(v.spelled(agenda_encode(v, flat[off[u] : off[u] + size[u]].tolist(), int(keys[u]), dropout)), np.int32)
+        row = np.array(v.spelled(agenda_encode(v, flat[off[u] : off[u] + size[u]].tolist(), skip and (lambda place, rank, u=u: skip(np.array([u]), place, rank)))), np.int32)
         done.append((np.array([u]), np.array([len(row)]), row))
     for width in np.unique(wide[wide > 0]).tolist():
         own = np.flatnonzero(wide == width)
@@ -190,9 +197,9 @@ def encode_units(v: Vocabulary, units: list[str], keys: np.ndarray, dropout: flo
         inside = at < size[own][:, None]
         sym = np.where(inside, flat[np.minimum(off[own][:, None] + at, len(flat) - 1)], np.int32(-1))
         pair = v.merges(sym[:, :-1], sym[:, 1:])
-        if dropout:
+        if skip:
             x, y = np.nonzero(pair != NONE)
-            gone = _skipped(keys[own[x]], y, pair[x, y], dropout)
+            gone = skip(own[x], y, pair[x, y])
             pair[x[gone], y[gone]] = NONE
         while width > 1:
             best = pair.argmin(1)
@@ -214,9 +221,9 @@ def encode_units(v: Vocabulary, units: list[str], keys: np.ndarray, dropout: flo
             for place, ok in ((best - 1, best > 0), (best, best < width - 1)):
                 r, p = rows[ok], place[ok]
                 new = v.merges(sym[r, p], sym[r, p + 1])
-                if dropout:
+                if skip:
                     hit = np.flatnonzero(new != NONE)
-                    new[hit[_skipped(keys[own[r[hit]]], at[r[hit], p[hit]], new[hit], dropout)]] = NONE
+                    new[hit[skip(own[r[hit]], at[r[hit], p[hit]], new[hit])]] = NONE
                 pair[r, p] = new
         else:
             finish(own, sym)
@@ -225,37 +232,120 @@ def encode_units(v: Vocabulary, units: list[str], keys: np.ndarray, dropout: flo
     return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
 
+class States(Interned):
+    """Numbers of states: a unit without skips, or (state, bits of its candidates to skip too); keys in order."""
+
+    def __init__(self):
+        self.order: list = []
+
+    def __missing__(self, key):
+        self.order.append(key)
+        return super().__missing__(key)
+
+
 class Encoder:
-    """Encodes texts one after another and keeps the units it has met, within a bound."""
+    """Encodes texts one after another and keeps the states it has met, within a bound."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int):
         self.v, self.dropout, self.seed = vocabulary(path), dropout, seed
-        self.variants = variants if dropout else 1
         self._reset()
 
     def _reset(self) -> None:
-        self.units, self.names, self.rows = Interned(), [], Ragged()
+        self.states, self.rows, self.others = States(), Ragged(), Ragged()
+        self.unit: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.direct = np.zeros(1024, bool)  # too many candidates for a state: each occurrence is encoded by its own key
+
+    def _make(self, new: np.ndarray) -> None:
+        """Encodes the states `new` (ascending, all that have no row yet)."""
+        off, met_before = self.others.off, self.others.flat
+        for key in self.states.order[len(self.unit) :]:
+            if isinstance(key, bytes):
+                self.unit.append(key.decode())
+                self.skips.append(())
+            else:
+                state, bits = key
+                at, more = int(off[state]), []
+                while bits:
+                    low = bits & -bits
+                    more.append(int(met_before[at + low.bit_length() - 1]))
+                    bits ^= low
+                self.unit.append(self.unit[state])
+                self.skips.append((*self.skips[state], *more))
+        self.direct = grown(self.direct, len(self.unit), False)
+        states = new.tolist()
+        if not self.dropout:
+            own, size, flat = encode_units(self.v, [self.unit[i] for i in states], None)
+            self.rows.put(new[own], size, flat)
+            return
+        wide = np.array([len(self.unit[i]) > WIDE for i in states], bool)
+        units = ["" if w else self.unit[i] for i, w in zip(states, wide.tolist(), strict=True)]
+        gone = np.array(sorted(k << 26 | c for k, i in enumerate(states) for c in self.skips[i]), np.int64)
+        met: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+        def skip(unit, place, rank):
+            code = unit.astype(np.int64) << 26 | place.astype(np.int64) << 20 | rank
+            met.append(code)
+            return gone[np.minimum(np.searchsorted(gone, code), len(gone) - 1)] == code if len(gone) else np.zeros(len(code), bool)
+
+        own, size, flat = encode_units(self.v, units, skip)
+        if len(own) < len(new):  # empty stand-ins have no row of their own
+            left = np.setdiff1d(np.arange(len(new)), own)
+            own, size = np.r_[own, left], np.r_[size, np.zeros(len(left), np.int64)]
+        self.rows.put(new[own], size, flat)
+        other = np.sort(np.concatenate(met))
+        fresh = np.r_[True, other[1:] != other[:-1]][: len(other)]
+        if len(gone):
+            fresh &= gone[np.minimum(np.searchsorted(gone, other), len(gone) - 1)] != other
+        other = other[fresh]
+        count = np.bincount(other >> 26, minlength=len(new))
+        self.direct[new[wide | (count > MOST_BITS)]] = True
+        self.others.missing(new)
+        self.others.put(new, count, (other & ((1 << 26) - 1)).astype(np.int32))
+
+    def _settled(self, state: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The states whose segmentations the occurrences have, from their units' states and their keys."""
+        left = np.arange(len(state))
+        while len(left):
+            new = self.rows.missing(state[left])
+            if len(new):
+                self._make(new)
+            if not self.dropout:
+                break
+            if (whole := self.direct[state[left]]).any():
+                at = left[whole]
+                keys = key[at]
+                own, size, flat = encode_units(self.v, [self.unit[i] for i in state[at].tolist()], lambda u, place, rank: _skipped(keys[u], place, rank, self.dropout))
+                made = np.array([self.states[b"", len(self.states)] for _ in at.tolist()])
+                self.unit += [""] * len(at)
+                self.skips += [()] * len(at)
+                self.rows.missing(made)
+                self.rows.put(made[own], size, flat)
+                state[at], left = made, left[~whole]
+            n, other = self.others.get(state[left])
+            row = np.repeat(np.arange(len(left)), n)
+            hit = np.flatnonzero(_skipped(key[left[row]], other >> 20, other & ((1 << 20) - 1), self.dropout))
+            if not len(hit):
+                break
+            row = row[hit]
+            bit = np.int64(1) << (hit - (n.cumsum() - n)[row])
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            left = left[row[first]]
+            more = zip(state[left].tolist(), np.bitwise_or.reduceat(bit, first).tolist(), strict=True)
+            state[left] = np.fromiter(map(self.states.__getitem__, more), np.int64, len(left))
+        return state
 
     def encode(self, raws: list[bytes], keys: list[int]) -> list[np.ndarray]:
-        """Ids of each text; keys: what names the document for the choice of variants."""
-        if len(self.units) > MOST_UNITS:
+        """Ids of each text; keys: what names the document for the skips of its occurrences."""
+        if len(self.states) > MOST_STATES:
             self._reset()
         cuts = [_UNIT.findall(b" " + r) if r else [] for r in raws]
         n = np.array([len(c) for c in cuts], np.int64)
-        found = np.fromiter((i for c in cuts for i in map(self.units.__getitem__, c)), np.int64, int(n.sum()))
-        if len(self.units) > len(self.names):
-            self.names = list(self.units)
+        found = np.fromiter((i for c in cuts for i in map(self.states.__getitem__, c)), np.int64, int(n.sum()))
         place = np.arange(len(found)) - np.repeat(n.cumsum() - n, n)
-        key = np.repeat(np.array(keys, np.uint64), n)
-        pick = _mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)) % np.uint64(self.variants)
-        slots = found * self.variants + pick.astype(np.int64)
-        new = self.rows.missing(slots)
-        if len(new):
-            units = [self.names[i] for i in (new // self.variants).tolist()]
-            salt = np.array([xxhash.xxh3_64_intdigest(u, self.seed) for u in units], np.uint64) + (new % self.variants).astype(np.uint64)
-            own, size, flat = encode_units(self.v, [u.decode() for u in units], _mix(salt), self.dropout)
-            self.rows.put(new[own], size, flat)
-        size, flat = self.rows.get(slots)
+        own = np.repeat(_mix(np.array(keys, np.uint64) + np.uint64(self.seed) * np.uint64(0xD6E8FEB86659FD93)), n)
+        key = _mix(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        size, flat = self.rows.get(self._settled(found, key))
         ends = np.r_[0, size.cumsum()][n.cumsum()] if len(n) else np.zeros(0, np.int64)
         return np.split(flat, ends[:-1]) if len(ends) else []
 
@@ -268,7 +358,7 @@ def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     return b"".join(map(v.raw.__getitem__, ids.tolist()))[1:]
 
 
-def _parts(raws: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _parts(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, r in enumerate(raws):
         total += len(r)
@@ -279,9 +369,9 @@ def _parts(raws: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         yield lo, len(raws)
 
 
-def _encoding(path: str, dropout: float, seed: int, variants: int, text_at: int, key_at: int, finish):
+def _encoding(path: str, dropout: float, seed: int, text_at: int, key_at: int, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, dropout, seed, variants)
+        enc = Encoder(path, dropout, seed)
         for b in batches:
             raws = b.column(text_at).cast(pa.binary()).fill_null(b"").to_pylist()
             keys = [k & 0xFFFFFFFFFFFFFFFF for k in b.column(key_at).to_pylist()]
@@ -291,7 +381,7 @@ def _encoding(path: str, dropout: float, seed: int, variants: int, text_at: int,
     return run
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(documents: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """documents with `pieces`, the ids of each whole text."""
     names = documents.columns
 
@@ -300,7 +390,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, dropout: flo
         pieces = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
         return pa.RecordBatch.from_arrays([*b.columns[: len(names)], pieces], [*names, "pieces"])
 
-    run = _encoding(path or public_tokenizers.path(MODEL), dropout, seed, variants, names.index("text"), len(names), finish)
+    run = _encoding(path or public_tokenizers.path(MODEL), dropout, seed, names.index("text"), len(names), finish)
     schema = T.StructType([*documents.schema, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     return documents.withColumn("__key", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
@@ -318,7 +408,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "pieces").mapInArrow(run, T.StructType([encoded.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
-def op6_pieces(documents: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def op6_pieces(documents: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, n_pieces, pieces_crc32 (ids as little-endian 32-bit), n_bytes and crc32 of the decoded text, lossless."""
 
     def finish(enc, b, raws, ids):
@@ -329,7 +419,7 @@ def op6_pieces(documents: DataFrame, path: str | None = None, dropout: float = D
         ]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "pieces_crc32", "n_bytes", "text_crc32", "lossless"])
 
-    run = _encoding(path or public_tokenizers.path(MODEL), dropout, seed, variants, 1, 2, finish)
+    run = _encoding(path or public_tokenizers.path(MODEL), dropout, seed, 1, 2, finish)
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_pieces long, pieces_crc32 long, n_bytes long, text_crc32 long, lossless boolean"
     return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, schema)

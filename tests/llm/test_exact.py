@@ -152,6 +152,29 @@ def test_pieces(spark, texts):
     assert all(r.lossless for r in pieces.op6_pieces(docs(spark, odd)).collect())
 
 
+def test_each_occurrence_is_segmented_on_its_own():
+    """Occurrences equal the agenda run under their own key, and a word has more segmentations than a few shared keys give."""
+    path = public_tokenizers.path(pieces.MODEL)
+    enc, unit, n = pieces.Encoder(path, 0.1, 1), " international", 3000
+    far = " " + "abcdefgh" * 9
+    raw = (unit * n)[1:].encode() + far.encode()
+    v, seen = pieces.vocabulary(path), set()
+    for doc in (5, 6):
+        ids = enc.encode([raw], [doc])[0].tolist()
+        assert enc.decode(np.array(ids)) == raw
+        own = pieces._mix(np.array([doc], np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+        at = 0
+        for k in range(n + 1):
+            u = unit if k < n else far
+            key = pieces._mix(own + np.array([k], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            want = v.spelled(pieces.agenda_encode(v, v.symbols([u])[0].tolist(), lambda p, r, key=key: pieces._skipped(key, p, r, 0.1)))
+            assert ids[at : at + len(want)] == want
+            at += len(want)
+            seen.add((u, tuple(want)))
+        assert at == len(ids)
+    assert len(seen) > 20
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
