@@ -49,7 +49,8 @@ class WordTokens:
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         if len(self.words) > MOST_WORDS:
             self._reset()
-        cuts = [(r if b"<|" in r else r.lower()).split() for r in raws]  # the tokenizer lower-cases; special strings do not
+        # The tokenizer lower-cases after NFC, so only texts (else words) of ASCII are lower-cased here; special strings never are.
+        cuts = [r.split() if b"<|" in r else r.lower().split() if r.isascii() else [w.lower() if w.isascii() else w for w in r.split()] for r in raws]
         n = np.array([len(c) for c in cuts], np.int64)
         slots = np.fromiter((i for c in cuts for i in map(self.words.__getitem__, c)), np.int64, int(n.sum()))
         new = self.rows.missing(slots)

@@ -212,6 +212,18 @@ def test_token_files(spark, texts):
     assert small.ids == [*tok.encode(odd[9], add_special_tokens=False).ids, 1]
 
 
+def test_token_files_of_decomposed_capitals(spark):
+    """Only the small letter of these has a composed form, so lower-casing before NFC gives other ids."""
+    odd = ["T\u0308a", "H\u0331 x", "J\u030c x", "W\u030a", "Y\u030a B", "E\u0301 X"]
+    tok = Tokenizer.from_file(public_tokenizers.path(tokenfile.MODEL))
+    got = {r.doc_id: r for r in tokenfile.op10_token_ids(docs(spark, odd)).collect()}
+    start = 0
+    for i, t in enumerate(odd):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(700)] + [(900 + i, [0.5] * 8) for i in range(300)]
