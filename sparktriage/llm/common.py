@@ -18,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode a temporary one will do where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, whatever the case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
@@ -41,15 +51,20 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The files go when the application ends.
+    The files go with release(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(release, spark)
+    _TABLES.append(path)
     df.write.parquet(path)
-    atexit.register(_remove_quietly, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +74,19 @@ def drop_table(df: DataFrame) -> None:
         _remove_quietly(df.sparkSession, path)
 
 
+def table_mark() -> int:
+    """A mark for release(): tables written from now on come after it."""
+    return len(_TABLES)
+
+
+def release(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Delete the tables written between two marks, once the results that read them are themselves written or done with."""
+    for path in _TABLES[since:upto]:
+        _remove_quietly(spark, path)
+    if upto is None:
+        del _TABLES[since:]
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df only if its counted rows are within the bound; beyond it the join shuffles (AQE splits hot keys)."""
     return F.broadcast(df) if rows <= most else df
