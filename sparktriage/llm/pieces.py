@@ -16,7 +16,6 @@ the library; repeated rows with the same doc_id get the same pieces; extra colum
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import WIDE, MergeTable, agenda_encode, encode_units
+from .common import fresh
 from .ragged import Interned, Ragged, grown
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 MOST_STATES = 400_000
 MOST_BITS = 62
-WIDE = 48
 SPACE = "▁"
-NONE = np.int32(1 << 30)
 _UNIT = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -49,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Vocabulary:
+class Vocabulary(MergeTable):
     """Pieces of a model and its table of merges, as arrays."""
 
     def __init__(self, path: str):
@@ -76,41 +75,9 @@ class Vocabulary:
                 self.start[ord(" " if c == SPACE else c)] = i
         rank = np.empty(n, np.int32)
         rank[np.lexsort((np.arange(n), -score))] = np.arange(n)  # ties of scores: the smaller id
-        self.rank, self.piece = rank, np.argsort(rank).astype(np.int32)
-        pairs = {}
-        for p, i in self.ids.items():
-            for k in range(1, len(p)):
-                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
-                if a is not None and b is not None:
-                    pairs[a << 20 | b] = rank[i]
-        self.bits = max(12, (8 * len(pairs)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.vals = np.full(1 << self.bits, NONE, np.int32)
-        self.probes = 1
-        for k, v in pairs.items():
-            at, tries = int(self._slot(np.array([k]))[0]), 1
-            while self.keys[at] >= 0:
-                at, tries = (at + 1) & ((1 << self.bits) - 1), tries + 1
-            self.keys[at], self.vals[at], self.probes = k, v, max(self.probes, tries)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the pieces that pairs make, NONE where they make none (a or b below 0: no piece)."""
-        out = np.full(a.shape, NONE, np.int32)
-        at = np.flatnonzero((a >= 0) & (b >= 0))
-        key = a.ravel()[at].astype(np.int64) << 20 | b.ravel()[at]
-        slot, flat = self._slot(key), out.ravel()
-        for _ in range(self.probes):
-            there = self.keys[slot]
-            hit = there == key
-            flat[at[hit]] = self.vals[slot[hit]]
-            more = ~hit & (there >= 0)
-            if not more.any():
-                break
-            at, key, slot = at[more], key[more], (slot[more] + 1) & ((1 << self.bits) - 1)
-        return flat.reshape(a.shape)
+        made = [(self.ids[p[:k]], self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        left, right, whole = np.array(made, np.int64).reshape(-1, 3).T
+        super().__init__(left, right, rank[whole], np.argsort(rank))
 
     def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First symbols of all units, one after another, and the units' sizes; -2 - code point where there is no piece."""
@@ -135,103 +102,6 @@ def _skipped(key, place, rank, dropout: float) -> np.ndarray:
     return h < np.uint64(int(dropout * float(1 << 63)) * 2)
 
 
-def agenda_encode(v: Vocabulary, syms: list[int], skip) -> list[int]:
-    """One unit by an agenda of candidates; the form for very long units. skip: as in encode_units, of places and ranks."""
-    n = len(syms)
-    sym, nxt, prv, start = list(syms), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(n))
-    alive = [True] * n
-    agenda: list[tuple[int, int, int, int]] = []
-
-    def propose(lefts: list[int]) -> None:
-        lefts = [i for i in lefts if i >= 0 and nxt[i] < n]
-        if not lefts:
-            return
-        a, b = np.array([sym[i] for i in lefts], np.int32), np.array([sym[nxt[i]] for i in lefts], np.int32)
-        for i, r, x, y in zip(lefts, v.merges(a, b).tolist(), a.tolist(), b.tolist(), strict=True):
-            if r != NONE and not (skip and skip(np.array([i]), np.array([r]))[0]):
-                heapq.heappush(agenda, (r, i, x, y))
-
-    propose(list(range(n - 1)))
-    while agenda:
-        r, i, x, y = heapq.heappop(agenda)
-        if not alive[i] or sym[i] != x or nxt[i] >= n or sym[nxt[i]] != y:
-            continue
-        j = nxt[i]
-        sym[i], alive[j], nxt[i] = int(v.piece[r]), False, nxt[j]
-        if nxt[i] < n:
-            prv[nxt[i]] = i
-        propose([prv[i], i])
-    out, i = [], 0
-    while i < n:
-        out.append(sym[i])
-        i = nxt[i]
-    return out
-
-
-def encode_units(v: Vocabulary, units: list[str], skip) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the units, their sizes and flat ids, in one order of its own.
-
-    skip(units, places, ranks) marks the candidates that are skipped; None: none are.
-    """
-    flat, size = v.symbols(units)
-    off = size.cumsum() - size
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def finish(own: np.ndarray, sym: np.ndarray) -> None:
-        """Rows of symbols padded with -1; those with characters outside the vocabulary are spelled out."""
-        odd = (sym < -1).any(1)
-        for k in np.flatnonzero(odd):
-            row = np.array(v.spelled(sym[k][sym[k] != -1].tolist()), np.int32)
-            done.append((own[k : k + 1], np.array([len(row)]), row))
-        own, sym = own[~odd], sym[~odd]
-        real = sym >= 0
-        done.append((own, real.sum(1), sym[real]))
-
-    wide = np.where(size <= 16, size, np.where(size <= WIDE, -(-size // 8) * 8, 0))
-    for u in np.flatnonzero(wide == 0):
-        row = np.array(v.spelled(agenda_encode(v, flat[off[u] : off[u] + size[u]].tolist(), skip and (lambda place, rank, u=u: skip(np.array([u]), place, rank)))), np.int32)
-        done.append((np.array([u]), np.array([len(row)]), row))
-    for width in np.unique(wide[wide > 0]).tolist():
-        own = np.flatnonzero(wide == width)
-        at = np.tile(np.arange(width, dtype=np.int32), (len(own), 1))
-        inside = at < size[own][:, None]
-        sym = np.where(inside, flat[np.minimum(off[own][:, None] + at, len(flat) - 1)], np.int32(-1))
-        pair = v.merges(sym[:, :-1], sym[:, 1:])
-        if skip:
-            x, y = np.nonzero(pair != NONE)
-            gone = skip(own[x], y, pair[x, y])
-            pair[x[gone], y[gone]] = NONE
-        while width > 1:
-            best = pair.argmin(1)
-            rank = pair[np.arange(len(own)), best]
-            go = rank != NONE
-            if not go.all():
-                finish(own[~go], sym[~go])
-                sym, at, pair, own, best, rank = sym[go], at[go], pair[go], own[go], best[go], rank[go]
-            if not len(own):
-                break
-            rows = np.arange(len(own))
-            sym[rows, best] = v.piece[rank]
-            keep = np.ones(sym.shape, bool)
-            keep[rows, best + 1] = False
-            width -= 1
-            sym, at = sym[keep].reshape(len(own), width), at[keep].reshape(len(own), width)
-            keep = keep[:, 1:]
-            pair = pair[keep].reshape(len(own), width - 1)
-            for place, ok in ((best - 1, best > 0), (best, best < width - 1)):
-                r, p = rows[ok], place[ok]
-                new = v.merges(sym[r, p], sym[r, p + 1])
-                if skip:
-                    hit = np.flatnonzero(new != NONE)
-                    new[hit[skip(own[r[hit]], at[r[hit], p[hit]], new[hit])]] = NONE
-                pair[r, p] = new
-        else:
-            finish(own, sym)
-    if not done:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
-
-
 class States(Interned):
     """Numbers of states: a unit without skips, or (state, bits of its candidates to skip too); keys in order."""
 
@@ -275,7 +145,7 @@ class Encoder:
         self.direct = grown(self.direct, len(self.unit), False)
         states = new.tolist()
         if not self.dropout:
-            own, size, flat = encode_units(self.v, [self.unit[i] for i in states], None)
+            own, size, flat = encode_units(self.v, *self.v.symbols([self.unit[i] for i in states]))
             self.rows.put(new[own], size, flat)
             return
         wide = np.array([len(self.unit[i]) > WIDE for i in states], bool)
@@ -288,7 +158,7 @@ class Encoder:
             met.append(code)
             return gone[np.minimum(np.searchsorted(gone, code), len(gone) - 1)] == code if len(gone) else np.zeros(len(code), bool)
 
-        own, size, flat = encode_units(self.v, units, skip)
+        own, size, flat = encode_units(self.v, *self.v.symbols(units), skip)
         if len(own) < len(new):  # empty stand-ins have no row of their own
             left = np.setdiff1d(np.arange(len(new)), own)
             own, size = np.r_[own, left], np.r_[size, np.zeros(len(left), np.int64)]
@@ -315,7 +185,7 @@ class Encoder:
             if (whole := self.direct[state[left]]).any():
                 at = left[whole]
                 keys = key[at]
-                own, size, flat = encode_units(self.v, [self.unit[i] for i in state[at].tolist()], lambda u, place, rank: _skipped(keys[u], place, rank, self.dropout))
+                own, size, flat = encode_units(self.v, *self.v.symbols([self.unit[i] for i in state[at].tolist()]), lambda u, place, rank: _skipped(keys[u], place, rank, self.dropout))
                 made = np.array([self.states[b"", len(self.states)] for _ in at.tolist()])
                 self.unit += [""] * len(at)
                 self.skips += [()] * len(at)
@@ -382,8 +252,9 @@ def _encoding(path: str, dropout: float, seed: int, text_at: int, key_at: int, f
 
 
 def encode_documents(documents: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """documents with `pieces`, the ids of each whole text."""
-    names = documents.columns
+    """documents with `pieces`, the ids of each whole text, as the last column; a column of that name is replaced."""
+    documents = documents.drop("pieces")
+    names, key = documents.columns, fresh(documents, "key")
 
     def finish(enc, b, raws, ids):
         off = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
@@ -392,7 +263,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, dropout: flo
 
     run = _encoding(path or public_tokenizers.path(MODEL), dropout, seed, names.index("text"), len(names), finish)
     schema = T.StructType([*documents.schema, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return documents.withColumn("__key", F.xxhash64("doc_id")).mapInArrow(run, schema)
+    return documents.withColumn(key, F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

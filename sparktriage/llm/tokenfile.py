@@ -1,8 +1,7 @@
 """Token-id output: documents tokenised whole, range-coded in blocks, and read back.
 
 Documents are range-partitioned and sorted by doc_id, so partitions and the segments inside them are in ascending order.
-A task tokenises its documents (each distinct run between blanks once, by the tokenizers library; the pre-tokenizer never
-crosses a blank) and cuts the ids into segments of whole documents of about SEGMENT ids. A segment is coded by mixcoder in
+A task tokenises its documents (each distinct unit once) and cuts the ids into segments of whole documents of about SEGMENT ids. A segment is coded by mixcoder in
 independently reset, checksummed blocks; its row carries the ids and sizes of its documents. Rows are written with
 Spark's Parquet writer, so any store it reaches will do, and each row can be read alone.
 
@@ -13,8 +12,13 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +30,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import mixcoder
+from .bpe import MergeTable, encode_units
 from .common import shared_dir, written
 from .ragged import Interned, Ragged
 
@@ -33,35 +38,82 @@ MODEL = "word_bpe_49k.json"
 END = 1
 SEGMENT = 1 << 22
 MOST_WORDS = 700_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
+
+
+# fixed values: the tokenizer's pattern for ASCII, blanks left out, and characters that its byte map renames
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
+_MIXED = re.compile(rb"(?<!\S)[!-~]*+[\x80-\xff]\S*|" + _PIECE.pattern)  # words with other characters stay whole
+_CAPITAL = re.compile(rb"[A-Z][\x80-\xff]")  # may compose with what follows: lower-cased by the library only
+
+
+class WordMerges(MergeTable):
+    """The merges of the tokenizer's file; a piece's last character is the symbol that ends words."""
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        ids, made = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right = (np.array([ids[m[k]] for m in made], np.int64) for k in (0, 1))
+        super().__init__(left, right, np.arange(len(made)), np.array([ids[a + b] for a, b in made]))
+        self.first = np.array([ids[chr(c)] if 32 < c < 127 else -1 for c in range(128)], np.int32)
+        self.last = np.array([ids[chr(c) + model["end_of_word_suffix"]] if 32 < c < 127 else -1 for c in range(128)], np.int32)
+
+    def symbols(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw, size = np.frombuffer(b"".join(units), np.uint8), np.fromiter(map(len, units), np.int64, len(units))
+        sym = self.first[raw]
+        end = size.cumsum() - 1
+        sym[end] = self.last[raw[end]]
+        return sym, size
 
 
 class WordTokens:
-    """A tokenizer whose pre-tokenizer never joins what blanks part; keeps the words it has met, within a bound."""
+    """Ids of texts, unit by unit; keeps the units it has met, within a bound.
+
+    ASCII is cut into the tokenizer's own pieces and merged here, many pieces at once; other words between blanks, and those
+    with special strings or control characters, go to the library (the pre-tokenizer never joins what blanks part).
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), WordMerges(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.names, self.rows = Interned(), [], Ragged()
+        self.words, self.known, self.rows = Interned(), 0, Ragged()
+
+    @staticmethod
+    def _units(raw: bytes) -> list[bytes]:
+        if b"<|" not in raw and not _CONTROL.search(raw):
+            if raw.isascii():
+                return _PIECE.findall(raw.lower())
+            if not _CAPITAL.search(raw):
+                return _MIXED.findall(raw.lower())
+        out = []
+        for w in raw.split():
+            out += _PIECE.findall(w.lower()) if w.isascii() and b"<|" not in w and not _CONTROL.search(w) else [w]
+        return out
+
+    def _learn(self, new: np.ndarray) -> None:
+        units = list(islice(self.words, self.known, None))
+        plain = np.array([u.isascii() and b"<|" not in u and not _CONTROL.search(u) for u in units], bool)
+        at = np.flatnonzero(plain)
+        own, size, flat = encode_units(self.merges, *self.merges.symbols([units[i] for i in at.tolist()]))
+        self.rows.put(new[at][own], size, flat)
+        if len(odd := np.flatnonzero(~plain)):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([units[i].decode() for i in odd.tolist()], add_special_tokens=False)]
+            self.rows.put(new[odd], np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((x for i in got for x in i), np.int32, sum(map(len, got))))
+        self.known = len(self.words)
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         if len(self.words) > MOST_WORDS:
             self._reset()
-        # The tokenizer lower-cases after NFC, so only texts (else words) of ASCII are lower-cased here; special strings never are.
-        cuts = [r.split() if b"<|" in r else r.lower().split() if r.isascii() else [w.lower() if w.isascii() else w for w in r.split()] for r in raws]
-        n = np.array([len(c) for c in cuts], np.int64)
-        slots = np.fromiter((i for c in cuts for i in map(self.words.__getitem__, c)), np.int64, int(n.sum()))
+        cuts = list(map(self._units, raws))
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        slots = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cuts)), np.int64, int(n.sum()))
         new = self.rows.missing(slots)
         if len(new):
-            names = list(self.words)[len(self.names) :]
-            base = len(self.names)
-            self.names += names
-            got = self.tokenizer.encode_batch_fast([names[i - base].decode() for i in new.tolist()], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.rows.put(new, size, np.fromiter((x for i in ids for x in i), np.int32, int(size.sum())))
+            self._learn(new)
         size, flat = self.rows.get(slots)
         ends = np.r_[0, size.cumsum()][n.cumsum()] if len(n) else np.zeros(0, np.int64)
         return np.split(flat, ends[:-1]) if len(ends) else []
