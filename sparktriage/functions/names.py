@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,25 +60,108 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _pairs(f: Callable[[str, str], float]):
+def codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all names, padded with -1 to one width, and the names' lengths."""
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    out = np.full((len(names), max(1, int(size.max(initial=0)))), -1, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<i4")
+    return out, size
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler of many pairs, a place of the first names at a time."""
+    (x, m), (y, n) = codes(a), codes(b)
+    p, rows = len(a), np.arange(len(a))
+    reach = np.maximum(np.maximum(m, n) // 2 - 1, 0)[:, None]
+    at = np.arange(y.shape[1])
+    taken, used = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        may = (y == x[:, i, None]) & ~taken & (np.abs(at - i) <= reach) & (i < m)[:, None] & (at < n[:, None])
+        j = may.argmax(1)
+        hit = may[rows, j]
+        taken[rows[hit], j[hit]] = used[hit, i] = True
+    k = used.sum(1)
+    wide = int(k.max(initial=0))
+    first = lambda z, on: np.take_along_axis(z, np.argsort(~on, axis=1, kind="stable")[:, :wide], 1)
+    apart = ((first(x, used) != first(y, taken)) & (np.arange(wide) < k[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(k > 0, (k / m + k / n + (k - apart) / k) / 3, 0.0)
+    w = min(4, x.shape[1], y.shape[1])
+    same = (x[:, :w] == y[:, :w]) & (np.arange(w) < np.minimum(m, n)[:, None])
+    start = np.logical_and.accumulate(same, axis=1).sum(1) if w else np.zeros(p, int)
+    out = np.where(jaro > 0.7, jaro + 0.1 * start * (1 - jaro), jaro)
+    return np.where((m == 0) & (n == 0), 1.0, out)
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Longest common subsequences of many pairs: bit-parallel, a place of the second names at a time; long names one by one."""
+    out = np.zeros(len(a), np.int64)
+    size = np.fromiter(map(len, a), np.int64, len(a))
+    for i in np.flatnonzero(size > 63):
+        out[i] = common_length(a[i], b[i])
+    at = np.flatnonzero(size <= 63)
+    if not len(at):
+        return out
+    (x, m), (y, n) = codes([a[i] for i in at]), codes([b[i] for i in at])
+    bit = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+    v = np.full(len(at), ~np.uint64(0))
+    for j in range(y.shape[1]):
+        mask = ((x == y[:, j, None]) * bit).sum(1, dtype=np.uint64)
+        mask[j >= n] = 0
+        u = v & mask
+        v = (v + u) | (v - u)
+    low = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
+    out[at] = np.bitwise_count(~v & low)
+    return out
+
+
+def token_sort_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    a, b = ([" ".join(sorted(x.split())) for x in xs] for xs in (a, b))
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+    return np.where(total > 0, 2 * common_lengths(a, b) / np.maximum(total, 1), 1.0)
+
+
+def _pairs(f: Callable[[list[str], list[str]], np.ndarray]):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        at = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        for k in range(0, len(at), 4096):
+            own = at[k : k + 4096]
+            out[own] = f(a.iloc[own].tolist(), b.iloc[own].tolist())
+        return pd.Series(out).where(~np.isnan(out), None).astype("float64")
 
     return run
 
 
-jaro_winkler_udf, token_sort_udf = _pairs(jaro_winkler), _pairs(token_sort_ratio)
+jaro_winkler_udf, token_sort_udf = _pairs(jaro_winkler_pairs), _pairs(token_sort_pairs)
+score_udf = _pairs(lambda a, b: np.maximum(jaro_winkler_pairs(a, b), token_sort_pairs(a, b)))
 
 
-def score_bound(a: Column, b: Column) -> Column:
-    """No less than either score: from the common letters alone (names in normal form). It drops no pair by itself."""
-    ca, cb = F.array_sort(F.split(a, "")), F.array_sort(F.split(b, ""))
-    each = F.transform(F.array_distinct(ca), lambda x: F.least(F.size(F.filter(ca, lambda y: y == x)), F.size(F.filter(cb, lambda y: y == x))))
-    shared = F.aggregate(each, F.lit(0), lambda s, x: s + x).cast("double")
-    m, n = F.length(a), F.length(b)
-    jaro = F.when(shared > 0, (shared / m + shared / n + 1) / 3).otherwise(0.0)
-    return F.greatest(jaro + 0.4 * (1 - jaro), 2 * shared / (m + n))
+def score_names(a: Column, b: Column) -> Column:
+    """The better of both scores of two raw names, in normal form."""
+    return score_udf(normalize_name(a), normalize_name(b))
+
+
+def letter_counts(names: list[str], alphabet: dict[int, int]) -> np.ndarray:
+    """How often each letter of the alphabet stands in each name; letters outside it count in the last column."""
+    x, size = codes(names)
+    out = np.zeros((len(names), len(alphabet) + 1), np.uint8)
+    place = np.vectorize(lambda c: alphabet.get(c, len(alphabet)), otypes=[np.int64])(x)
+    row = np.repeat(np.arange(len(names)), size)
+    np.add.at(out, (row, place[np.arange(x.shape[1]) < size[:, None]]), 1)
+    return out
+
+
+def score_bounds(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For all pairs of two blocks of names: no less than either score, from the letters they share. It rules out, and never wrongly."""
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for c in range(a.shape[1]):
+        if a[:, c].any() and b[:, c].any():
+            shared += np.minimum(a[:, c, None], b[None, :, c])
+    m, n = m[:, None].astype(np.float32), n[None, :].astype(np.float32)
+    jaro = np.where(shared > 0, (shared / m + shared / n + 1) / 3, 0)
+    return np.maximum(jaro + np.float32(0.4) * (1 - jaro), 2 * shared / (m + n)) + np.float32(1e-5)
 
 
 def last_token(c: Column) -> Column:
@@ -96,3 +180,14 @@ def swap_adjacent(c: Column, at: int) -> Column:
 def replace_first(c: Column, what: str, by: str) -> Column:
     at = F.instr(c, what)
     return F.when(at > 0, F.concat(F.substr(c, F.lit(1), at - 1), F.lit(by), F.substr(c, at + len(what)))).otherwise(c)
+
+
+def replace_at(c: Column, at: Column, by: Column) -> Column:
+    """The character at `at` (from 1) replaced."""
+    return F.concat(F.substr(c, F.lit(1), at - 1), by, F.substr(c, at + 1))
+
+
+def title_case(c: Column) -> Column:
+    """First letter of each run of letters in upper case: also after digits and apostrophes."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")

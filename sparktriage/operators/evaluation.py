@@ -18,7 +18,13 @@ def joined(cases: DataFrame, results: DataFrame) -> DataFrame:
     left = cases.withColumn("__c", F.lit(1))
     both = left.join(one, "case_id", "full_outer")
     odd = F.col("__c").isNull() | F.col("n").isNull() | (F.col("n") != 1)
-    return both.withColumn("disposition", F.when(odd, F.raise_error(F.lit("cases and results don't match one to one"))).otherwise(F.col("disposition"))).drop("__c", "n")
+    held = F.when(odd, F.raise_error(F.lit("cases and results don't match one to one")).cast("boolean")).otherwise(True)
+    return both.where(held).drop("__c", "n")  # a filter: whatever columns are read, every row is checked
+
+
+def joined_leniently(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Cases with the results that there are; a case without one has a null disposition and counts as neither cleared nor right."""
+    return cases.join(results.select("case_id", "disposition"), "case_id", "left")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -50,7 +56,24 @@ def delta(phase: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def rates(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.round(F.avg(F.col("agent_override").cast("double")), 6).alias("override_rate"), F.round(F.avg(F.col("human_review").cast("double")), 6).alias("review_rate"), F.count(F.lit(1)).alias("n"))
+    """One row: override and review rates, mean, least and largest latency, cost and token sums, and whether all are zero."""
+    return rows.agg(
+        F.round(F.avg(F.col("agent_override").cast("double")), 6).alias("override_rate"), F.round(F.avg(F.col("human_review").cast("double")), 6).alias("review_rate"),
+        F.round(F.avg("latency_ms"), 6).alias("latency_mean"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("total_tokens"),
+        F.coalesce(F.bool_and(F.col("cost_usd") == 0), F.lit(True)).alias("zero_cost"), F.coalesce(F.bool_and(F.col("tokens_used") == 0), F.lit(True)).alias("zero_tokens"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+def framework_metrics(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """A row a framework: accuracy over its results, weighted false clears over all cases to escalate (missing results clear nothing)."""
+    gold = cases.select("case_id", "gold_label", case_weight().cast("double").alias("w"))
+    met = results.join(gold, "case_id", "left")
+    clear = F.when((F.col("gold_label") == "ESCALATE") & (F.col("disposition") == "CLEAR"), F.col("w"))
+    own = met.groupBy("framework").agg(F.avg(F.coalesce((F.col("disposition") == F.col("gold_label")).cast("double"), F.lit(0.0))).alias("a"), F.coalesce(F.sum(clear), F.lit(0.0)).alias("fc"), F.count(F.lit(1)).alias("eval_size"))
+    every = gold.agg(F.coalesce(F.sum(F.when(F.col("gold_label") == "ESCALATE", F.col("w"))), F.lit(0.0)).alias("all"))
+    both = own.crossJoin(F.broadcast(every))  # one row
+    return both.select("framework", F.round("a", 6).alias("accuracy"), F.round(_ratio(F.col("fc"), F.col("all")), 6).alias("weighted_false_clear"), "eval_size")
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

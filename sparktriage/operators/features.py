@@ -1,19 +1,55 @@
-"""Per-account features from legs: one aggregate a side of the work, no chain of joins, and the label kept out."""
+"""Per-account features: aggregates by account, joined once; the label and its proxies kept out."""
 
 from __future__ import annotations
 
+import logging
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_medians
+from ..sources.tables import written
 from ..sources.transactions import legs
 
-FORBIDDEN = {"is_laundering"}
-ZERO = ("outbound_count", "inbound_count", "unique_out_recipients", "unique_in_senders", "round_amount_ratio", "off_hours_fraction", "txn_hour_entropy", "day_range")
-MEDIAN = ("amount_mean", "amount_std", "amount_max", "amount_skew")
+NEEDED = ("timestamp", "from_account", "to_account", "amount_paid", "row_nr", "amount_received")
+# fixed values: names that would leak the label or carry none of the behaviour
+EXCLUDED = (
+    "is_laundering", "pattern_label", "net_flow", "balance_delta", "total_in_minus_out", "running_balance_delta", "cumulative_net_flow",
+    "name", "kyc_risk", "receiving_currency_concentration", "payment_currency_concentration",
+)
+# fixed values: the features in the order of the output
 FEATURES = (
-    "outbound_count", "inbound_count", "unique_out_recipients", "unique_in_senders", "amount_mean", "amount_std", "amount_max", "amount_skew",
-    "round_amount_ratio", "off_hours_fraction", "txn_hour_entropy", "in_out_ratio", "out_diversity", "in_diversity", "avg_daily_velocity",
+    "outbound_count", "inbound_count", "in_out_ratio", "amount_mean", "amount_std", "amount_max", "amount_skew", "round_amount_ratio",
+    "unique_out_recipients", "out_diversity", "unique_in_senders", "in_diversity", "off_hours_fraction", "txn_hour_entropy", "avg_daily_velocity",
 )
+ZERO = ("outbound_count", "inbound_count", "unique_out_recipients", "unique_in_senders", "round_amount_ratio", "off_hours_fraction", "txn_hour_entropy", "day_range")
+MEDIAN = ("amount_mean", "amount_std", "amount_max", "amount_skew")
+log = logging.getLogger(__name__)
+
+
+def guard(columns: list[str]) -> None:
+    """ValueError if an excluded name is among the columns."""
+    if held := [c for c in EXCLUDED if c in columns]:
+        raise ValueError(f"excluded columns among the features' input: {', '.join(held)}")
+
+
+def log_excluded(path: Path | None = None) -> list[str]:
+    """One line an excluded feature, to the log and, if asked for, to the end of a file of the driver."""
+    lines = [f"excluded feature: {c}" for c in EXCLUDED]
+    for line in lines:
+        log.info(line)
+    if path is not None:
+        with path.open("a") as f:
+            f.write("".join(f"{line}\n" for line in lines))
+    return lines
+
+
+def clean_input(tx: DataFrame) -> DataFrame:
+    """The columns that features read; nothing else reaches them, and the guard proves it of the result."""
+    out = tx.select(*[c for c in NEEDED if c in tx.columns])
+    guard(out.columns)
+    return out
 
 
 def outbound(tx: DataFrame) -> DataFrame:
@@ -45,22 +81,30 @@ def hour_entropy(tx: DataFrame) -> DataFrame:
     return total.select("account_id", (F.log2("t") - F.col("s") / F.col("t")).alias("txn_hour_entropy"))
 
 
+def clock(tx: DataFrame) -> DataFrame:
+    """timing() and hour_entropy() from one scan: hours of each account first, then the account."""
+    h = F.hour("timestamp")
+    each = legs(tx).groupBy(F.col("account").alias("account_id"), h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("a"), F.max("us").alias("z"))
+    off = F.when((F.col("h") < 7) | (F.col("h") > 20), F.col("n")).otherwise(0)
+    total = each.groupBy("account_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.min("a").alias("a"), F.max("z").alias("z"), F.sum(off).alias("off"))
+    return total.select("account_id", ((F.col("z") - F.col("a")) / F.lit(8.64e10)).alias("day_range"), (F.col("off") / F.col("t")).alias("off_hours_fraction"), (F.log2("t") - F.col("s") / F.col("t")).alias("txn_hour_entropy"))
+
+
 def feature_matrix(tx: DataFrame, accounts: DataFrame) -> DataFrame:
-    """account_id and the 15 features as floats. Inputs are aggregated by account, so each join meets one row a side."""
-    tx = tx.drop(*FORBIDDEN)
+    """account_id and the 15 features as floats. Inputs are aggregated by account, so each join meets one row a side.
+
+    The joined aggregates are written once: the medians that fill gaps, and every later pass, read that table.
+    """
+    tx = clean_input(tx)
     m = accounts.select("account_id")
-    for part in (outbound(tx), inbound(tx), timing(tx).drop("first_ts", "last_ts"), hour_entropy(tx)):
+    for part in (outbound(tx), inbound(tx), clock(tx)):
         m = m.join(part, "account_id", "left")
-    m = m.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ZERO})
+    m = written(m.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ZERO}), "features")
     out, into = F.col("outbound_count"), F.col("inbound_count")
+    fill = exact_medians(m, MEDIAN)
     m = m.withColumns({
         "in_out_ratio": into / (out + 1), "out_diversity": F.col("unique_out_recipients") / (out + 1),
         "in_diversity": F.col("unique_in_senders") / (into + 1), "avg_daily_velocity": (out + into) / (F.col("day_range") + 1),
     })
-    medians = m.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"__{c}") for c in MEDIAN])
-    m = m.crossJoin(F.broadcast(medians))  # one row
-    filled = [F.nanvl(F.coalesce(F.col(c), F.col(f"__{c}")), F.lit(0.0)).alias(c) if c in MEDIAN else F.col(c) for c in FEATURES]
-    out = m.select("account_id", *[c.cast("float").alias(n) for c, n in zip(filled, FEATURES, strict=True)])
-    if FORBIDDEN & set(out.columns):
-        raise ValueError("a label column is among the features")
-    return out
+    filled = [F.nanvl(F.coalesce(F.col(c), F.lit(fill[c] or 0.0)), F.lit(0.0)).alias(c) if c in MEDIAN else F.col(c) for c in FEATURES]
+    return m.select("account_id", *[c.cast("float").alias(n) for c, n in zip(filled, FEATURES, strict=True)])

@@ -19,10 +19,16 @@ def adjacency(e: DataFrame) -> DataFrame:
 
 
 def hop2(e: DataFrame, accounts: DataFrame, most: int = HOP2) -> DataFrame:
-    """account, cp: the first `most` accounts in order of id at two steps, without the account and its neighbours."""
+    """account, cp: the first `most` accounts in order of id at two steps, without the account and its neighbours.
+
+    Of a neighbour's list in order of id, all but degree + 1 entries are at two steps, so the first most + degree + 1 are
+    enough, whatever the neighbour's own degree: a hub gives each asker a short list.
+    """
     start = e.join(accounts.select(F.col("account_id").alias("account")).distinct(), "account", "left_semi")
-    far = start.join(e.select(F.col("account").alias("cp"), F.col("cp").alias("far")), "cp").where("far <> account").select("account", F.col("far").alias("cp")).distinct()
-    far = far.join(e, ["account", "cp"], "left_anti")
+    start = start.withColumn("upto", F.count(F.lit(1)).over(Window.partitionBy("account")) + most + 1)
+    listed = e.select(F.col("account").alias("cp"), F.col("cp").alias("far"), F.row_number().over(Window.partitionBy("account").orderBy("cp")).alias("nr"))
+    met = start.join(listed, (start.cp == listed.cp) & (listed.nr <= start.upto)).where("far <> account")
+    far = met.select("account", F.col("far").alias("cp")).distinct().join(e, ["account", "cp"], "left_anti")
     order = Window.partitionBy("account").orderBy("cp")
     return far.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 

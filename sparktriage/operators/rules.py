@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from ..sources.transactions import legs
 
 DAY = 86_400_000_000
@@ -31,10 +32,15 @@ class Thresholds:
     last: int = 10_000
 
 
-def account_window(tx: DataFrame, last: int = 10_000) -> DataFrame:
-    """Legs of each account's last transactions; a self-transfer is one transaction of two legs, so ranks are dense."""
-    recent = Window.partitionBy("account").orderBy(F.desc("us"), F.desc("row_nr"))
-    return legs(tx).where("account is not null").withColumn("k", F.dense_rank().over(recent)).where(F.col("k") <= last).drop("k")
+def account_window(tx: DataFrame, last: int = 10_000, salts: int = 32) -> DataFrame:
+    """Legs of each account's last transactions; a self-transfer is one transaction of two legs, so ranks are dense.
+
+    The cut is made twice: by account and salt, so that a hub's legs are sorted in many tasks, then by account.
+    """
+    rows = legs(tx).where("account is not null").withColumn("salt", F.pmod(F.hash("row_nr"), F.lit(salts)))
+    recent = (F.desc("us"), F.desc("row_nr"))
+    rows = rows.withColumn("k", F.dense_rank().over(Window.partitionBy("account", "salt").orderBy(*recent))).where(F.col("k") <= last)
+    return rows.withColumn("k", F.dense_rank().over(Window.partitionBy("account").orderBy(*recent))).where(F.col("k") <= last).drop("k", "salt")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -59,20 +65,27 @@ def structuring(window: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 
 def fan(window: DataFrame, side: str, t: Thresholds = Thresholds()) -> DataFrame:
-    """Five distinct counterparties or more inside a trailing day. Only rows with enough legs behind them hold a list."""
-    rows = _numbered(window.where(F.col("side") == side).where("cp is not null"))
-    day = Window.partitionBy("account").orderBy("us").rangeBetween(-DAY, Window.currentRow)
-    may = rows.withColumn("most", F.max(F.col("rn") - F.col("l0") + 1).over(Window.partitionBy("account"))).where(F.col("most") >= t.fan)
-    may = may.withColumn("seen", F.collect_list(F.struct("rn", "cp")).over(day))
-    ids = F.array_sort(F.array_distinct(F.transform(F.filter("seen", lambda x: x["rn"] <= F.col("rn")), lambda x: x["cp"])))
-    may = may.where(F.col("rn") - F.col("l0") + 1 >= t.fan).withColumn("ids", ids).where(F.size("ids") >= t.fan)
-    fire = _first(may).select("account", "ids", F.col("l0").alias("lo"), F.col("rn").alias("hi"), F.col("timestamp").alias("window_end"))
-    first = rows.select("account", F.col("rn").alias("lo"), F.col("timestamp").alias("window_start"))
-    out = fire.join(first, ["account", "lo"])
+    """Five distinct counterparties or more inside a trailing day, by a sweep: no row holds a list but the one that fires.
+
+    Legs of a counterparty no more than a day apart make one episode. It counts from its first leg to a day after its last,
+    so the distinct counterparties at a leg are the episodes begun less those that have ended: a running sum.
+    """
+    rows = window.where(F.col("side") == side).where("cp is not null")
+    own = Window.partitionBy("account", "cp").orderBy("us", "row_nr")
+    apart = rows.select("account", "us", "row_nr", (F.col("us") - F.lag("us").over(own)).alias("gap"), (F.lead("us").over(own) - F.col("us")).alias("wait"))
+    event = lambda on, us, kind, step: F.when(on, F.struct(us.alias("us"), F.lit(kind).alias("kind"), F.lit(step).alias("step")))
+    begins, ends = F.col("gap").isNull() | (F.col("gap") > DAY), F.col("wait").isNull() | (F.col("wait") > DAY)
+    both = F.array(event(begins, F.col("us"), 0, 1), event(ends, F.col("us") + DAY, 1, -1))
+    events = apart.select("account", "row_nr", F.explode(F.array_compact(both)).alias("e")).select("account", "row_nr", "e.*")
+    sweep = Window.partitionBy("account").orderBy("us", "kind", "row_nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = events.withColumn("held", F.sum("step").over(sweep)).where((F.col("kind") == 0) & (F.col("held") >= t.fan))
+    fire = full.groupBy("account").agg(F.min(F.struct("us", "row_nr")).alias("hi"))
+    seen = rows.join(fire, "account").where((F.struct("us", "row_nr") <= F.col("hi")) & (F.col("us") >= F.col("hi.us") - DAY))
+    held = seen.groupBy("account").agg(F.array_sort(F.collect_set("cp")).alias("ids"), F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"))
     rule = "FAN_OUT_001" if side == "o" else "FAN_IN_001"
-    return out.select(
+    return held.select(
         "account", F.lit(rule).alias("rule_id"), F.lit(2).alias("severity"), F.size("ids").cast("long").alias("n_counterparties"),
-        F.array_join(F.slice("ids", 1, 20), ";").alias("counterparties"), (F.col("hi") - F.col("lo") + 1).cast("long").alias("n_rows"), "window_start", "window_end",
+        F.array_join(F.slice("ids", 1, 20), ";").alias("counterparties"), "n_rows", "window_start", "window_end",
     )
 
 
@@ -103,8 +116,11 @@ def corridor(profiles: DataFrame, tx: DataFrame, high_risk: tuple[str, ...] = HI
 
 
 def all_rules(tx: DataFrame, profiles: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
-    """account, ord, rule_id, severity, window_start, window_end in the fixed rule order, for all accounts at once."""
-    w = account_window(tx, t.last)
+    """account, ord, rule_id, severity, window_start, window_end in the fixed rule order, for all accounts at once.
+
+    The cut to each account's last transactions is written once and read by every rule.
+    """
+    w = written(account_window(tx, t.last), "legs")
     parts = [structuring(w, t), passthrough(w, t), fan(w, "o", t), fan(w, "i", t)] + ([corridor(profiles, tx)] if profiles is not None else [])
     rows = [p.select("account", F.lit(i + 1).alias("ord"), "rule_id", "severity", "window_start", "window_end") for i, p in enumerate(parts)]
     out = rows[0]

@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_medians
+from ..sources.tables import written
 from .features import FEATURES
 
 CLIP, MAD, EPS, FLAG = 25.0, 1.4826, 1e-8, 0.995
 
 
+def _stats(features: DataFrame) -> list[tuple[str, float, float, float]]:
+    """(feature, median, mad, std) of the fifteen columns."""
+    x = {c: F.col(c).cast("double") for c in FEATURES}
+    mid = {c: m or 0.0 for c, m in exact_medians(features, x).items()}
+    mad = exact_medians(features, {c: F.abs(x[c] - F.lit(mid[c])) for c in FEATURES})
+    std = features.agg(*[F.stddev_pop(x[c]).alias(c) for c in FEATURES]).first().asDict()
+    return [(c, mid[c], mad[c] or 0.0, std[c] or 0.0) for c in FEATURES]
+
+
 def robust_stats(features: DataFrame) -> DataFrame:
-    """feature, median, mad, std: two passes over the matrix, fifteen rows."""
-    x = lambda c: F.col(c).cast("double")
-    one = features.agg(*[F.median(x(c)).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(x(c)).alias(f"s_{c}") for c in FEATURES])
-    both = features.crossJoin(F.broadcast(one))  # one row
-    mads = both.agg(*[F.median(F.abs(x(c) - F.col(f"m_{c}"))).alias(f"d_{c}") for c in FEATURES])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("median"), F.col(f"d_{c}").alias("mad"), F.col(f"s_{c}").alias("std")) for c in FEATURES])
-    return one.crossJoin(mads).select(F.explode(rows).alias("r")).select("r.*")
+    """feature, median, mad, std: fifteen rows."""
+    return features.sparkSession.createDataFrame(_stats(features), "feature string, median double, mad double, std double")
 
 
 def robust_scores(features: DataFrame) -> DataFrame:
-    """account_id, score: mean of clipped |x - median| / scale over the features, rounded so that equal rows tie."""
-    stats = robust_stats(features).groupBy().pivot("feature", list(FEATURES)).agg(F.first("median").alias("m"), F.first("mad").alias("d"), F.first("std").alias("s"))
-    b = features.crossJoin(F.broadcast(stats))  # one row
+    """account_id, score: mean of clipped |x - median| / scale over the features, rounded so that equal rows tie. One narrow pass."""
     z = []
-    for c in FEATURES:
-        scale = F.when(F.col(f"{c}_d") > 0, MAD * F.col(f"{c}_d")).otherwise(F.col(f"{c}_s") + EPS)
-        z.append(F.least(F.abs(F.col(c).cast("double") - F.col(f"{c}_m")) / scale, F.lit(CLIP)))
-    return b.select("account_id", F.round(sum(z[1:], z[0]) / len(FEATURES), 9).alias("score"))
+    for c, mid, mad, std in _stats(features):
+        scale = MAD * mad if mad > 0 else std + EPS
+        z.append(F.least(F.abs(F.col(c).cast("double") - F.lit(mid)) / F.lit(scale), F.lit(CLIP)))
+    return features.select("account_id", F.round(sum(z[1:], z[0]) / len(FEATURES), 9).alias("score"))
+
+
+def score_of(scores: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The score rows of the accounts asked for; nulls where an account has none."""
+    return accounts.select("account_id").join(scores, "account_id", "left")
 
 
 def percentiles(scores: DataFrame) -> DataFrame:
@@ -40,7 +49,7 @@ def percentiles(scores: DataFrame) -> DataFrame:
     spark = scores.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    part = counts.repartitionByRange(n, "score").withColumn("p", F.spark_partition_id())
+    part = written(counts.repartitionByRange(n, "score").withColumn("p", F.spark_partition_id()), "ranks")  # partitions stay as they are
     run = Window.partitionBy("p").orderBy("score")
     part = part.withColumn("e", F.sum("c").over(run))
     sizes = part.groupBy("p").agg(F.sum("c").alias("t"))

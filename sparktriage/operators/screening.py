@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import jaro_winkler_udf, last_token, normalize_name, score_bound, token_sort_udf
+from ..functions.names import jaro_winkler_pairs, last_token, letter_counts, normalize_name, score_bounds, score_udf, token_sort_pairs
 
 LIMIT, COLLIDE = 0.85, 0.90
-MOST_LISTED = 200_000
+MOST_LISTED = 50_000  # spellings a block
 
 
 def build_index(records: DataFrame) -> DataFrame:
     """uid, norm, kind, list_name, seq: one row a spelling of a record; a canonical spelling wins over an equal alias."""
+    if records.isEmpty():
+        raise ValueError("the watch-list has no record")
     names = F.concat(F.array("canonical_name"), F.coalesce("aka_names", F.array().cast("array<string>")))
     rows = records.select("uid", "list_name", F.posexplode(names).alias("n", "raw")).withColumn("norm", normalize_name(F.col("raw"))).where("norm <> ''")
     first = Window.partitionBy("uid", "norm").orderBy("n")
@@ -26,27 +32,67 @@ def screen_exact(subjects: DataFrame, index: DataFrame) -> DataFrame:
     return s.join(index, "norm").select("account_id", "name", "uid", "list_name", F.lit(1.0).alias("score"), F.lit("exact").alias("scorer"), "kind", "seq")
 
 
-def screen_fuzzy(subjects: DataFrame, index: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Distinct names against the whole list. The bound rules pairs out before any is scored and is never wrong.
+def _scorer(held, limit: float):
+    """Batches of names against the listed block: letters rule most pairs out, what is left is scored many pairs at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed, alphabet, counts, size = held.value
+        for frame in batches:
+            names = frame["norm"].tolist()
+            for k in range(0, len(names), 256):
+                own = names[k : k + 256]
+                near = score_bounds(letter_counts(own, alphabet), np.array([len(x) for x in own]), counts, size) >= limit
+                i, j = np.nonzero(near)
+                for lo in range(0, len(i), 8192):
+                    a, b = [own[x] for x in i[lo : lo + 8192]], [listed[x] for x in j[lo : lo + 8192]]
+                    jw, ts = jaro_winkler_pairs(a, b), token_sort_pairs(a, b)
+                    out = pd.DataFrame({"norm": a, "other": b, "jw": jw, "ts": ts})
+                    yield out[np.maximum(jw, ts) >= limit]
+
+    return run
 
-    The list is broadcast if it has at most MOST_LISTED spellings (a checked count); beyond that the pairs are dealt by
-    the spellings' letters: a pair over the limit shares a letter, so names meet spellings through their letters.
+
+def near_names(names: DataFrame, listed: DataFrame, limit: float = LIMIT, most: int = MOST_LISTED) -> DataFrame:
+    """norm, other, jw, ts: pairs of distinct names and listed spellings whose better score is at least the limit.
+
+    All names meet all spellings, in blocks: the list comes to the tasks in blocks of at most `most` spellings, of which the
+    driver holds one at a time, whatever its length.
     """
+    spark = names.sparkSession
+    names, listed = names.select("norm").distinct(), listed.select("other").distinct()
+    blocks = max(1, -(-listed.count() // most))
+    out = None
+    for k in range(blocks):
+        part = listed.where(F.pmod(F.xxhash64("other"), F.lit(blocks)) == k) if blocks > 1 else listed
+        own = sorted(r.other for r in part.toLocalIterator())
+        alphabet = {c: i for i, c in enumerate(sorted({ord(c) for x in own for c in x}))}
+        held = spark.sparkContext.broadcast((own, alphabet, letter_counts(own, alphabet), np.array([len(x) for x in own])))
+        found = names.mapInPandas(_scorer(held, limit), "norm string, other string, jw double, ts double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def screen_fuzzy(subjects: DataFrame, index: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Hits of at least the limit, with the better scorer; distinct names are scored once, whoever bears them."""
     s = subjects.withColumn("norm", normalize_name(F.col("name"))).where("norm <> ''")
-    names = s.select("norm").distinct()
-    listed = index.select(F.col("norm").alias("other")).distinct()
-    if listed.count() <= MOST_LISTED:
-        pairs = names.join(F.broadcast(listed), score_bound(F.col("norm"), F.col("other")) >= limit)
-    else:
-        by = lambda df, c: df.withColumn("letter", F.explode(F.array_distinct(F.split(c, ""))))
-        met = by(names, "norm").join(by(listed, "other"), "letter").where(score_bound(F.col("norm"), F.col("other")) >= limit)
-        pairs = met.select("norm", "other").distinct()
-    scored = pairs.withColumn("jw", jaro_winkler_udf("norm", "other")).withColumn("ts", token_sort_udf("norm", "other"))
-    scored = scored.withColumn("score", F.greatest("jw", "ts")).where(F.col("score") >= limit).withColumn("scorer", F.when(F.col("jw") >= F.col("ts"), "jaro_winkler").otherwise("token_sort_ratio"))
+    scored = near_names(s, index.select(F.col("norm").alias("other")), limit)
+    scored = scored.withColumn("score", F.greatest("jw", "ts")).withColumn("scorer", F.when(F.col("jw") >= F.col("ts"), "jaro_winkler").otherwise("token_sort_ratio"))
     hits = scored.join(index.withColumnRenamed("norm", "other"), "other").join(s, "norm")
     return hits.select("account_id", "name", "uid", "list_name", "score", "scorer", "kind", "seq")
 
 
+def best_scores(names: DataFrame, records: DataFrame, floor: float = 0.0) -> DataFrame:
+    """norm, score, uid: the best score of each name against every spelling of every record (ties: the smaller uid).
+
+    Scores under the floor are not looked for; a name without any has score 0 and no uid.
+    """
+    index = build_index(records)
+    own = names.select("norm").distinct()
+    met = near_names(own, index.select(F.col("norm").alias("other")), floor).join(index.select(F.col("norm").alias("other"), "uid"), "other")
+    best = met.groupBy("norm").agg(F.max(F.struct(F.greatest("jw", "ts").alias("score"))).alias("top"), F.min_by("uid", F.struct(-F.greatest("jw", "ts"), "uid")).alias("uid"))
+    return own.join(best, "norm", "left").select("norm", F.coalesce("top.score", F.lit(0.0)).alias("score"), "uid")
+
+
 def best_hits(subjects: DataFrame, index: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The best hit of each account and uid (higher score, exact first, then list order), with its rank for the account."""
     hits = screen_exact(subjects, index).unionByName(screen_fuzzy(subjects, index, limit))
@@ -59,5 +105,11 @@ def surname_collisions(names: DataFrame, listed: DataFrame, limit: float = COLLI
     """Names that score at least the limit against a listed name with the same last token."""
     a = names.select(F.col("norm")).distinct().withColumn("last", last_token(F.col("norm")))
     b = listed.select(F.col("norm").alias("other")).distinct().withColumn("last", last_token(F.col("other")))
-    hit = a.join(b, "last").where(F.greatest(jaro_winkler_udf("norm", "other"), token_sort_udf("norm", "other")) >= limit)
+    hit = a.join(b, "last").where(score_udf("norm", "other") >= limit)
     return hit.select("norm").distinct()
+
+
+def require_disjoint(overlay: DataFrame, names: DataFrame) -> None:
+    """ValueError if a name of the overlay is, letter for letter, a raw name of the list."""
+    if both := overlay.select("name").intersect(names.select("name")).limit(5).collect():
+        raise ValueError(f"overlay names on the list: {', '.join(r.name for r in both)}")

@@ -1,11 +1,18 @@
-"""Evaluation slices by seeded hash order, conflict pools, and a synthetic identity overlay."""
+"""Evaluation slices by seeded hash order, conflict pools, derived names, ground truth and a synthetic identity overlay."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import replace_first, reversed_tokens, swap_adjacent
+from ..functions.names import last_token, normalize_name, replace_at, replace_first, reversed_tokens, score_udf, strip_marks, title_case
+from ..sources.files import raw_names
+from ..sources.tables import written
+from .decisions import inline_gold
+from .screening import build_index, near_names, surname_collisions
 
 
 def draw_key(c: Column, seed: str) -> Column:
@@ -36,16 +43,204 @@ def typology_key(c: Column) -> Column:
     return F.lower(F.translate(F.trim(c), "- ", "__"))
 
 
-def variants(names: DataFrame, column: str) -> DataFrame:
-    """One row for each derived spelling: as it is, tokens reversed, a letter read as a digit, two letters swapped."""
-    c = F.col(column)
-    made = F.array(*[F.struct(F.lit(f).alias("flavor"), v.alias("spelling")) for f, v in (("exact", c), ("partial_reorder", reversed_tokens(c)), ("typo_ocr", replace_first(c, "o", "0")), ("transliteration", swap_adjacent(c, 3)))])
-    return names.select(column, F.explode(made).alias("v")).select(column, "v.flavor", "v.spelling")
+def _free(pool: DataFrame, used: list[str]) -> DataFrame:
+    return pool.where(~F.col("account_id").isin(used)) if used else pool
+
+
+def take(pool: DataFrame, n: int, seed: str, what: str, used: list[str], order: Column | None = None) -> list:
+    """n rows of the accounts not used yet, in seeded order or the order given; ValueError if the pool is short. `used` grows."""
+    free = _free(pool, used).dropDuplicates(["account_id"])
+    rows = free.orderBy(draw_key(F.col("account_id"), seed) if order is None else order, "account_id").limit(n).collect()  # n is a small target
+    if len(rows) < n:
+        raise ValueError(f"{what}: {n} accounts are wanted, {len(rows)} are there")
+    used += [r.account_id for r in rows]
+    return rows
+
+
+# fixed values: how many cases of each kind
+TYPOLOGIES = {"fan_out": 3, "fan_in": 3, "cycle": 3, "scatter_gather": 3, "bipartite": 2, "stack": 2, "gather_scatter": 2, "random": 2}
+CONFLICTS = {"anomaly_no_rule": 4, "rule_no_anomaly": 4, "rule3_no_anomaly": 2}
+
+
+@dataclass(frozen=True)
+class Targets:
+    hit: int = 15
+    near_miss: int = 15
+    band: int = 10
+    typologies: Mapping[str, int] = field(default_factory=lambda: dict(TYPOLOGIES))
+    conflicts: Mapping[str, int] = field(default_factory=lambda: dict(CONFLICTS))
 
+    @property
+    def total(self) -> int:
+        return self.hit + self.near_miss + 3 * self.band + sum(self.typologies.values()) + sum(self.conflicts.values())
+
+
+EVAL_COLUMNS = "case_id string, account_id string, gold_label string, case_type string, typology string, severity_band int, conflict_type string, notes string"
+
+
+def eval_set(truth: DataFrame, state: DataFrame, senders: DataFrame, patterns: DataFrame, recent: DataFrame, t: Targets = Targets(), seed: str = "eval") -> DataFrame:
+    """The evaluation cases, slice by slice; an account serves once, and a pool that is short stops the build.
+
+    truth(row_id, account_id, match_flavor, expected_score_min, expected_score_max, gold_is_match), state(account_id, max_sev,
+    top_rule, is_flagged, percentile), senders(account_id) of labelled transactions, patterns(typology, account_id),
+    recent(account, txn_ids). The driver holds the chosen accounts alone, as many as the targets say.
+    """
+    used: list[str] = []
+    out: list[tuple] = []
+    sev, flag = F.coalesce("max_sev", F.lit(0)), F.coalesce("is_flagged", F.lit(False))
 
-def identity_overlay(accounts: DataFrame, given: list[str], family: list[str], countries: list[str], seed: str) -> DataFrame:
-    """account_id, name, country, kyc_risk drawn by hash: the same account always gets the same identity."""
-    h = lambda salt, n: F.pmod(F.xxhash64(F.col("account_id"), F.lit(f"{seed}{salt}")), F.lit(n)).cast("int")
-    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), h(salt, len(xs)) + 1)
-    risk = F.when(h("kyc", 100) < 85, "low").when(h("kyc", 100) < 97, "medium").otherwise("high")
-    return accounts.select("account_id", F.concat_ws(" ", pick(given, "g"), pick(family, "f")).alias("name"), pick(countries, "c").alias("country"), risk.alias("kyc_risk"))
+    def add(rows, prefix, gold, kind, notes, typology=None, band=None, conflict=None):
+        out.extend((f"{prefix}_{r.account_id}", r.account_id, gold, kind, typology, band, conflict, notes(r)) for r in rows)
+
+    hits = truth.where("gold_is_match AND expected_score_min >= 0.90")
+    add(take(hits, t.hit, seed, "sanctions_hit", used, F.col("row_id")), "SH", "ESCALATE", "sanctions_hit", lambda r: f"match of kind {r.match_flavor}, score from {r.expected_score_min:.2f}")
+    clear = truth.where("NOT gold_is_match").join(state, "account_id", "left").where(inline_gold(F.lit(0.0), F.col("max_sev"), F.col("is_flagged")) == "CLEAR")
+    add(take(clear, t.near_miss, f"{seed}|near", "sanctions_near_miss", used), "SNM", "CLEAR", "sanctions_near_miss", lambda r: f"shares a surname, score {r.expected_score_min:.2f} to {r.expected_score_max:.2f}")
+    own = senders.distinct().join(state, "account_id", "left")
+    for band, held in ((3, sev >= 3), (2, sev == 2), (1, sev <= 1)):
+        rows = take(own.where(held), t.band, f"{seed}|band{band}", f"ibm_labeled band {band}", used)
+        add(rows, "IBM", "ESCALATE", "ibm_labeled", lambda r, b=band: f"labelled sender, band {b}, top rule {r.top_rule or 'none'}", band=band)
+    known = patterns.select(typology_key(F.col("typology")).alias("typology"), "account_id").distinct().join(senders.distinct(), "account_id", "left_semi")
+    for name, n in t.typologies.items():
+        add(take(known.where(F.col("typology") == name), n, f"{seed}|{name}", f"typology {name}", used), "TYP", "ESCALATE", "typology", lambda r: f"in the pattern list as {r.typology}", typology=name)
+    pools = {"anomaly_no_rule": state.where(flag & (sev < 2)), "rule_no_anomaly": state.where(~flag & (sev == 2)), "rule3_no_anomaly": state.where(~flag & (sev >= 3))}
+    for name, n in t.conflicts.items():
+        gold, prefix = ("ESCALATE", "CONF_R3NA") if name == "rule3_no_anomaly" else ("CLEAR", "CONF_ANR" if name == "anomaly_no_rule" else "CONF_RNA")
+        add(take(pools[name], n, f"{seed}|{name}", f"conflict {name}", used), prefix, gold, "rules_anomaly_conflict", lambda r: f"top rule {r.top_rule or 'none'}, flagged {'yes' if r.is_flagged else 'no'}", conflict=name)
+    spark = truth.sparkSession
+    cases = spark.createDataFrame(out, EVAL_COLUMNS)
+    own = F.broadcast(cases).join(recent.withColumnRenamed("account", "account_id"), "account_id", "left")
+    return own.select(*[c.split(" ")[0] for c in EVAL_COLUMNS.split(", ")], F.coalesce("txn_ids", F.lit("")).alias("relevant_txn_ids"))
+
+
+def not_in_overlay(cases: DataFrame, overlay: DataFrame) -> DataFrame:
+    """account_id of cases that the overlay lacks."""
+    return cases.select("account_id").distinct().join(overlay, "account_id", "left_anti")
+
+
+def require_eval_set(cases: DataFrame, overlay: DataFrame, size: int) -> None:
+    """ValueError unless there are so many cases, ids of cases and accounts are unique, and every account has an identity."""
+    n = cases.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("c"), F.count_distinct("account_id").alias("a")).first()
+    if n["n"] != size:
+        raise ValueError(f"{n['n']} cases; {size} are wanted")
+    if n["c"] != size or n["a"] != size:
+        raise ValueError("an account or a case id occurs twice")
+    if lost := [r.account_id for r in not_in_overlay(cases, overlay).limit(5).collect()]:
+        raise ValueError(f"accounts without an identity: {lost}")
+
+
+# fixed values: romanisation variants, and letters that scans confuse
+TRANSLIT = (
+    ("mohammed", "mohamed"), ("hussain", "husain"), ("ahmad", "ahmed"), ("usama", "osama"), ("mukhtar", "mokhtar"), ("khoury", "khouri"),
+    ("ou", "u"), ("ph", "f"), ("ae", "a"), ("kh", "k"), ("ai", "ei"), ("ii", "i"), ("uu", "u"),
+)
+OCR = (("o", "0"), ("i", "1"), ("l", "1"), ("e", "3"), ("s", "5"), ("a", "4"), ("g", "9"), ("b", "6"))
+BOUNDS = {"exact": 1.0, "transliteration": 0.90, "typo_ocr": 0.85, "partial_reorder": 0.90}
+NEAR, CUT = (0.80, 0.88), 0.90
+
+
+def spellings(records: DataFrame) -> DataFrame:
+    """uid, canonical_name, flavor, late, key, spelling: every derived spelling of a record; late ones are tried after all others."""
+    raw = F.col("canonical_name")
+    r = records.select("uid", "canonical_name", normalize_name(raw).alias("base"), strip_marks(raw).alias("plain"))
+    key = lambda x: F.md5(F.concat_ws("|", "uid", x).cast("binary"))
+    made = lambda flavor, late, k, c: F.struct(F.lit(flavor).alias("flavor"), F.lit(late).alias("late"), k.alias("key"), c.alias("spelling"))
+    swaps = lambda flavor, subs: [F.when(F.contains("base", F.lit(a)), made(flavor, False, key(F.lit(a)), title_case(replace_first(F.col("base"), a, b)))) for a, b in subs]
+    at = F.sequence(F.lit(4), F.greatest(F.length("base") - 1, F.lit(4)))
+    letter = lambda i: F.substr("base", i, F.lit(1))
+    turned = F.transform(at, lambda i: F.when(~F.contains(F.substr("base", i, F.lit(2)), F.lit(" ")) & (letter(i) != letter(i + 1)), made("typo_ocr", True, F.lpad(i.cast("string"), 6, "0"), title_case(F.concat(F.substr("base", F.lit(1), i - 1), letter(i + 1), letter(i), F.substr("base", i + 2))))))
+    vowel = lambda i: F.translate(letter(i), "aeiou", "eioua")
+    late = lambda i: letter(i).isin(*"aeiou") & ~F.contains(F.substr("base", i - 3, F.lit(3)), F.lit(" ")) & (F.locate(" ", F.concat(F.substr("base", i + 1, F.lit(3)), F.lit(" "))) <= 3)
+    changed = F.transform(F.sequence(F.lit(4), F.greatest(F.length("base"), F.lit(4))), lambda i: F.when(late(i), made("transliteration", True, F.lpad(i.cast("string"), 6, "0"), title_case(replace_at(F.col("base"), i, vowel(i))))))
+    one = F.array(
+        F.when(F.col("plain") != raw, made("exact", False, F.lit(""), F.col("plain"))), F.when(F.size(F.split("plain", r"\s+")) > 1, made("partial_reorder", False, F.lit(""), reversed_tokens(F.regexp_replace(F.trim("plain"), r"\s+", " ")))),
+        *swaps("transliteration", TRANSLIT), *swaps("typo_ocr", OCR),
+    )
+    return r.select("uid", "canonical_name", F.explode(F.array_compact(F.concat(one, turned, changed))).alias("m")).select("uid", "canonical_name", "m.*")
+
+
+def true_positives(records: DataFrame) -> DataFrame:
+    """uid, canonical_name, flavor, spelling, score: the first spelling of each record and flavor that reaches the flavor's
+    score and isn't itself, raw or in normal form, on the list."""
+    listed = raw_names(records)
+    s = spellings(records).withColumn("norm", normalize_name(F.col("spelling")))
+    s = s.join(listed.select(F.col("name").alias("spelling")), "spelling", "left_anti")
+    same = listed.select(normalize_name(F.col("name")).alias("norm")).distinct()
+    free = s.where("flavor NOT IN ('transliteration', 'typo_ocr')").unionByName(s.where("flavor IN ('transliteration', 'typo_ocr')").join(same, "norm", "left_anti"))
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in BOUNDS.items() for x in kv]), F.col("flavor"))
+    fit = free.withColumn("score", score_udf("norm", normalize_name(F.col("canonical_name")))).where(F.col("score") >= least)
+    first = Window.partitionBy("uid", "flavor").orderBy("late", "key", "spelling")
+    return fit.withColumn("k", F.row_number().over(first)).where("k = 1").select("uid", "canonical_name", "flavor", "spelling", "score")
+
+
+def near_misses(records: DataFrame, given: list[str], seed: str = "near") -> DataFrame:
+    """uid, canonical_name, spelling, score: a given name with the record's surname (four letters or more), of score 0.80 to
+    0.88 to the record and under 0.90 to every name of the list; the first in seeded order."""
+    r = records.select("uid", "canonical_name", normalize_name(F.col("canonical_name")).alias("base"))
+    r = r.withColumn("last", last_token(F.col("base"))).where("length(last) >= 4")
+    each = r.select("*", F.explode(F.array(*map(F.lit, given))).alias("given")).withColumn("norm", F.lower(F.concat_ws(" ", "given", "last"))).where("norm <> base")
+    fit = each.withColumn("score", score_udf("norm", "base")).where(F.col("score").between(*NEAR))
+    fit = written(fit, "near")
+    close = near_names(fit, build_index(records).select(F.col("norm").alias("other")), CUT).select("norm").distinct()
+    first = Window.partitionBy("uid").orderBy(draw_key(F.concat_ws("|", "uid", "given"), seed), "given")
+    out = fit.join(close, "norm", "left_anti").withColumn("k", F.row_number().over(first)).where("k = 1")
+    return out.select("uid", "canonical_name", title_case(F.col("norm")).alias("spelling"), "score")
+
+
+def fixtures(accounts: DataFrame, records: DataFrame, given: list[str], seed: str = "overlay", each: int = 5, near: int = 30) -> DataFrame:
+    """Ground-truth rows: `each` matches of every flavor, of distinct records, and `near` near misses, on accounts drawn by seed."""
+    own = records.where("entry_type = 'Individual'")
+    match, used, rows = written(true_positives(own), "matches"), [], []
+    for flavor, least in BOUNDS.items():
+        pool = match.where((F.col("flavor") == flavor) & ~F.col("uid").isin(used or [""]))
+        got = pool.orderBy(draw_key(F.col("uid"), f"{seed}|{flavor}"), "uid").limit(each).collect()
+        if len(got) < each:
+            raise ValueError(f"{flavor}: {each} records are wanted, {len(got)} fit")
+        used += [r.uid for r in got]
+        rows += [(r.spelling, r.uid, r.canonical_name, flavor, least, 1.0, True) for r in got]
+    got = near_misses(own, given, seed).orderBy(draw_key(F.col("uid"), f"{seed}|near"), "uid").limit(near).collect()
+    if len(got) < near:
+        raise ValueError(f"near misses: {near} are wanted, {len(got)} fit")
+    rows += [(r.spelling, r.uid, r.canonical_name, "hard_negative", *NEAR, False) for r in got]
+    drawn = [r.account_id for r in sample(accounts, "account_id", len(rows), seed).collect()]
+    if len(drawn) < len(rows):
+        raise ValueError("there are fewer accounts than fixtures")
+    held = [(i, a, *r) for i, (a, r) in enumerate(zip(sorted(drawn), rows, strict=True))]
+    return accounts.sparkSession.createDataFrame(held, "row_id int, account_id string, assigned_name string, ofac_uid string, ofac_canonical_name string, match_flavor string, expected_score_min double, expected_score_max double, gold_is_match boolean")
+
+
+DRAWS = 16
+
+
+def _drawn(c: Column, salt: Column | str, n: int) -> Column:
+    """0 to n - 1 from the md5 of an id and a salt: the same in any engine."""
+    digest = F.md5(F.concat(c, F.lit("|"), salt if isinstance(salt, Column) else F.lit(salt)).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+def identity_overlay(accounts: DataFrame, given: list[str], family: list[str], countries: list[str], seed: str, records: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+    """account_id, name, country, kyc_risk: fixtures keep their names, the others draw one by hash, again if it collides.
+
+    A name collides if in normal form it is on the list, or scores 0.90 or more against a listed name with its last token.
+    All possible names are few, so they are screened once; an account takes its first draw of DRAWS that is free, or else a
+    number after its last draw.
+    """
+    a = F.col("account_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
+    name = lambda k: F.concat_ws(" ", pick(given, _drawn(a, F.concat(F.lit(f"{seed}g"), k), len(given))), pick(family, _drawn(a, F.concat(F.lit(f"{seed}f"), k), len(family))))
+    bad: list[str] = []
+    if records is not None:
+        every = accounts.sparkSession.createDataFrame([(f"{g} {f}",) for g in given for f in family], "name string").withColumn("norm", normalize_name(F.col("name")))
+        index = build_index(records).select("norm")
+        hit = every.join(index.distinct(), "norm", "left_semi").select("norm").unionByName(surname_collisions(every, index)).distinct()
+        bad = [r.name for r in every.join(hit, "norm", "left_semi").select("name").collect()]  # of len(given) * len(family) names
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: name(i.cast("string")))
+    free = F.filter(draws, lambda x: ~F.array_contains(F.array(*map(F.lit, bad)), x)) if bad else draws
+    last = F.concat_ws(" ", F.element_at(draws, -1), (_drawn(a, f"{seed}n", 9000) + 1000).cast("string"))
+    k = _drawn(a, f"{seed}kyc", 100)
+    risk = F.when(k < 85, "low").when(k < 97, "medium").otherwise("high")
+    out = accounts.select("account_id", F.coalesce(F.try_element_at(free, F.lit(1)), last).alias("name"), pick(countries, _drawn(a, f"{seed}c", len(countries))).alias("country"), risk.alias("kyc_risk"))
+    if truth is None:
+        return out
+    own = F.broadcast(truth.select("account_id", "assigned_name").limit(10_000))  # fixtures are some fifty rows
+    return out.join(own, "account_id", "left").select("account_id", F.coalesce("assigned_name", "name").alias("name"), "country", "kyc_risk")

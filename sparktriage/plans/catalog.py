@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import jaro_winkler_udf, normalize_name, token_sort_udf
-from ..operators import decisions, evaluation, features, graph, rules, scoring, screening, slices, strategies, validation
-from ..sources.files import pattern_labels
+from ..operators import baseline, decisions, evaluation, features, graph, rules, scoring, screening, slices, strategies, validation
+from ..sources.files import pattern_labels, raw_names
 from . import inputs
 from .oracles import ORACLES
 
@@ -125,7 +125,7 @@ def account_window_trim(spark, d):
 
 @query
 def rule_structuring(spark, d):
-    return rules.structuring(rules.account_window(inputs.tx(spark, d))).drop("amounts")
+    return rules.structuring(rules.account_window(inputs.tx(spark, d)))
 
 
 @query
@@ -237,7 +237,7 @@ def case_override(spark, d):
 
 @query
 def override_rates(spark, d):
-    return evaluation.rates(_phase(spark, d))
+    return evaluation.rates(_phase(spark, d).withColumns({"cost_usd": F.lit(0.0), "tokens_used": F.lit(0).cast("long")}))
 
 
 @query
@@ -281,27 +281,101 @@ def eval_slices(spark, d):
     return slices.stratified(pool, "conflict_type", "account_id", {"anomaly_no_rule": 4, "rule_no_anomaly": 4, "rule3_no_anomaly": 2}, "slices")
 
 
+@query
+def eval_set(spark, d):
+    """All five slices in order, with small targets so that the smallest tables can fill them."""
+    p = inputs.pools(spark, d)
+    t = slices.Targets(5, 5, 4, {t.lower().replace("-", "_"): 1 for t in inputs.TYPOLOGIES}, {"anomaly_no_rule": 2, "rule_no_anomaly": 2, "rule3_no_anomaly": 1})
+    cases = slices.eval_set(p["truth"], p["state"], p["senders"], p["patterns"], rules.recent_ids(inputs.tx(spark, d)), t)
+    slices.require_eval_set(cases, p["state"], t.total)
+    return cases.withColumn("severity_band", F.coalesce("severity_band", F.lit(0)))
+
+
+@query
+def eval_not_in_overlay(spark, d):
+    """Customers as cases against the identities of the accounts that moved money."""
+    return slices.not_in_overlay(inputs.cases(spark, d), inputs.overlay(spark, d))
+
+
+@query
+def overlay_on_list(spark, d):
+    """Names that overlay and watch-list share letter for letter."""
+    return inputs.overlay(spark, d).select(F.lower("name").alias("name")).intersect(raw_names(inputs.records(spark, d)))
+
+
+@query
+def identity_overlay(spark, d):
+    return slices.identity_overlay(inputs.accounts(spark, d), list(inputs.GIVEN), list(inputs.FAMILY), list(inputs.COUNTRIES), "draw", inputs.records(spark, d))
+
+
+@query
+def best_list_score(spark, d):
+    """The best score of each identity's name against the whole list."""
+    names = inputs.overlay(spark, d).select(normalize_name(F.col("name")).alias("norm"))
+    return screening.best_scores(names, inputs.records(spark, d), 0.6).select("norm", F.round("score", 9).alias("score"))
+
+
+@query
+def score_lookup(spark, d):
+    """Scores of the customers; -1 here where one moved no money."""
+    o = features.outbound(inputs.tx(spark, d)).select("account_id", F.floor(F.col("amount_mean") / 100).cast("double").alias("score"))
+    return scoring.score_of(scoring.percentiles(o), inputs.profiles(spark, d)).select("account_id", F.coalesce("score", F.lit(-1.0)).alias("score"), F.round(F.coalesce("percentile", F.lit(-1.0)), 6).alias("percentile"))
+
+
+@query
+def derived_spellings(spark, d):
+    """Every flavor's first fitting spelling of each record."""
+    return slices.true_positives(inputs.records(spark, d).withColumn("canonical_name", F.translate("canonical_name", "e", "é"))).select("uid", "flavor", "spelling", F.round("score", 9).alias("score"))
+
+
+@query
+def near_miss_names(spark, d):
+    return slices.near_misses(inputs.records(spark, d), ["anna", "bruno", "carla", "smale", "redd", "bloo", "larger", "greta"]).select("uid", "spelling", F.round("score", 9).alias("score"))
+
+
+def _ready(spark, d):
+    """Cases with their baseline disposition."""
+    return decisions.decision_table(inputs.cases(spark, d)).withColumnRenamed("disposition", "baseline_disposition").drop("decision_reason")
+
+
+@query
+def evidence_bundle(spark, d):
+    """The five-key bundle written as JSON and read back."""
+    c = decisions.decision_table(inputs.cases(spark, d))
+    hits = F.when(F.col("max_hit").isNotNull(), F.array(F.struct(F.lit("U").alias("uid"), F.col("max_hit").alias("score"))))
+    low = F.when(F.col("max_sev") < 3, F.array(F.struct(F.lit("FAN_OUT_001").alias("rule_id"), F.col("max_sev").alias("severity"))))
+    firings = F.coalesce(low, F.transform("sev3_ids", lambda r: F.struct(r.alias("rule_id"), F.lit(3).alias("severity"))))
+    back = decisions.read_evidence(decisions.evidence(c.withColumns({"hits": hits, "firings": firings})))
+    none = {c: F.coalesce(c, F.lit(-1.0)) for c in ("max_hit", "score", "percentile")}
+    return back.withColumns(none | {"sev3_ids": F.array_join("sev3_ids", ","), "max_sev": F.coalesce("max_sev", F.lit(0)), "is_flagged": F.coalesce("is_flagged", F.lit(False))})
+
+
 @query
 def strategy_agreement(spark, d):
-    results, _ = strategies.run_all(inputs.cases(spark, d))
-    return strategies.agreement(results, len(strategies.REGISTRY))
+    results, errors = strategies.run_all(_ready(spark, d))
+    return strategies.agreement(results, len(strategies.REGISTRY), errors)
+
+
+@query
+def strategy_metrics(spark, d):
+    results, _ = strategies.run_all(_ready(spark, d))
+    return evaluation.framework_metrics(results, inputs.cases(spark, d))
 
 
 @query
 def result_invariants(spark, d):
-    c = inputs.cases(spark, d)
-    results, _ = strategies.run_all(c)
-    return strategies.invariants(results.where("NOT (framework = 'sql' AND case_id LIKE '%7')"), c.where("case_id NOT LIKE '%13'"), 100)
+    results, _ = strategies.run_all(_ready(spark, d))
+    return strategies.invariants(results, inputs.cases(spark, d))
 
 
 @query
 def entity_triage(spark, d):
-    """Flagship: every account's rules and outlier percentile through the policy, as one plan."""
-    tx = inputs.tx(spark, d)
-    fired = rules.all_rules(tx, inputs.profiles(spark, d)).groupBy(F.col("account").alias("account_id")).agg(
-        F.max("severity").alias("max_sev"), F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == 3, F.struct("ord", "rule_id")))), lambda x: x["rule_id"]).alias("sev3_ids"),
+    """Flagship: screening, rules and robust outlier score of every account as a case, the baseline's decision and the policy's."""
+    own = inputs.overlay(spark, d)
+    cases = own.select(F.concat(F.lit("T"), "account_id").alias("case_id"), "account_id")
+    base = baseline.run_baseline(cases, inputs.tx(spark, d), own, screening.build_index(inputs.records(spark, d)))
+    told = decisions.policy(base.withColumnRenamed("disposition", "baseline_disposition").drop("decision_reason"))
+    return told.select(
+        "case_id", "account_id", "disposition", "decision_reason", "human_review", "baseline_disposition", F.round(F.coalesce("max_hit", F.lit(0.0)), 6).alias("max_hit"),
+        F.coalesce("max_sev", F.lit(0)).alias("max_sev"), _r("score", 4), F.round("percentile", 6).alias("percentile"),
     )
-    mean = features.outbound(tx).select("account_id", F.floor(F.col("amount_mean") / 100).cast("double").alias("score"))
-    ranked = scoring.percentiles(mean).select("account_id", "score", "percentile")
-    own = validation.accounts_universe(tx).join(fired, "account_id", "left").join(ranked, "account_id", "left").withColumn("max_hit", F.lit(None).cast("double"))
-    return decisions.policy(own).select("account_id", "disposition", "decision_reason", "human_review", F.coalesce("max_sev", F.lit(0)).alias("max_sev"), F.round(F.coalesce("percentile", F.lit(0.0)), 6).alias("percentile"))

@@ -67,3 +67,37 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     })
     ids = F.when(F.col("max_sev") == 3, F.array(F.lit("STRUCT_001"), F.lit("PASSTHROUGH_001"))).otherwise(F.array().cast("array<string>"))
     return c.withColumn("sev3_ids", ids).withColumn("is_flagged", F.col("percentile") >= 0.995).drop("k")
+
+
+def overlay(spark: SparkSession, d: str) -> DataFrame:
+    """account_id, name, country, kyc_risk of every account: a spelling of the part name with the account's number."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("account_id"), "p_name")
+    k = F.col("account_id").cast("long")
+    a, b = F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), -1)
+    name = F.when(k % 4 == 0, F.upper("p_name")).when(k % 4 == 1, F.concat(b, F.lit("  "), a)).when(k % 4 == 2, F.translate("p_name", "o", "0")).otherwise(F.concat(a, F.lit(" "), F.substring(b, 1, 3)))
+    country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (k % len(COUNTRIES)).cast("int") + 1)
+    risk = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (k % 3).cast("int") + 1)
+    return accounts(spark, d).join(part, "account_id").select("account_id", name.alias("name"), country.alias("country"), risk.alias("kyc_risk"))
+
+
+GIVEN, FAMILY = ("small", "red", "blue", "anna", "bruno"), ("ring", "bolt", "widget", "keller", "moreau")
+# fixed values: typologies as pattern lists write them
+TYPOLOGIES = ("FAN-OUT", "FAN-IN", "CYCLE", "SCATTER-GATHER", "BIPARTITE", "STACK", "GATHER-SCATTER", "RANDOM")
+
+
+def pools(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What the evaluation set draws from, by arithmetic on customer keys."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("account_id"))
+    k = F.col("k")
+    pick = lambda n, *vs: F.element_at(F.array(*vs), F.pmod(n, F.lit(len(vs))).cast("int") + 1)
+    sev = pick(k, F.lit(None).cast("int"), F.lit(1), F.lit(2), F.lit(3), F.lit(2))
+    rule = pick(k, F.lit(None).cast("string"), F.lit("CORRIDOR_001"), F.lit("FAN_OUT_001"), F.lit("STRUCT_001"), F.lit("FAN_IN_001"))
+    match = k % 6 == 0
+    least = F.when(match & (k % 12 == 0), 0.90).when(match, 0.85).otherwise(0.80)
+    names = [F.lit(t) for t in TYPOLOGIES]
+    return {
+        "state": c.select("account_id", sev.alias("max_sev"), rule.alias("top_rule"), (k % 10 == 0).alias("is_flagged"), (k * 37 % 1000 / 1000.0).alias("percentile")),
+        "truth": c.where(k % 3 == 0).select(k.alias("row_id"), "account_id", pick(k, F.lit("exact"), F.lit("typo_ocr"), F.lit("partial_reorder")).alias("match_flavor"), least.alias("expected_score_min"), F.when(match, 1.0).otherwise(0.88).alias("expected_score_max"), match.alias("gold_is_match")),
+        "senders": c.where(k % 4 != 1).select("account_id"),
+        "patterns": c.select(pick(k, *names).alias("typology"), "account_id").unionByName(c.where(k % 7 == 0).select(pick(k + 3, *names).alias("typology"), "account_id")),
+    }

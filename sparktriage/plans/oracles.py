@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.rules import BLACK, HIGH_RISK
-from .inputs import COUNTRIES, RISKS
+from .inputs import COUNTRIES, FAMILY, GIVEN, RISKS, TYPOLOGIES
 
 TX = """tx AS (SELECT event_id AS row_nr, ts, CAST(user_id AS VARCHAR) AS f, json_extract_string(props, '$.k') AS t, round(value * 100, 2) AS amt, event_type, CAST(event_type = 'error' AS INTEGER) AS bad FROM events),
 legs AS (SELECT row_nr, ts, epoch_us(ts) AS us, 'o' AS side, f AS account, t AS cp, amt FROM tx UNION ALL SELECT row_nr, ts, epoch_us(ts), 'i', t, f, amt FROM tx)"""
@@ -44,8 +44,8 @@ def _fan(side: str, least: int, name: str = "fan") -> str:
 
 
 STRUCT = f"""sl AS (SELECT * FROM legs WHERE side = 'o' AND amt >= 8000 AND amt < 9900),
-struct_p AS (SELECT r.account, r.us, r.row_nr, r.ts, count(*) AS txn_count, min(j.ts) AS window_start FROM sl r JOIN sl j ON j.account = r.account AND j.us >= r.us - {DAY} AND (j.us < r.us OR (j.us = r.us AND j.row_nr <= r.row_nr)) GROUP BY ALL HAVING count(*) >= 3),
-struc AS (SELECT account, 'STRUCT_001' AS rule_id, 3 AS severity, txn_count, window_start, ts AS window_end FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY us, row_nr) AS k FROM struct_p) WHERE k = 1)"""
+struct_p AS (SELECT r.account, r.us, r.row_nr, r.ts, count(*) AS txn_count, string_agg(format('{{:,.2f}}', j.amt), ';' ORDER BY j.us, j.row_nr) AS amounts, min(j.ts) AS window_start FROM sl r JOIN sl j ON j.account = r.account AND j.us >= r.us - {DAY} AND (j.us < r.us OR (j.us = r.us AND j.row_nr <= r.row_nr)) GROUP BY ALL HAVING count(*) >= 3),
+struc AS (SELECT account, 'STRUCT_001' AS rule_id, 3 AS severity, txn_count, amounts, window_start, ts AS window_end FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY us, row_nr) AS k FROM struct_p) WHERE k = 1)"""
 PASS = f"""pass_p AS (SELECT i.account, i.us, i.row_nr, i.ts, i.amt, sum(o.amt) AS s, count(*) AS n, max(o.ts) AS e FROM legs i JOIN legs o ON o.account = i.account AND o.side = 'o' AND o.us > i.us AND o.us < i.us + {DAY} WHERE i.side = 'i' AND i.amt > 0 GROUP BY ALL HAVING sum(o.amt) / i.amt >= 0.8),
 pas AS (SELECT account, 'PASSTHROUGH_001' AS rule_id, 3 AS severity, round(amt, 4) AS inbound_amount, round(s, 4) AS outbound_sum, round(s / amt, 4) AS ratio, n AS n_outbound, ts AS window_start, e AS window_end FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY us, row_nr) AS k FROM pass_p) WHERE k = 1)"""
 CORR = f"""cor AS (SELECT p.account_id AS account, 'CORRIDOR_001' AS rule_id, 1 AS severity, country, CASE WHEN country IN {_IN(BLACK)} THEN 'FATF_BLACKLIST' ELSE 'HIGH_RISK' END AS label,
@@ -110,6 +110,57 @@ def _metric(t: str) -> str:
 
 CONFLICT = "cf AS (SELECT account_id, CASE WHEN f AND s < 2 THEN 'anomaly_no_rule' WHEN NOT f AND s = 2 THEN 'rule_no_anomaly' WHEN NOT f AND s >= 3 THEN 'rule3_no_anomaly' END AS conflict_type FROM (SELECT account_id, coalesce(max_sev, 0) AS s, coalesce(is_flagged, false) AS f FROM cs))"
 
+OVERLAY = f"""ov AS (SELECT *, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS norm FROM (SELECT account_id, ({_LIST})[p_partkey % {len(COUNTRIES)} + 1] AS country, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', -1) || '  ' || split_part(p_name, ' ', 1)
+  WHEN 2 THEN replace(p_name, 'o', '0') ELSE split_part(p_name, ' ', 1) || ' ' || substr(split_part(p_name, ' ', -1), 1, 3) END AS name FROM acc JOIN part ON CAST(p_partkey AS VARCHAR) = account_id))"""
+
+
+def _triage() -> str:
+    scores = f"{MATRIX.removeprefix(f'WITH {TX}, {ACC}, ')}, {STATS}, zs AS (SELECT account_id, round(sum(least(abs(x - median) / CASE WHEN mad > 0 THEN 1.4826 * mad ELSE std + 1e-8 END, 25)) / 15, 9) AS score FROM lg JOIN st USING (feature) GROUP BY account_id)"
+    ranks = "zp AS (SELECT account_id, score, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () AS percentile FROM zs)"
+    hits = f"pr AS (SELECT DISTINCT ov.norm AS a, ix.norm AS b FROM ov, ix), {_ratio('pr')}, mh AS (SELECT a AS norm, max(greatest(ts, jaro_winkler_similarity(a, b))) AS h FROM tr WHERE greatest(ts, jaro_winkler_similarity(a, b)) >= 0.85 GROUP BY a)"
+    fired = f"{STRUCT}, {PASS}, {_fan('o', 5, 'fo')}, {_fan('i', 5, 'fi')}, {CORR.replace('prof p', 'ov p')}, al AS (" + " UNION ALL ".join(f"SELECT account, severity FROM {t}" for t in ("struc", "pas", "fo", "fi", "cor")) + "), sv AS (SELECT account AS account_id, max(severity) AS max_sev FROM al GROUP BY account)"
+    cases = "cs AS (SELECT 'T' || account_id AS case_id, account_id, h AS max_hit, max_sev, score, percentile, percentile >= 0.995 AS is_flagged FROM ov LEFT JOIN mh USING (norm) LEFT JOIN sv USING (account_id) LEFT JOIN zp USING (account_id))"
+    return f"""WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, {OVERLAY}, {hits}, {scores}, {ranks}, {fired}, {cases}, {BASE}, {_policy('cs')}
+      SELECT case_id, po.account_id, po.disposition, po.decision_reason, human_review, bs.disposition AS baseline_disposition, round(coalesce(po.max_hit, 0), 6) AS max_hit, coalesce(po.max_sev, 0) AS max_sev, round(po.score, 4) AS score, round(po.percentile, 6) AS percentile FROM po JOIN bs USING (case_id)"""
+
+
+def _eval_set() -> str:
+    keys = [t.lower().replace("-", "_") for t in TYPOLOGIES]
+    quoted = "[" + ", ".join(f"'{t}'" for t in keys) + "]"
+    base = f"""st AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS account_id, coalesce(([NULL, 1, 2, 3, 2])[c_custkey % 5 + 1], 0) AS sev, ([NULL, 'CORRIDOR_001', 'FAN_OUT_001', 'STRUCT_001', 'FAN_IN_001'])[c_custkey % 5 + 1] AS top_rule, c_custkey % 10 = 0 AS flag FROM customer),
+    pt AS (SELECT account_id, ({quoted})[k % 8 + 1] AS typology FROM st WHERE k % 4 <> 1 UNION SELECT account_id, ({quoted})[(k + 3) % 8 + 1] FROM st WHERE k % 7 = 0 AND k % 4 <> 1)"""
+    steps = [
+        ("SELECT * FROM st WHERE k % 12 = 0", "k", 5, "'SH'", "ESCALATE", "sanctions_hit", "'match of kind exact, score from 0.90'", None, None, None),
+        ("SELECT * FROM st WHERE k % 3 = 0 AND k % 6 <> 0 AND NOT (sev >= 3 OR (flag AND sev >= 2))", "md5(account_id || '|eval|near')", 5, "'SNM'", "CLEAR", "sanctions_near_miss", "'shares a surname, score 0.80 to 0.88'", None, None, None),
+    ]
+    for band, held in ((3, "sev >= 3"), (2, "sev = 2"), (1, "sev <= 1")):
+        steps.append((f"SELECT * FROM st WHERE k % 4 <> 1 AND {held}", f"md5(account_id || '|eval|band{band}')", 4, "'IBM'", "ESCALATE", "ibm_labeled", f"'labelled sender, band {band}, top rule ' || coalesce(top_rule, 'none')", None, band, None))
+    steps += [(f"SELECT * FROM pt WHERE typology = '{t}'", f"md5(account_id || '|eval|{t}')", 1, "'TYP'", "ESCALATE", "typology", f"'in the pattern list as {t}'", t, None, None) for t in keys]
+    told = "'top rule ' || coalesce(top_rule, 'none') || ', flagged ' || CASE WHEN flag THEN 'yes' ELSE 'no' END"
+    for name, held, n, prefix, gold in (("anomaly_no_rule", "flag AND sev < 2", 2, "CONF_ANR", "CLEAR"), ("rule_no_anomaly", "NOT flag AND sev = 2", 2, "CONF_RNA", "CLEAR"), ("rule3_no_anomaly", "NOT flag AND sev >= 3", 1, "CONF_R3NA", "ESCALATE")):
+        steps.append((f"SELECT * FROM st WHERE {held}", f"md5(account_id || '|eval|{name}')", n, f"'{prefix}'", gold, "rules_anomaly_conflict", told, None, None, name))
+    ctes, parts = [base], []
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    for i, (pool, order, n, prefix, gold, kind, notes, typology, band, conflict) in enumerate(steps):
+        used = "".join(f" AND account_id NOT IN (SELECT account_id FROM e{j})" for j in range(i))
+        ctes.append(f"e{i} AS (SELECT {prefix} || '_' || account_id AS case_id, account_id, '{gold}' AS gold_label, '{kind}' AS case_type, CAST({text(typology)} AS VARCHAR) AS typology, CAST({band or 0} AS INTEGER) AS severity_band, CAST({text(conflict)} AS VARCHAR) AS conflict_type, {notes} AS notes FROM ({pool}) p WHERE true{used} ORDER BY {order}, account_id LIMIT {n})")
+        parts.append(f"SELECT * FROM e{i}")
+    recent = "rc AS (SELECT account, string_agg(CAST(row_nr AS VARCHAR), ';' ORDER BY row_nr) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY row_nr DESC) AS k FROM (SELECT DISTINCT account, row_nr FROM legs)) WHERE k <= 5 GROUP BY account)"
+    return f"WITH {TX}, {recent}, {', '.join(ctes)} SELECT u.*, coalesce(ids, '') AS relevant_txn_ids FROM ({' UNION ALL '.join(parts)}) u LEFT JOIN rc ON rc.account = u.account_id"
+
+
+def _drawn_overlay() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    draw = lambda salt, n: f"CAST(('0x' || substr(md5(account_id || '|' || {salt}), 1, 8))::BIGINT % {n} AS INTEGER)"
+    name = f"({quoted(GIVEN)})[{draw(chr(39) + 'drawg' + chr(39) + ' || i', len(GIVEN))} + 1] || ' ' || ({quoted(FAMILY)})[{draw(chr(39) + 'drawf' + chr(39) + ' || i', len(FAMILY))} + 1]"
+    k = draw("'drawkyc'", 100)
+    return f"""WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, av AS (SELECT g || ' ' || f AS a FROM (SELECT unnest({quoted(GIVEN)}) AS g), (SELECT unnest({quoted(FAMILY)}) AS f)),
+      pr AS (SELECT DISTINCT a, norm AS b FROM av, ix WHERE split_part(a, ' ', -1) = split_part(norm, ' ', -1)), {_ratio('pr')}, bad AS (SELECT a FROM tr WHERE greatest(ts, jaro_winkler_similarity(a, b)) >= 0.90 UNION SELECT norm FROM ix),
+      dr AS (SELECT account_id, i, {name} AS name FROM acc, (SELECT unnest(range(0, 16)) AS i)), fr AS (SELECT account_id, min_by(name, i) AS name FROM dr WHERE name NOT IN (SELECT a FROM bad) GROUP BY account_id)
+      SELECT acc.account_id, coalesce(fr.name, (SELECT any_value(d.name) FROM dr d WHERE d.account_id = acc.account_id AND d.i = 15) || ' ' || CAST(({draw("'drawn'", 9000).replace('account_id', 'acc.account_id')}) + 1000 AS VARCHAR)) AS name,
+        ({_LIST})[{draw("'drawc'", len(COUNTRIES)).replace('account_id', 'acc.account_id')} + 1] AS country, CASE WHEN {k.replace('account_id', 'acc.account_id')} < 85 THEN 'low' WHEN {k.replace('account_id', 'acc.account_id')} < 97 THEN 'medium' ELSE 'high' END AS kyc_risk FROM acc LEFT JOIN fr USING (account_id)"""
+
+
 ORACLES: dict[str, str] = {
     "accounts_universe": f"WITH {TX}, {ACC} SELECT account_id FROM acc",
     "validation_report": f"""WITH {TX}, {ACC}, a AS (SELECT count(*) AS n, avg(CAST(bad AS DOUBLE)) AS r, count(*) FILTER (WHERE bad NOT IN (0, 1)) AS odd, count(*) FILTER (WHERE f IS NULL) + count(*) FILTER (WHERE t IS NULL) + count(*) FILTER (WHERE amt IS NULL) AS k,
@@ -132,7 +183,7 @@ ORACLES: dict[str, str] = {
     "entity_chain": f"""WITH {TX}, {ACC}, {EDGE}, {HOP2}, {LABEL}, {PROF}, n1 AS (SELECT account, string_agg(cp, ',' ORDER BY cp) AS hop1 FROM ed GROUP BY account), n2 AS (SELECT account, string_agg(cp, ',' ORDER BY cp) AS hop2 FROM h2 GROUP BY account)
       SELECT acc.account_id, coalesce(name, 'UNKNOWN') AS name, country, kyc_risk, coalesce(hop1, '') AS hop1, coalesce(hop2, '') AS hop2, label AS pattern_label FROM acc LEFT JOIN prof USING (account_id) LEFT JOIN n1 ON n1.account = acc.account_id LEFT JOIN n2 ON n2.account = acc.account_id LEFT JOIN lb ON lb.account_id = acc.account_id""",
     "account_window_trim": f"WITH {TX} SELECT account, row_nr, side FROM (SELECT *, dense_rank() OVER (PARTITION BY account ORDER BY us DESC, row_nr DESC) AS k FROM legs) WHERE k <= 20",
-    "rule_structuring": f"WITH {TX}, {STRUCT} SELECT account, rule_id, severity, txn_count, window_start, window_end FROM struc",
+    "rule_structuring": f"WITH {TX}, {STRUCT} SELECT account, rule_id, severity, txn_count, amounts, window_start, window_end FROM struc",
     "rule_passthrough": f"WITH {TX}, {PASS} SELECT * FROM pas",
     "rule_fan_out": f"WITH {TX}, {_fan('o', 5)} SELECT * FROM fan",
     "rule_fan_in": f"WITH {TX}, {_fan('i', 5)} SELECT * FROM fan",
@@ -152,7 +203,7 @@ ORACLES: dict[str, str] = {
     "decision_table": f"WITH {CASES}, {BASE} SELECT case_id, disposition, decision_reason FROM bs",
     "decision_policy": f"WITH {CASES}, {_policy('cs')} SELECT case_id, disposition, decision_reason, {REASONING} AS reasoning, confidence, human_review FROM po",
     "case_override": f"WITH {CASES}, {BASE}, {_policy('cs')} SELECT case_id, po.disposition, bs.disposition AS baseline_disposition, po.disposition <> bs.disposition AS agent_override FROM po JOIN bs USING (case_id)",
-    "override_rates": f"WITH {CASES}, {BASE}, {_policy('cs')} SELECT round(avg(CAST(po.disposition <> bs.disposition AS DOUBLE)), 6) AS override_rate, round(avg(CAST(human_review AS DOUBLE)), 6) AS review_rate, count(*) AS n FROM po JOIN bs USING (case_id)",
+    "override_rates": f"WITH {CASES}, {BASE}, {_policy('cs')} SELECT round(avg(CAST(po.disposition <> bs.disposition AS DOUBLE)), 6) AS override_rate, round(avg(CAST(human_review AS DOUBLE)), 6) AS review_rate, round(avg(po.latency_ms), 6) AS latency_mean, min(po.latency_ms) AS latency_min, max(po.latency_ms) AS latency_max, 0.0::DOUBLE AS total_cost, 0::BIGINT AS total_tokens, true AS zero_cost, true AS zero_tokens, count(*) AS n FROM po JOIN bs USING (case_id)",
     "case_weights": f"WITH {CASES} SELECT case_id, CAST({WEIGHT} AS INTEGER) AS weight FROM cs",
     "metric_report": f"WITH {CASES}, {BASE} {_metric('bs')}",
     "metric_delta": f"WITH {CASES}, {BASE}, {_policy('cs')}, p AS ({_metric('po')}), q AS ({_metric('bs')}) SELECT round(p.accuracy - q.accuracy, 6) AS delta_accuracy, round(p.weighted_false_clear - q.weighted_false_clear, 6) AS delta_false_clear FROM p, q",
@@ -160,11 +211,16 @@ ORACLES: dict[str, str] = {
     "duplicate_names": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "conflict_pools": f"WITH {CASES}, {CONFLICT} SELECT * FROM cf WHERE conflict_type IS NOT NULL",
     "eval_slices": f"WITH {CASES}, {CONFLICT} SELECT account_id, conflict_type FROM (SELECT *, row_number() OVER (PARTITION BY conflict_type ORDER BY md5(account_id || '|slices'), account_id) AS k FROM cf) WHERE k <= CASE conflict_type WHEN 'anomaly_no_rule' THEN 4 WHEN 'rule_no_anomaly' THEN 4 WHEN 'rule3_no_anomaly' THEN 2 ELSE 0 END",
-    "strategy_agreement": f"WITH {CASES} SELECT count(*) AS n_cases, true AS case_ids_agree, true AS disposition_agree, true AS decision_reason_agree, true AS confidence_agree, true AS human_review_agree, true AS passed FROM cs",
-    "result_invariants": f"""WITH {CASES}, fw AS (SELECT unnest(['columns', 'sql', 'arrow']) AS framework), r AS (SELECT framework, case_id FROM cs, fw WHERE NOT (framework = 'sql' AND case_id LIKE '%7')), w AS (SELECT framework, case_id FROM cs, fw WHERE case_id NOT LIKE '%13')
-      SELECT framework, 'count' AS "check", abs((SELECT count(*) FROM r WHERE r.framework = fw.framework) - 100) AS bad FROM fw UNION ALL SELECT framework, 'duplicates', 0 FROM fw UNION ALL SELECT framework, 'empty', 0 FROM fw
-      UNION ALL SELECT framework, 'missing', (SELECT count(*) FROM w WHERE w.framework = fw.framework AND NOT EXISTS (SELECT 1 FROM r WHERE r.framework = w.framework AND r.case_id = w.case_id)) FROM fw
-      UNION ALL SELECT framework, 'extra', (SELECT count(*) FROM r WHERE r.framework = fw.framework AND r.case_id LIKE '%13') FROM fw""",
-    "entity_triage": f"""WITH {ALL}, {ACC}, {RANK}, sv AS (SELECT account AS account_id, max(severity) AS max_sev FROM al GROUP BY account), src AS (SELECT account_id, max_sev, percentile, score, NULL::DOUBLE AS max_hit FROM acc LEFT JOIN sv USING (account_id) LEFT JOIN pc USING (account_id)),
-      {_policy('src')} SELECT account_id, disposition, decision_reason, human_review, coalesce(max_sev, 0) AS max_sev, round(coalesce(percentile, 0), 6) AS percentile FROM po""",
+    "eval_set": _eval_set(),
+    "eval_not_in_overlay": f"WITH {TX}, {ACC} SELECT CAST(c_custkey AS VARCHAR) AS account_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT account_id FROM acc JOIN part ON CAST(p_partkey AS VARCHAR) = account_id)",
+    "overlay_on_list": f"WITH {TX}, {ACC}, {NAMES}, {OVERLAY} SELECT lower(name) AS name FROM ov INTERSECT (SELECT p_name FROM nm UNION SELECT split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) FROM nm)",
+    "identity_overlay": _drawn_overlay(),
+    "best_list_score": f"WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, {OVERLAY}, pr AS (SELECT DISTINCT ov.norm AS a, ix.norm AS b FROM ov, ix), {_ratio('pr')}, b AS (SELECT a AS norm, max(greatest(ts, jaro_winkler_similarity(a, b))) AS s FROM tr GROUP BY a) SELECT norm, CASE WHEN s >= 0.6 THEN round(s, 9) ELSE 0 END AS score FROM b",
+    "score_lookup": f"WITH {TX}, {RANK} SELECT CAST(c_custkey AS VARCHAR) AS account_id, coalesce(score, -1) AS score, round(coalesce(percentile, -1), 6) AS percentile FROM customer LEFT JOIN pc ON pc.account_id = CAST(c_custkey AS VARCHAR)",
+    "evidence_bundle": f"WITH {CASES}, {BASE} SELECT case_id, coalesce(max_hit, -1) AS max_hit, coalesce(max_sev, 0) AS max_sev, array_to_string(sev3_ids, ',') AS sev3_ids, coalesce(score, -1) AS score, CASE WHEN score IS NOT NULL THEN percentile ELSE -1 END AS percentile, score IS NOT NULL AND is_flagged AS is_flagged, disposition AS baseline_disposition FROM bs",
+    "strategy_agreement": f"WITH {CASES} SELECT count(*) AS n_cases, true AS disposition_agree, true AS reasoning_agree, true AS human_review_agree, true AS override_agree, true AS case_ids_agree, true AS case_order_agree, true AS costs_zero, true AS tokens_zero, true AS passed FROM cs",
+    "strategy_metrics": f"""WITH {CASES}, {_policy('cs')}, m AS (SELECT round(avg(CAST(disposition = gold_label AS DOUBLE)), 6) AS accuracy, round(coalesce(sum(CAST({WEIGHT} AS DOUBLE)) FILTER (WHERE gold_label = 'ESCALATE' AND disposition = 'CLEAR'), 0) / sum(CAST({WEIGHT} AS DOUBLE)) FILTER (WHERE gold_label = 'ESCALATE'), 6) AS weighted_false_clear, count(*) AS eval_size FROM po)
+      SELECT unnest(['columns', 'sql', 'arrow']) AS framework, accuracy, weighted_false_clear, eval_size FROM m""",
+    "result_invariants": "SELECT framework, CAST(ord AS INTEGER) AS ord, (['count', 'duplicates', 'framework', 'empty', 'tokens', 'cost', 'missing', 'extra'])[ord] AS \"check\", 0::BIGINT AS bad FROM (SELECT unnest(['columns', 'sql', 'arrow']) AS framework), (SELECT unnest(range(1, 9)) AS ord)",
+    "entity_triage": _triage(),
 }

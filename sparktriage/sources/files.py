@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,57 @@ EVAL = "case_id string, account_id string, gold_label string, case_type string,
 LATIN = "215"
 
 
+class Manifest:
+    """Write-once SHA-256 list of files, by path relative to root."""
+
+    def __init__(self, path: Path, root: Path):
+        self.path, self.root = path, root
+
+    def entries(self) -> dict[str, str]:
+        """Digests by key; an absolute path of an older line counts as its relative one."""
+        lines = self.path.read_text().split("\n") if self.path.exists() else []
+        held = {k: h for h, _, k in (x.partition("  ") for x in lines) if k}
+        return {self._key(Path(k)) if Path(k).is_absolute() else k: h for k, h in held.items()}
+
+    def _key(self, file: Path) -> str:
+        return str(file.resolve().relative_to(self.root.resolve()))
+
+    def freeze(self, file: Path, force: bool = False) -> None:
+        held, key = self.entries(), self._key(file)
+        if key in held and not force:
+            raise ValueError(f"{key} is frozen")
+        held[key] = hashlib.sha256(file.read_bytes()).hexdigest()
+        self.path.write_text("".join(f"{h}  {k}\n" for k, h in held.items()))
+
+    def verify(self) -> None:
+        for key, h in self.entries().items():
+            file = self.root / key
+            if not file.exists() or hashlib.sha256(file.read_bytes()).hexdigest() != h:
+                raise ValueError(f"{key} is missing or has changed")
+
+
 def line_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """typology, account_ids: one typology a line (blank- or comma-separated), # comments and short lines skipped, repeats extended."""
-    words = F.filter(F.split(F.translate("value", ",\t", "  "), " +"), lambda w: w != "")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(words.alias("w")).where("size(w) >= 2")
-    each = rows.select(F.element_at("w", 1).alias("typology"), F.posexplode(F.slice("w", 2, 1 << 30)).alias("n", "account_id"))
-    return each.groupBy("typology").agg(F.collect_list("account_id").alias("account_ids"))
+    """typology, account_ids: one typology a line (blank- or comma-separated), # comments and short lines skipped, repeats extended.
+
+    The file is read whole, as a pattern list is small, so its accounts stay in file order. Short lines are warned of.
+    """
+    line = F.posexplode(F.split("value", r"\r?\n|\r")).alias("nr", "line")
+    rows = spark.read.text(path, wholetext=True).select(line).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    rows = rows.where("line <> '' AND NOT startswith(line, '#')").withColumn("w", F.filter(F.split("line", r"[\s,]+"), lambda w: w != ""))
+    if short := [r.nr + 1 for r in rows.where("size(w) < 2").select("nr").limit(20).collect()]:
+        warnings.warn(f"pattern lines without an account are skipped: {short}", stacklevel=2)
+    each = rows.where("size(w) >= 2").select(F.element_at("w", 1).alias("typology"), F.struct("nr", F.slice("w", 2, 1 << 30).alias("ids")).alias("x"))
+    held = each.groupBy("typology").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return held.select("typology", F.flatten(F.transform("xs", lambda x: x["ids"])).alias("account_ids"))
 
 
 def block_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """typology, account_id of complete BEGIN/END blocks; account ids are fields 2 and 4; an open block is dropped."""
+    """typology, account_id of complete BEGIN/END blocks, in any letter case and spacing; account ids are fields 2 and 4; an open block is dropped."""
     text = spark.read.text(path, wholetext=True)
-    block = r"(?s)BEGIN LAUNDERING ATTEMPT - ((?:(?!BEGIN LAUNDERING|END LAUNDERING).)*)END LAUNDERING ATTEMPT"
+    mark = r"LAUNDERING\s+ATTEMPT"
+    block = rf"(?si)BEGIN\s+{mark}\s*-\s*((?:(?!BEGIN\s+LAUNDERING|END\s+LAUNDERING).)*)END\s+{mark}"
     body = text.select(F.explode(F.regexp_extract_all("value", F.lit(block), F.lit(1))).alias("b"))
-    named = body.select(F.trim(F.regexp_extract("b", r"^([^:\n]*)", 1)).alias("typology"), F.explode(F.split("b", "\n")).alias("line"))
+    named = body.select(F.trim(F.regexp_extract("b", r"^([^:\r\n]*)", 1)).alias("typology"), F.explode(F.split("b", r"\r?\n")).alias("line"))
     f = F.split("line", ",")
     ids = named.where(F.size(f) > 4).select("typology", F.explode(F.array(f[2], f[4])).alias("account_id"))
     return ids.select("typology", F.trim("account_id").alias("account_id")).where("account_id <> ''").distinct()
@@ -55,10 +93,46 @@ def sanctions_xml(spark: SparkSession, path: str, list_name: str = "SDN") -> Dat
     return rows.select("uid", "canonical_name", "aka_names", kind.alias("entry_type"), F.lit(list_name).alias("list_name"))
 
 
+def load_records(spark: SparkSession, first: str, second: str | None = None) -> DataFrame:
+    """Records of the main list and, if it is there, of the consolidated one."""
+    out = sanctions_xml(spark, first, "SDN")
+    return out.unionByName(sanctions_xml(spark, second, "Consolidated")) if second is not None and _exists(spark, second) else out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def raw_names(records: DataFrame) -> DataFrame:
     return records.select(F.explode(F.concat(F.array("canonical_name"), "aka_names")).alias("name")).distinct()
 
 
+def line_count(spark: SparkSession, path: str) -> int:
+    """Lines that hold more than blanks."""
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def write_parquet(rows: DataFrame, path: str) -> None:
+    rows.write.parquet(path, mode="overwrite")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines; the commit protocol of the writer makes them appear as a whole or not at all."""
+    rows.write.json(path, mode="overwrite", ignoreNullFields=False)
+
+
+def write_json_file(rows: DataFrame, file: Path, by: str, most: int = 100_000) -> None:
+    """One JSON-lines file on the driver, in order of a column, by a temporary file and a rename: for frozen artifacts of counted size."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} rows; a single file takes {most} at most")
+    lines = [r[0] for r in rows.orderBy(by).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).collect()]
+    file.parent.mkdir(parents=True, exist_ok=True)
+    part = file.with_suffix(".tmp")
+    part.write_text("".join(f"{x}\n" for x in lines))
+    part.replace(file)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record a line; a line that doesn't fit stops the read."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
@@ -69,38 +143,19 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("gold_is_match", F.lower("gold_is_match") == "true")
 
 
-def write_ground_truth(rows: DataFrame, path: str, positive: int = 20, negative: int = 30) -> None:
+def write_ground_truth(rows: DataFrame, file: Path, manifest: Manifest | None = None, positive: int = 20, negative: int = 30) -> None:
+    """One CSV file of exactly so many rows, in order of row_id, which the manifest then freezes."""
     n = rows.agg(F.count_if("gold_is_match").alias("p"), F.count_if(~F.col("gold_is_match")).alias("n")).first()
     if (n["p"], n["n"]) != (positive, negative):
         raise ValueError(f"{n['p']} positive and {n['n']} negative rows; {positive} and {negative} are wanted")
-    rows.write.csv(path, header=True)
-
-
-class Manifest:
-    """Write-once SHA-256 list of files, by path relative to root."""
-
-    def __init__(self, path: Path, root: Path):
-        self.path, self.root = path, root
-
-    def entries(self) -> dict[str, str]:
-        lines = self.path.read_text().split("\n") if self.path.exists() else []
-        return {k: h for h, _, k in (x.partition("  ") for x in lines) if k}
-
-    def _key(self, file: Path) -> str:
-        return str(file.resolve().relative_to(self.root.resolve()))
-
-    def freeze(self, file: Path, force: bool = False) -> None:
-        held, key = self.entries(), self._key(file)
-        if key in held and not force:
-            raise ValueError(f"{key} is frozen")
-        held[key] = hashlib.sha256(file.read_bytes()).hexdigest()
-        self.path.write_text("".join(f"{h}  {k}\n" for k, h in held.items()))
-
-    def verify(self) -> None:
-        for key, h in self.entries().items():
-            file = self.root / key
-            if not file.exists() or hashlib.sha256(file.read_bytes()).hexdigest() != h:
-                raise ValueError(f"{key} is missing or has changed")
+    held = rows.select(*[c.split(" ")[0] for c in GROUND_TRUTH.split(", ")]).orderBy("row_id").toPandas()  # as many as were just counted
+    held["gold_is_match"] = held["gold_is_match"].map({True: "True", False: "False"})
+    file.parent.mkdir(parents=True, exist_ok=True)
+    part = file.with_suffix(".tmp")
+    held.to_csv(part, index=False)
+    part.replace(file)
+    if manifest is not None:
+        manifest.freeze(file)
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:

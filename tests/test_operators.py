@@ -1,10 +1,16 @@
 import json
+import random
 from datetime import datetime
+from statistics import median
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparktriage.functions.names import common_length, jaro_winkler, score_bound, token_sort_ratio
-from sparktriage.operators import decisions, evaluation, graph, scoring, strategies, validation
+from sparktriage.functions import names
+from sparktriage.functions.names import common_length, jaro_winkler, token_sort_ratio
+from sparktriage.functions.quantiles import exact_medians
+from sparktriage.operators import baseline, decisions, evaluation, features, graph, scoring, screening, slices, strategies, validation
 from sparktriage.sources import files, transactions
 
 
@@ -19,12 +25,28 @@ def test_csv_source(spark, tmp_path):
         transactions.read_csv(spark, str(p))
 
 
+def test_csv_rows_are_numbered_in_file_order(spark, tmp_path):
+    head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
+    for k in (1, 0):
+        (tmp_path / f"{k}.csv").write_text(head + "".join(f"2022/01/01 00:00,B,{k * 3000 + i},B,X,1.0,USD,1.0,USD,Wire,0\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = transactions.read_csv(spark, str(tmp_path)).select("row_nr", "from_account").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.row_nr, int(r.from_account)) for r in got) == [(i, i) for i in range(6000)]
+    seen = transactions.inspect(spark, str(tmp_path / "0.csv"), 2)
+    assert seen["renamed"] == [("Account", "Account_duplicated_0")] and len(seen["rows"]) == 2 and len(seen["columns"]) == 11
+
+
 def test_patterns_and_manifest(spark, tmp_path):
     p = tmp_path / "p.txt"
-    p.write_text("BEGIN LAUNDERING ATTEMPT - FAN-OUT: max 3\n2022/01/01 00:00,B,A1,B,A2,1\n2022/01/01 00:00,B,A1,B,A3,1\nEND LAUNDERING ATTEMPT - FAN-OUT\nBEGIN LAUNDERING ATTEMPT - CYCLE\n2022,B,Z,B,Y,1\n")
-    assert sorted(map(tuple, files.block_patterns(spark, str(p)).collect())) == [("FAN-OUT", "A1"), ("FAN-OUT", "A2"), ("FAN-OUT", "A3")]
-    p.write_text("# note\nfan a b\nfan c\nlone\n")
-    assert {r.typology: sorted(r.account_ids) for r in files.line_patterns(spark, str(p)).collect()} == {"fan": ["a", "b", "c"]}
+    p.write_text("BEGIN LAUNDERING ATTEMPT - FAN-OUT: max 3\n2022/01/01 00:00,B,A1,B,A2,1\n2022/01/01 00:00,B,A1,B,A3,1\nEND LAUNDERING ATTEMPT - FAN-OUT\nbegin  laundering attempt -  stack\r\n2022,B,Q,B,R,1\r\nEnd Laundering  Attempt\nBEGIN LAUNDERING ATTEMPT - CYCLE\n2022,B,Z,B,Y,1\n")
+    assert sorted(map(tuple, files.block_patterns(spark, str(p)).collect())) == [("FAN-OUT", "A1"), ("FAN-OUT", "A2"), ("FAN-OUT", "A3"), ("stack", "Q"), ("stack", "R")]
+    p.write_text("# note\n  # indented\nfan z, b\n\tring q\nfan c a\nlone\n\n")
+    with pytest.warns(UserWarning, match="6"):
+        got = {r.typology: r.account_ids for r in files.line_patterns(spark, str(p)).collect()}
+    assert got == {"fan": ["z", "b", "c", "a"], "ring": ["q"]} and files.line_count(spark, str(p)) == 6
     m = files.Manifest(tmp_path / "sums", tmp_path)
     m.freeze(p)
     m.verify()
@@ -33,6 +55,27 @@ def test_patterns_and_manifest(spark, tmp_path):
     p.write_text("changed")
     with pytest.raises(ValueError):
         m.verify()
+    m.freeze(p, force=True)
+    m.verify()
+    assert files.content_hashes(spark, str(p)).first().sha256 == next(iter(m.entries().values()))
+
+
+def test_sinks(spark, tmp_path):
+    rows = [(i, f"a{i}", "n", "u", "c", "exact", 1.0, 1.0, i < 20) for i in range(50)]
+    truth = spark.createDataFrame(rows, files.GROUND_TRUTH.replace("gold_is_match string", "gold_is_match boolean"))
+    m = files.Manifest(tmp_path / "sums", tmp_path)
+    files.write_ground_truth(truth, tmp_path / "t.csv", m)
+    m.verify()
+    assert sorted(map(tuple, files.read_ground_truth(spark, str(tmp_path / "t.csv")).collect())) == rows
+    with pytest.raises(ValueError):
+        files.write_ground_truth(truth.where("row_id > 0"), tmp_path / "u.csv")
+    cases = spark.createDataFrame([("c2", "a", None), ("c1", "b", ["1"])], "case_id string, account_id string, relevant_txn_ids array<string>")
+    files.write_json_file(cases, tmp_path / "e.jsonl", "case_id")
+    assert [json.loads(x)["case_id"] for x in (tmp_path / "e.jsonl").read_text().splitlines()] == ["c1", "c2"]
+    assert sorted(r.case_id for r in files.json_lines(spark, str(tmp_path / "e.jsonl"), files.EVAL).collect()) == ["c1", "c2"]
+    files.write_json(cases, f"{tmp_path}/d")
+    files.write_parquet(cases, f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").count() == files.json_lines(spark, f"{tmp_path}/d", files.EVAL).count() == 2
 
 
 def test_sanctions_xml(spark, tmp_path):
@@ -41,24 +84,61 @@ def test_sanctions_xml(spark, tmp_path):
     p.write_text(f'<S><PartySubType ID="4" PartyTypeID="1"/><DistinctParty FixedRef="7"><Profile PartySubTypeID="4"><Identity><Alias Primary="true">{name("Ana Bell", 215)}</Alias><Alias Primary="false">{name("A. Bell", 215)}{name("x", 999)}</Alias></Identity></Profile></DistinctParty></S>')
     r = files.sanctions_xml(spark, str(p)).collect()
     assert [(x.uid, x.canonical_name, x.aka_names, x.entry_type) for x in r] == [("7", "Ana Bell", ["A. Bell"], "Individual")]
+    assert {x.list_name for x in files.load_records(spark, str(p), str(p)).collect()} == {"SDN", "Consolidated"}
+    assert files.load_records(spark, str(p), str(tmp_path / "none.xml")).count() == 1
+    assert {x.name for x in files.raw_names(files.sanctions_xml(spark, str(p))).collect()} == {"Ana Bell", "A. Bell"}
+    with pytest.raises(ValueError):
+        screening.build_index(files.sanctions_xml(spark, str(p)).where("false"))
 
 
 def test_names(spark):
-    assert token_sort_ratio("smith john william", "john william smith") == 1.0
-    assert round(jaro_winkler("hassan ibrahm", "hassan ibrahim"), 6) == 0.985714
+    assert token_sort_ratio("keller anna maria", "anna maria keller") == 1.0
+    assert round(jaro_winkler("anna bell", "anna bel"), 6) == round(0.9629629629629629 + 0.4 * (1 - 0.9629629629629629), 6)
     assert common_length("abcde", "ace") == 3
+    c = spark.createDataFrame([("o'neil 3rd ann",)], "n string").select(names.title_case(F.col("n")).alias("t"), names.replace_at(F.col("n"), F.lit(1), F.lit("u")).alias("r"), names.swap_adjacent(F.col("n"), 3).alias("s")).first()
+    assert (c.t, c.r, c.s) == ("O'Neil 3Rd Ann", "u'neil 3rd ann", "o'enil 3rd ann")
 
 
-def test_bound_is_never_below_a_score(spark):
-    import random
+def test_many_pairs_at_once():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(rng.randrange(0, n))).strip()
+    pairs = [(word(12), word(14)) for _ in range(600)] + [("", ""), ("a", ""), ("ab " * 40, "ba " * 41), ("same", "same"), ("a" * 63, "a" * 64), ("a" * 64, "b" + "a" * 63)]
+    a, b = zip(*pairs, strict=True)
+    assert np.allclose(names.jaro_winkler_pairs(a, b), [jaro_winkler(x, y) for x, y in pairs])
+    assert names.common_lengths(a, b).tolist() == [common_length(x, y) for x, y in pairs]
+    assert np.allclose(names.token_sort_pairs(a, b), [token_sort_ratio(x, y) for x, y in pairs])
+    clean = sorted({" ".join(x.split()) for p in pairs for x in p} - {""})
+    alphabet = {ord(c): i for i, c in enumerate("abcde ")}  # one letter is left to the last column
+    count, size = names.letter_counts(clean, alphabet), np.array([len(x) for x in clean])
+    bound = names.score_bounds(count, size, count, size)
+    assert all(bound[i, j] >= max(jaro_winkler(x, y), token_sort_ratio(x, y)) for i, x in enumerate(clean[:120]) for j, y in enumerate(clean))
 
-    from pyspark.sql import functions as F
 
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 10))).strip() or "a"
-    rows = [(" ".join(word().split()), " ".join(word().split())) for _ in range(400)]
-    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", score_bound(F.col("a"), F.col("b")).alias("s")).collect()
-    assert all(r.s >= max(jaro_winkler(r.a, r.b), token_sort_ratio(r.a, r.b)) - 1e-9 for r in got)
+def test_near_names_in_blocks(spark):
+    rng = random.Random(6)
+    word = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 7))) for _ in range(2))
+    own, listed = [word() for _ in range(80)], [word() for _ in range(60)]
+    own += listed[:10]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    want = {(x, y) for x in own for y in listed if max(jaro_winkler(x, y), token_sort_ratio(x, y)) >= 0.7}
+    for most in (50_000, 13):
+        assert {(r.norm, r.other) for r in screening.near_names(frame(own, "norm"), frame(listed, "other"), 0.7, most).collect()} == want
+
+
+def test_medians(spark):
+    rng = random.Random(7)
+    rows = [(float(rng.choice([0, 0, 1, rng.random() * 100])), rng.random() if i % 3 else None, None) for i in range(3001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    want = {"a": median(r[0] for r in rows), "b": median(r[1] for r in rows if r[1] is not None), "c": None}
+    for at_once in (1 << 20, 10):
+        got = exact_medians(df, ["a", "b", "c"], at_once)
+        assert got["c"] is None and all(abs(got[k] - want[k]) < 1e-12 for k in "ab")
+
+
+def test_leak_guard(tmp_path):
+    with pytest.raises(ValueError, match="pattern_label"):
+        features.guard(["amount_mean", "pattern_label"])
+    assert len(features.log_excluded(tmp_path / "x.log")) == 11 == len((tmp_path / "x.log").read_text().splitlines())
 
 
 def test_percentiles(spark):
@@ -75,26 +155,132 @@ def test_hop2_keeps_fifty(spark):
     assert sorted(r.cp for r in far.collect()) == sorted(t for _, t in rows[5:])[:50]
 
 
-def test_policy_branches_and_strategies(spark):
+def test_hop2_by_plain_sets(spark):
+    rng = random.Random(9)
+    rows = [(f"N{int(rng.paretovariate(0.6)) % 60:02d}", f"N{rng.randrange(60):02d}") for _ in range(260)]
+    e = {(a, b) for x, y in rows if x != y for a, b in ((x, y), (y, x))}
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+    want = {(a, c) for a in near for c in sorted({c for b in near[a] for c in near[b]} - near[a] - {a})[:4]}
+    tx = spark.createDataFrame(rows, "from_account string, to_account string")
+    got = graph.hop2(graph.edges(tx), spark.createDataFrame([(a,) for a in near], "account_id string"), 4)
+    assert {(r.account, r.cp) for r in got.collect()} == want
+
+
+def cases_of(spark):
     rows = [("SH", 0.95, None, None), ("R3", None, 3, None), ("AN", None, 2, 0.92), ("EL", None, None, 0.87), ("CL", None, None, None), ("B9", 0.90, None, 0.5), ("B8", None, 2, 0.89)]
-    cases = spark.createDataFrame([(c, h, s, ["X"] if s == 3 else [], p, 1.0, False, 1.0) for c, h, s, p in rows], "case_id string, max_hit double, max_sev int, sev3_ids array<string>, percentile double, score double, is_flagged boolean, latency_ms double")
+    schema = "case_id string, account_id string, max_hit double, max_sev int, sev3_ids array<string>, percentile double, score double, is_flagged boolean, latency_ms double"
+    return spark.createDataFrame([(c, f"a{c}", h, s, ["X", "Y"] if s == 3 else [], p, 1.0, False, 1.0) for c, h, s, p in rows], schema)
+
+
+def test_policy_branches_and_strategies(spark):
+    cases = cases_of(spark)
     got = {r.case_id: (r.disposition, r.decision_reason, r.human_review) for r in decisions.policy(cases).collect()}
     assert got["SH"] == got["R3"] == got["B9"] == ("ESCALATE", "sanctions_or_critical_rule", False)
     assert got["AN"] == ("ESCALATE", "agent_anomaly_plus_elevated_rule", True)
     assert got["EL"] == got["B8"] == ("CLEAR", "clear", True) and got["CL"] == ("CLEAR", "clear", False)
     base = decisions.decision_table(cases)
     assert {r.case_id for r in decisions.overrides(decisions.policy(cases), base).where("agent_override").collect()} == {"AN"}
-    results, errors = strategies.run_all(cases)
-    assert strategies.agreement(results, 3).first().passed and not errors
+    with pytest.raises(Exception, match="no baseline"):
+        decisions.overrides(decisions.policy(cases), base.where("case_id <> 'EL'")).select("case_id").collect()
+    ready = base.withColumnRenamed("disposition", "baseline_disposition").drop("decision_reason")
+    results, errors = strategies.run_all(ready)
+    row = strategies.agreement(results, 3, errors).first()
+    assert row.passed and not errors and len(row) == 10 and strategies.disagreements(results).isEmpty()
+    assert {r.bad for r in strategies.invariants(results, ready).collect()} == {0}
 
     class Broken:
         framework_name = "broken"
 
         def run(self, cases):
-            raise RuntimeError("no")
+            return cases.where(F.raise_error(F.lit("late")).cast("boolean"))
 
-    results, errors = strategies.run_all(cases, [*strategies.REGISTRY, Broken])
-    assert list(errors) == ["broken"] and not strategies.agreement(results, 4).first().passed
+    results, errors = strategies.run_all(ready, [*strategies.REGISTRY, Broken])
+    assert list(errors) == ["broken"] and results.count() == 21 and not strategies.agreement(results, 3, errors).first().passed
+    assert strategies.agreement(results.where("false"), 3).first().passed
+
+
+def test_agreement_and_invariants_name_what_is_wrong(spark):
+    ready = decisions.decision_table(cases_of(spark)).withColumnRenamed("disposition", "baseline_disposition").drop("decision_reason")
+    good = strategies.run_one(strategies.ColumnStrategy, ready)
+    other = strategies.run_one(strategies.SqlStrategy, ready)
+    odd = lambda on, c, v: other.withColumn(c, F.when(F.col("case_id") == on, F.lit(v)).otherwise(F.col(c)))
+    flag = lambda df: {k for k, v in strategies.agreement(good.unionByName(df), 2).first().asDict().items() if v is False}
+    assert flag(odd("CL", "reasoning", None)) == {"reasoning_agree", "passed"} and flag(odd("CL", "agent_override", True)) == {"override_agree", "passed"}
+    assert flag(odd("CL", "cost_usd", 0.1)) == {"costs_zero", "passed"} and flag(odd("CL", "tokens_used", 5)) == {"tokens_zero", "passed"}
+    assert flag(other.where("case_id <> 'CL'")) == {"case_ids_agree", "case_order_agree", "passed"}
+    assert flag(other.unionByName(other.where("case_id = 'CL'"))) == {"case_order_agree", "passed"}
+    assert [tuple(r)[:2] for r in strategies.disagreements(good.unionByName(odd("CL", "disposition", "?"))).collect()] == [("CL", "disposition")]
+    broken = lambda df: {r.check for r in strategies.invariants(df, ready, "columns").where("bad > 0").collect()}
+    assert broken(good.where("case_id <> 'CL'")) == {"count", "missing"} and broken(good.unionByName(good.where("case_id = 'CL'"))) == {"count", "duplicates"}
+    assert broken(good.withColumn("account_id", F.lit(" "))) == {"empty"} and broken(good.withColumn("framework", F.lit("x"))) == {"framework"}
+    assert broken(good.withColumn("case_id", F.when(F.col("case_id") == "CL", "new").otherwise(F.col("case_id")))) == {"missing", "extra"}
+    with pytest.raises(ValueError, match="columns: tokens"):
+        strategies.require_invariants(good.withColumn("tokens_used", F.lit(1)), ready, "columns")
+    assert strategies.versions(("pyspark", "no-such-package"))["no-such-package"] == "unknown"
+
+
+def test_baseline_run(spark):
+    tx = spark.createDataFrame([(i, datetime(2022, 1, 1, i), "A", f"r{i}", 8950.0, 8950.0, 0) for i in range(4)], "row_nr long, timestamp timestamp_ntz, from_account string, to_account string, amount_paid double, amount_received double, is_laundering int")
+    own = spark.createDataFrame([("A", "anna bell", "US", "low"), ("r0", "carl  DUNN", "IR", "low")], "account_id string, name string, country string, kyc_risk string")
+    index = screening.build_index(spark.createDataFrame([("7", "Carl Dunn", [], "SDN")], "uid string, canonical_name string, aka_names array<string>, list_name string"))
+    labels = spark.createDataFrame([("A", "STACK")], "account_id string, label string")
+    cases = spark.createDataFrame([("1", "A"), ("2", "r0")], "case_id string, account_id string")
+    got = {r.case_id: r for r in baseline.run_baseline(cases, tx, own, index, labels).collect()}
+    assert (got["1"].max_sev, got["1"].sev3_ids, got["1"].max_hit, got["1"].pattern_label, got["1"].disposition) == (3, ["STRUCT_001"], None, "STACK", "ESCALATE")
+    assert (got["2"].max_hit, got["2"].hits[0].uid, got["2"].max_sev, got["2"].hop1) == (1.0, "7", 1, ["A"])
+    with pytest.raises(Exception, match="no identity"):
+        baseline.run_baseline(cases, tx, own.where("account_id = 'A'"), index).select("case_id").collect()
+    with pytest.raises(ValueError):
+        baseline.require_results(cases.limit(1), cases)
+
+
+def records_of(spark):
+    given, family = ["Ahmad", "José", "Khalil", "Phoebe", "Ulrich", "Soumaya", "Rachel", "Olga"], ["Bakhoury", "Müller", "Ouellet", "Philips", "Castellano", "Brandt"]
+    return spark.createDataFrame([(f"u{i}{j}", f"{g} {f}", [], "Individual", "SDN") for i, g in enumerate(given) for j, f in enumerate(family)], "uid string, canonical_name string, aka_names array<string>, entry_type string, list_name string")
+
+
+def test_derived_names(spark):
+    records = records_of(spark)
+    raw = {r.canonical_name for r in records.collect()}
+    norm = {" ".join(names.plain(x).lower().split()) for x in raw}
+    got = slices.true_positives(records).collect()
+    assert {r.flavor for r in got} == set(slices.BOUNDS)
+    for r in got:
+        x, y = (" ".join(names.plain(s).lower().split()) for s in (r.spelling, r.canonical_name))
+        assert abs(r.score - max(jaro_winkler(x, y), token_sort_ratio(x, y))) < 1e-9 and r.score >= slices.BOUNDS[r.flavor] and r.spelling not in raw
+        assert r.flavor in ("exact", "partial_reorder") or x not in norm
+        assert r.flavor != "exact" or (r.spelling == names.plain(r.canonical_name) != r.canonical_name)
+    given = ["karl", "achim", "anna", "olaf", "rahel", "uli", "jos", "phil", "khaled", "sumaya", "elga", "alrich"]
+    for r in slices.near_misses(records, given).collect():
+        x = " ".join(names.plain(r.spelling).lower().split())
+        every = [max(jaro_winkler(x, n), token_sort_ratio(x, n)) for n in norm]
+        assert 0.80 <= r.score <= 0.88 and max(every) < 0.90 and r.spelling.split()[-1].lower() == names.plain(r.canonical_name).lower().split()[-1]
+    accounts = spark.createDataFrame([(f"a{i}",) for i in range(60)], "account_id string")
+    truth = slices.fixtures(accounts, records, given, each=2, near=3)
+    assert [truth.where("gold_is_match").count(), truth.count(), truth.select("account_id").distinct().count()] == [8, 11, 11]
+    own = slices.identity_overlay(accounts, ["Olga", "Karl"], ["Brandt", "Maier"], ["US", "DE"], "s", records, truth).collect()
+    fixed = {r.account_id: r.assigned_name for r in truth.collect()}
+    assert len(own) == 60 and all(r.name == fixed.get(r.account_id, r.name) for r in own)
+    assert all("Brandt" not in r.name or r.account_id in fixed for r in own if r.name.startswith("Olga")) and len({r.name for r in own}) > 3
+    with pytest.raises(ValueError, match="on the list"):
+        screening.require_disjoint(spark.createDataFrame([("Olga Brandt",)], "name string"), files.raw_names(records))
+
+
+def test_eval_set_refuses_short_pools(spark):
+    state = spark.createDataFrame([(f"a{i}", [0, 1, 2, 3][i % 4], "R", i % 5 == 0, 0.5) for i in range(40)], "account_id string, max_sev int, top_rule string, is_flagged boolean, percentile double")
+    truth = spark.createDataFrame([(i, f"a{i}", "exact", 0.95, 1.0, i < 3) for i in range(6)], "row_id int, account_id string, match_flavor string, expected_score_min double, expected_score_max double, gold_is_match boolean")
+    senders, recent = state.select("account_id"), spark.createDataFrame([("a0", "1;2")], "account string, txn_ids string")
+    patterns = spark.createDataFrame([("FAN-OUT", f"a{i}") for i in range(40)], "typology string, account_id string")
+    t = slices.Targets(2, 2, 2, {"fan_out": 2}, {"anomaly_no_rule": 1, "rule_no_anomaly": 1, "rule3_no_anomaly": 1})
+    got = slices.eval_set(truth, state, senders, patterns, recent, t)
+    slices.require_eval_set(got, state, t.total)
+    assert got.select("account_id").distinct().count() == t.total == 15 and got.where("case_type = 'sanctions_hit'").first().relevant_txn_ids == "1;2"
+    with pytest.raises(ValueError, match="without an identity"):
+        slices.require_eval_set(got, state.where("account_id <> 'a0'"), t.total)
+    with pytest.raises(ValueError, match="sanctions_hit"):
+        slices.eval_set(truth, state, senders, patterns, recent, slices.Targets())
 
 
 def test_metrics_and_join(spark):
@@ -105,6 +291,10 @@ def test_metrics_and_join(spark):
     assert m(res(a="CLEAR", b="ESCALATE")) == 0.75 and m(res(a="ESCALATE", b="CLEAR")) == 0.25
     with pytest.raises(Exception, match="one to one"):
         m(res(a="CLEAR"))
+    with pytest.raises(Exception, match="one to one"):
+        evaluation.joined(cases, res(a="CLEAR")).select("case_id").collect()
+    few = evaluation.framework_metrics(res(a="CLEAR").withColumn("framework", F.lit("f")), cases).first()
+    assert (few.accuracy, few.weighted_false_clear, few.eval_size) == (0.0, 0.75, 1)
 
 
 def test_gate_names_every_failure(spark):

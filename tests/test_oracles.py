@@ -23,10 +23,14 @@ def plain(frame):
     return cols, sorted(tuple(map(show, r)) for r in frame[cols].itertuples(index=False))
 
 
+# names drawn by rules with many branches: tests of their own hold them against plain loops
+WITHOUT_SQL = {"derived_spellings", "near_miss_names"}
+
+
 def test_keys_match():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_match(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(ORACLES[name]).df())

@@ -73,3 +73,16 @@ def test_window_keeps_whole_transactions(spark):
     rows = [(i, "H", "H" if i % 2 else "b", 1, 1) for i in range(10)]
     kept = rules.account_window(frame(spark, rows), 3).where("account = 'H'").select("row_nr").distinct()
     assert {r.row_nr for r in kept.collect()} == {7, 8, 9}
+
+
+def test_a_hub(spark):
+    """One account with 100,000 legs: the cut and the rules finish, and give what a list of its first days gives."""
+    n = 100_000
+    tx = spark.range(n).selectExpr(
+        "id AS row_nr", "timestamp_ntz'2022-01-01' + make_dt_interval(0, 0, 0, CAST(id AS DECIMAL(18, 6))) AS timestamp", "'HUB' AS from_account", "concat('c', id % 700) AS to_account",
+        "1.0D AS amount_paid", "1.0D AS amount_received", "0 AS is_laundering",
+    )
+    w = rules.account_window(tx)
+    assert w.where("account = 'HUB'").count() == 10_000
+    fired = rules.fan(w, "o").collect()
+    assert [(r.account, r.n_counterparties, r.n_rows, r.window_end) for r in fired] == [("HUB", 5, 5, BASE + timedelta(seconds=n - 10_000 + 4))]
