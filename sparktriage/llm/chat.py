@@ -9,7 +9,8 @@ are escaped reversibly (a backslash is \\e, the bracket that opens a control str
 mark. The loss mask is a list of (start, stop) character ranges: the text of each assistant turn.
 
 Defined results: null text or role is empty; turns with equal number are ordered by role and text, null numbers first;
-repeated rows are turns of their own; rows with a null conversation id form one conversation; extra fields are ignored.
+repeated rows are turns of their own; each row with a null conversation id is a conversation of its own; extra fields are
+ignored. A conversation is one row of the output, so its turns must fit a task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 TURN, END = "<|turn|>", "<|end|>\n"
 # fixed values: control strings of common templates and what stands for them inside a text
 ESCAPES = [
@@ -110,7 +113,8 @@ def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
     text = lambda c: F.coalesce(c, F.lit(""))
     if layout.name == "turn rows":
         turn = F.struct("turn", text(F.col("role")).alias("role"), text(F.col("text")).alias("text"))  # roles as they are
-        rows = records.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("t"))
+        lone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+        rows = records.groupBy(key, lone.alias(fresh(records, "lone"))).agg(F.sort_array(F.collect_list(turn)).alias("t"))
         return rows.select(key, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     if layout.each:
         each = lambda x: F.struct(_role(x[layout.role]).alias("role"), text(x[layout.text]).alias("text"))
@@ -217,12 +221,12 @@ def _sql_escaped(c: str) -> str:
 
 
 ORACLE = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+WITH t AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))))
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN) + 1 + len(END)} + length(replace({_sql_escaped("role")}, chr(10), '\\w')) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, lone
 """

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import release, remove, shared_dir, table_mark, written
+
+__all__ = ["release", "shared_dir", "table_mark", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. In local mode a temporary one will do where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df lacks, whatever the case of its letters."""
     held = {c.lower() for c in df.columns}
@@ -36,55 +25,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        _remove(spark, path)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
-_TABLES: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
-
-    The files go with release(), or when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _TABLES:
-        atexit.register(release, spark)
-    _TABLES.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table made by written(), once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove_quietly(df.sparkSession, path)
-
-
-def table_mark() -> int:
-    """A mark for release(): tables written from now on come after it."""
-    return len(_TABLES)
-
-
-def release(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
-    """Delete the tables written between two marks, once the results that read them are themselves written or done with."""
-    for path in _TABLES[since:upto]:
-        _remove_quietly(spark, path)
-    if upto is None:
-        del _TABLES[since:]
+        remove(df.sparkSession, path)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -109,3 +53,9 @@ def labelled_sample(labels: DataFrame, most: int, seed: str) -> DataFrame:
         return labels
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000))
     return labels.where(key < F.lit(int(1_000_000 * most / n)))
+
+
+def bounded_labels(labels: DataFrame, most: int, seed: str) -> DataFrame:
+    """As labelled_sample, and never more than `most` rows, also where ids repeat: it may be broadcast."""
+    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    return labelled_sample(labels, most, seed).orderBy(key, *labels.columns).limit(most)

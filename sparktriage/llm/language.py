@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ from .common import crc_mod, labelled_sample
 MAX_TRAIN = 20_000
 BITS = 14
 BUCKETS = 1 << BITS
-ROUNDS = 12
+ROUNDS, STEADY = 60, 1e-3  # EM ends once no share moves by STEADY
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:
@@ -50,9 +51,7 @@ class LanguageModel:
         at = np.flatnonzero(counts)
         c, p = counts[at].astype(np.float64), self.p[at]
         n, k = c.sum(), len(self.names)
-        share = np.full(k, 1.0 / k)
-        for _ in range(ROUNDS):
-            share = self._step(c, p, share, n)
+        share = self._fit(c, p, np.full(k, 1.0 / k), n)
         order = np.lexsort((np.arange(k), -share))
         penalty = 0.5 * np.log(max(n, 2.0)) + 3.0
         best, kept, own = -np.inf, [], np.ones(1)
@@ -61,8 +60,7 @@ class LanguageModel:
             if size > 1 and share[among[-1]] < 1e-3:
                 break
             part = share[among] / share[among].sum()
-            for _ in range(ROUNDS // 2 if size > 1 else 0):
-                part = self._step(c, p[:, among], part, n)
+            part = self._fit(c, p[:, among], part, n) if size > 1 else part
             value = float(c @ np.log(p[:, among] @ part)) - penalty * size
             if value <= best:
                 break
@@ -71,9 +69,14 @@ class LanguageModel:
         return [kept[i] for i in rank], own[rank]
 
     @staticmethod
-    def _step(c: np.ndarray, p: np.ndarray, share: np.ndarray, n: float) -> np.ndarray:
-        each = p * share
-        return (c / each.sum(1)) @ each / n
+    def _fit(c: np.ndarray, p: np.ndarray, share: np.ndarray, n: float) -> np.ndarray:
+        for _ in range(ROUNDS):
+            each = p * share
+            new = (c / each.sum(1)) @ each / n
+            if np.abs(new - share).max() < STEADY:
+                return new
+            share = new
+        return share
 
 
 def train_language(documents: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:

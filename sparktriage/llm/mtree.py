@@ -2,7 +2,7 @@
 
 Inner products become a metric by one more coordinate: x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have
 d(q', x')^2 = |q|^2 + M^2 - 2 q.x, M the longest vector of a shard. Rows are dealt to shards of bounded size by a hash of their
-id; each shard is bulk-loaded into a tree whose pages store for every entry its distance to the page's own routing object,
+place in the table, so equal rows part as well; each shard is bulk-loaded into a tree whose pages store for every entry its distance to the page's own routing object,
 and for every child its covering radius. A search takes nodes in order of their lower bound; the stored parent
 distances rule entries out by the triangle inequality before any distance is computed. It ends when the nearest node left
 is farther than the k-th best. Bounds are widened by a float tolerance, scores are exact integers. Queries come in blocks, so
@@ -59,6 +59,10 @@ class MTree:
     def _to(self, rows: np.ndarray, center: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - center) ** 2).sum(1))
 
+    def _object(self, rows: np.ndarray) -> np.ndarray:
+        """The routing object of some rows: the stored one nearest to their mean."""
+        return self.points[rows[self._to(rows, self.points[rows].mean(0)).argmin()]]
+
     def _load(self, rows: np.ndarray, center: np.ndarray) -> Node:
         apart = self._to(rows, center)
         radius = float(apart.max())
@@ -74,7 +78,7 @@ class MTree:
         parts = [rows[own == c] for c in range(k) if (own == c).any()]
         if max(map(len, parts)) > 0.9 * len(rows):  # copies and outliers: cut evenly by distance
             parts = np.array_split(rows[np.argsort(apart, kind="stable")], k)
-        made = [self._load(p, self.points[p].mean(0)) for p in parts]
+        made = [self._load(p, self._object(p)) for p in parts]
         centers = np.stack([m.center for m in made])
         return Node(center, radius, np.sqrt(((centers - center) ** 2).sum(1)), children=made, centers=centers, radii=np.array([m.radius for m in made]))
 
@@ -151,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
     """query_id, rank, vec_id, score: the k best rows of `vectors` for each row of `queries` (both as quantised() gives)."""
     vectors, queries = written(vectors, "vectors"), written(queries.distinct(), "queries")
     shards, blocks = max(1, -(-vectors.count() // shard)), max(1, -(-queries.count() // block))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))  # also for equal rows
     trees = written(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, tree binary"), "trees")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = trees.withColumn("block", upto(blocks))

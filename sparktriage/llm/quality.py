@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample
+from .common import bounded_labels, crc_mod, fresh
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
@@ -159,21 +159,24 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, d
 def train_quality(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> RuleEnsemble:
     """Fit on at most max_train labelled documents outside the held-out fold (crc32 mod 5 = 0); the sample is broadcast."""
     rows = labels.select("doc_id", F.col("quality").cast("double").alias("__y")).where("doc_id is not null and __y in (0, 1)")
-    rows = labelled_sample(rows.where(crc_mod(F.col("doc_id"), 5) != 0), max_train, "quality")
+    rows = bounded_labels(rows.where(crc_mod(F.col("doc_id"), 5) != 0), max_train, "quality")
     chosen = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     stat = statistics(F.col("text"))
-    got = chosen.select("__y", *[c.cast("double").alias(k) for k, c in stat.items()]).orderBy("__y", *stat).toPandas()
+    got = chosen.select("__y", *[c.cast("double").alias(k) for k, c in stat.items()]).toPandas()  # max_train rows of numbers
+    got = got.sort_values(["__y", *stat], kind="stable")  # one order, so that the same sample gives the same rules
     return fit_rules(got[list(stat)].to_numpy(float), got["__y"].to_numpy(float), list(stat))
 
 
 def score_quality(documents: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, prefix: str = "quality_") -> DataFrame:
-    """documents with <prefix>score and <prefix>predicted; one narrow pass over the whole texts."""
+    """documents with <prefix>score and <prefix>predicted (columns of these names are replaced); one narrow pass over the whole texts."""
+    documents = documents.drop(f"{prefix}score", f"{prefix}predicted")
+    own_stat = fresh(documents, "stat_")
     used = {name for rule in model.rules for name, _, _ in rule}
     stat = {k: c for k, c in statistics(F.col("text")).items() if k in used}
     # a generator of one row: neither projections nor filters above it are folded into the statistics, so each is computed once
-    own = documents.select("*", F.inline(F.array(F.struct(F.lit(0).alias("__stat_"), *[c.cast("double").alias(f"__stat_{k}") for k, c in stat.items()]))))
-    score = model.column({k: F.col(f"__stat_{k}") for k in stat})
-    out = own.withColumn(f"{prefix}score", score).drop("__stat_", *[f"__stat_{k}" for k in stat])
+    own = documents.select("*", F.inline(F.array(F.struct(F.lit(0).alias(own_stat), *[c.cast("double").alias(f"{own_stat}{k}") for k, c in stat.items()]))))
+    score = model.column({k: F.col(f"{own_stat}{k}") for k in stat})
+    out = own.withColumn(f"{prefix}score", score).drop(own_stat, *[f"{own_stat}{k}" for k in stat])
     return out.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= threshold).cast("int"))
 
 

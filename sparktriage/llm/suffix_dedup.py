@@ -3,12 +3,15 @@
 Every 200-byte string of a text has one anchor, the k-gram of least hash inside it, so equal strings have equal anchors at
 equal places. Neighbouring strings with the same anchor form one span. Copies of a span inside a batch are known before the shuffle:
 one stands for them. The rest are dealt by anchor:
-- spans of one anchor that are wholly equal repeat in full;
+- spans of one anchor that are wholly equal repeat in full. Inside a batch equal digests are followed by a comparison of
+  the bytes; between batches anchor, place and a digest of 128 bits must agree (no bytes move for them);
 - where an anchor has spans that differ (the edges of repeats), one of each kind is fetched and the group's suffixes from
-  the anchor and the reversed prefixes before it are sorted by hash comparison (suffix_sort). Merging neighbours of the
-  suffix order from long to short common extensions, smaller set into larger, pairs each span with its nearest ones in
-  prefix order; from both extensions follows which of its strings start elsewhere too.
-- a group of more than GROUP kinds is not held by one task: its strings are counted by digest, with partial sums.
+  the anchor and the reversed prefixes before it are sorted by hash comparison (suffix_sort, which verifies every extension
+  by bytes). Merging neighbours of the suffix order from long to short common extensions, smaller set into larger, pairs
+  each span with its nearest ones in prefix order; from both extensions follows which of its strings start elsewhere too.
+- a group of more than GROUP kinds is not held by one task: it is split by a second anchor, the k-gram of least hash under
+  another hash, equal parts are joined by their bytes, and the parts are sorted as above; so again for LEVELS times. What is
+  still larger then is counted string by string, by bytes, with partial sums.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; repeated rows are repeats of each other;
 overlapping repeats inside a document count; strings are judged on the input; extra columns are ignored by op2.
@@ -17,6 +20,7 @@ overlapping repeats inside a document count; strings are judged on the input; ex
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -26,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 20
-GROUP = 20_000
-_DIGEST = xxhash.xxh3_64_intdigest
+GROUP, LEVELS = 20_000, 3
+_DIGEST = xxhash.xxh3_128_digest
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,13 +45,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchored_spans(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
+def anchored_spans(data: np.ndarray, ends: np.ndarray, length: int, gram: int, seed: int = 0):
     """Spans of a buffer of texts that end at `ends`: arrays of first string, number of strings, anchor place, anchor hash."""
     n, w = len(data), length - gram + 1
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     p = prefix_hashes(data)
-    h = _mixed((p[gram:] - p[:-gram]) * powers(n + 1)[1][: n - gram + 1])
+    h = _mixed((p[gram:] - p[:-gram]) * powers(n + 1)[1][: n - gram + 1] + np.uint64(seed))
     low = np.uint64((1 << 22) - 1)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))  # the rightmost of equal hashes is least
     full = np.full(-(-len(key) // w) * w, ~np.uint64(0))
@@ -75,6 +79,23 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
         lo = hi
 
 
+def _copies(anchor: np.ndarray, same: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal spans are neighbours, and which ones equal the one before. Where spans of equal digests differ
+    in bytes, all of that digest get another by their bytes (same is changed), until only equal bytes are left together."""
+    turn = 0
+    while True:
+        order = np.lexsort((same[:, 1], same[:, 0], anchor))
+        a, s = anchor[order], same[order]
+        again = np.r_[False, (a[1:] == a[:-1]) & (s[1:] == s[:-1]).all(1)]
+        at = np.flatnonzero(again)
+        clash = [k for k, i, j in zip(at.tolist(), order[at].tolist(), order[at - 1].tolist(), strict=True) if texts[i] != texts[j]]
+        if not clash:
+            return order, again
+        run, turn = (~again).cumsum(), turn + 1
+        rows = order[np.isin(run, run[clash])]
+        same[rows, 1] = [zlib.crc32(texts[i], turn) for i in rows.tolist()]
+
+
 def _spans(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,7 +105,7 @@ def _spans(length: int, gram: int):
             if not len(text) or text.buffers()[2] is None:
                 continue
             raw = np.frombuffer(text.buffers()[2], np.uint8)
-            found = []
+            found, texts = [], []
             for lo, hi, start in _pieces(offsets, length):
                 stop = min(offsets[hi], start + PIECE + length - 1) if hi == lo + 1 else offsets[hi]
                 data = raw[start:stop]
@@ -93,21 +114,22 @@ def _spans(length: int, gram: int):
                 if not len(first):
                     continue
                 view, last = data.tobytes(), first + count - 1 + length
-                same = np.fromiter([_DIGEST(view[s:e]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64, len(first))
-                same = _mixed(same ^ (at - first).astype(np.uint64))
+                own = [view[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+                same = np.frombuffer(b"".join(map(_DIGEST, own)), np.uint64).reshape(-1, 2).copy()
+                same[:, 0] = _mixed(same[:, 0] ^ (at - first).astype(np.uint64))
+                texts += own
                 row = lo + np.searchsorted(offsets[lo + 1 : hi + 1], first + start, side="right")
                 found.append((anchor, same, row, (first + start - offsets[row]) << 16 | (count - 1) << 8 | (at - first)))
             if not found:
                 continue
             anchor, same, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((same, anchor))  # copies within the batch: one stands for them, the others are told and dealt anywhere
-            again = np.r_[False, (anchor[order][1:] == anchor[order][:-1]) & (same[order][1:] == same[order][:-1])]
+            order, again = _copies(anchor, same, texts)  # copies within the batch: one stands for them, the others are told and dealt anywhere
             kind = np.zeros(len(order), np.int32)
             kind[order] = np.where(again, 1, np.where(np.r_[again[1:], False], 4, 0))
             deal = np.where(kind == 1, _mixed(anchor ^ place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ row.astype(np.uint64) << np.uint64(20)), anchor)
             pick = pa.array(row)
-            cols = [pa.array(deal.view(np.int64)), pa.array(same.view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array(place), pa.array(kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "same", "doc_id", "hash", "place", "kind"])
+            cols = [pa.array(deal.view(np.int64)), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in same.T], b.column(0).take(pick), b.column(1).take(pick), pa.array(place), pa.array(kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "same", "other", "doc_id", "hash", "place", "kind"])
 
     return run
 
@@ -115,10 +137,13 @@ def _spans(length: int, gram: int):
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted spans to verdicts: 1 repeats in full; 2 and 3 stand for their kind in a mixed group, 3 if the only one."""
 
+    def begins(t: pa.Table) -> np.ndarray:
+        a, s, o = (t.column(c).to_numpy() for c in ("anchor", "same", "other"))
+        return np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])]
+
     def verdicts(t: pa.Table, told: np.ndarray, before, after) -> pa.RecordBatch:
         """t: whole runs of equal spans. before, after: anchors of the runs next to it."""
-        a, s = (t.column(c).to_numpy() for c in ("anchor", "same"))
-        new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
+        a, new = t.column("anchor").to_numpy(), begins(t)
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(a)])
         many = (size > 1) | np.logical_or.reduceat(t.column("kind").to_numpy() == 4, first)
@@ -148,8 +173,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             t = pa.concat_tables([held, t])
         told = np.r_[told, np.zeros(t.num_rows - len(told), bool)]
-        a, s = (t.column(c).to_numpy() for c in ("anchor", "same"))
-        cut = int(np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])[-1])
+        a = t.column("anchor").to_numpy()
+        cut = int(np.flatnonzero(begins(t))[-1])
         if cut:
             yield verdicts(t.slice(0, cut), told[:cut], before, a[cut])
             before = a[cut - 1]
@@ -258,34 +283,74 @@ def _ranges(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "hash", "start", "stop"])
 
 
-def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def _parted(length: int, gram: int, seed: int):
+    """Rows of `spans` to their parts under a second anchor: both anchors mixed, place and bytes of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raws = b.column(5).to_pylist()
+            data = b"".join(raws)
+            ends = np.cumsum([len(x) for x in raws])
+            first, count, at, anchor = anchored_spans(np.frombuffer(data, np.uint8), ends, length, gram, seed)
+            row = np.searchsorted(ends, first, side="right")
+            start = b.column(3).to_numpy() >> 16
+            place = (start[row] + first - np.r_[0, ends[:-1]][row]) << 16 | (count - 1) << 8 | (at - first)
+            mixed = _mixed(b.column(0).to_numpy().view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) ^ anchor)
+            parts = [data[s:e] for s, e in zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)]
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), b.column(1).take(pick), b.column(2).take(pick), pa.array(place), b.column(4).take(pick), pa.array(parts, pa.binary())], ["anchor", "doc_id", "hash", "place", "kind", "bytes"])
+
+    return run
+
+
+def _range(start, count, length: int) -> list:
+    return ["doc_id", "hash", start.alias("start"), (start + count - 1 + length).alias("stop")]
+
+
+def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
     """doc_id, hash of the text, start, stop: byte ranges that cover every repeated string of `length` bytes (they overlap)."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    spans = docs.mapInArrow(_spans(length, gram), f"anchor long, same long, doc_id {id_type}, hash long, place long, kind int")
-    spans = spans.repartition(parts, "anchor").sortWithinPartitions("anchor", "same")
+    spans = docs.mapInArrow(_spans(length, gram), f"anchor long, same long, other long, doc_id {id_type}, hash long, place long, kind int")
+    spans = spans.repartition(parts, "anchor").sortWithinPartitions("anchor", "same", "other")
     judged = written(spans.mapInArrow(_judge, f"anchor long, doc_id {id_type}, hash long, place long, kind int"), "judged")
 
     start, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)) + 1
-    whole = judged.where("kind = 1").select("doc_id", "hash", start.alias("start"), (start + count - 1 + length).alias("stop"))
+    out = judged.where("kind = 1").select(*_range(start, count, length))
     ask = judged.where("kind > 1").withColumnRenamed("doc_id", "ask_id").withColumnRenamed("hash", "ask_hash")
     texts = docs.select("doc_id", "hash", F.col("text").cast("binary").alias("raw"))
     got = texts.join(ask, F.col("doc_id").eqNullSafe(F.col("ask_id")) & (F.col("hash") == F.col("ask_hash")))
     bytes_ = F.expr(f"substring(raw, int(shiftright(place, 16)) + 1, int((shiftright(place, 8) & 255) + {length}))")
+    columns, schema = ("anchor", "doc_id", "hash", "place", "kind", "bytes"), f"anchor long, doc_id {id_type}, hash long, place long, kind int, bytes binary"
     got = written(got.select("anchor", "doc_id", "hash", "place", "kind", bytes_.alias("bytes")), "spans")
 
-    sizes = got.groupBy("anchor").count()
-    hot = sizes.where(F.col("count") > group).select("anchor")
-    usual = got.join(hot, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    edges = usual.mapInArrow(_sorter(length), f"doc_id {id_type}, hash long, start long, stop long")
+    for level in range(1, levels + 2):
+        hot = written(got.groupBy("anchor").count().where(F.col("count") > group).select("anchor"), "hot")
+        none = hot.isEmpty()
+        usual = got if none else got.join(hot, "anchor", "left_anti")
+        usual = usual.repartition(parts, "anchor").sortWithinPartitions("anchor")
+        out = out.union(usual.mapInArrow(_sorter(length), f"doc_id {id_type}, hash long, start long, stop long"))
+        if none:
+            return out
+        rest = got.join(hot, "anchor", "left_semi").select(*columns)
+        if level > levels:
+            break
+        cut = written(rest.mapInArrow(_parted(length, gram, 0x2545F4914F6CDD1D * level % (1 << 64)), schema), "parts")
+        key = ["anchor", "bytes", F.col("place").bitwiseAND(F.lit(255)).alias("off")]
+        kinds = written(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "hash", "place")).alias("r"), F.max(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("two")), "kinds")
+        many = kinds.where("n > 1 or two = 1").select("anchor", "bytes", "off")
+        out = out.union(cut.where("kind = 3").withColumn("off", F.col("place").bitwiseAND(F.lit(255))).join(many, ["anchor", "bytes", "off"], "left_semi").select(*_range(start, count, length)))
+        got = kinds.select("anchor", "r.*", F.when((F.col("n") > 1) | (F.col("two") == 1), 2).otherwise(3).alias("kind"), "bytes").select(*columns)
+        got = written(got, "spans")
     string = F.explode(F.expr("sequence(0, int(shiftright(place, 8) & 255))"))
-    each = got.join(hot, "anchor", "left_semi").select("*", string.alias("i")).withColumn("digest", F.md5(F.expr(f"substring(bytes, i + 1, {length})")))
-    often = each.groupBy("anchor", "digest").count().where("count > 1").select("anchor", "digest")
-    first = (F.shiftright("place", 16) + F.col("i")).alias("start")
-    split = each.where("kind = 3").join(often, ["anchor", "digest"], "left_semi").select("doc_id", "hash", first).withColumn("stop", F.col("start") + length)
-    return whole.union(edges).union(split)
+    each = rest.select("*", string.alias("i")).withColumn("string", F.expr(f"substring(bytes, i + 1, {length})"))
+    often = each.groupBy("anchor", "string").count().where("count > 1").select("anchor", "string")
+    first = F.shiftright("place", 16) + F.col("i")
+    return out.union(each.where("kind = 3").join(often, ["anchor", "string"], "left_semi").select("doc_id", "hash", first.alias("start"), (first + length).alias("stop")))
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
@@ -299,12 +364,13 @@ def merged(ranges: np.ndarray) -> np.ndarray:
 
 
 def with_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """documents with their repeated ranges as flat array `__ranges` (start, stop, start, stop ...), null where there are none."""
+    """documents with one column more, the last: their repeated ranges as a flat array (start, stop, start, stop ...), null where there are none."""
+    ranges, own, mark = (fresh(documents, c) for c in ("ranges", "own_id", "own_hash"))
     found = repeated_ranges(documents, length)
-    flat = F.flatten(F.collect_list(F.array("start", "stop"))).alias("__ranges")
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(flat)
-    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return documents.join(found, key, "left").drop("__id", "__hash")
+    flat = F.flatten(F.collect_list(F.array("start", "stop"))).alias(ranges)
+    found = found.groupBy(F.col("doc_id").alias(own), F.col("hash").alias(mark)).agg(flat)
+    key = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark))
+    return documents.join(found, key, "left").drop(own, mark)
 
 
 def _ranges_of(flat) -> np.ndarray:
@@ -329,7 +395,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_suffix_dedup(documents: DataFrame) -> DataFrame:
-    found = with_ranges(documents.select("doc_id", "text")).select("doc_id", "text", "__ranges")
+    found = with_ranges(documents.select("doc_id", "text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -350,13 +416,13 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t, names = [], b.schema.names
-        for raw, flat in zip(b.column(names.index("text")).cast(pa.binary()).to_pylist(), b.column(names.index("__ranges")), strict=True):
+        for raw, flat in zip(b.column(names.index("text")).cast(pa.binary()).to_pylist(), b.column(len(names) - 1), strict=True):
             if raw is None or not flat.is_valid:
                 t.append(raw)
             else:
                 t.append(kept_bytes(raw, whole_characters(raw, _ranges_of(flat.values.to_numpy()))))
         text = pa.array(t, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([text if n == "text" else b.column(n) for n in names if n != "__ranges"], [n for n in names if n != "__ranges"])
+        yield pa.RecordBatch.from_arrays([text if n == "text" else b.column(k) for k, n in enumerate(names[:-1])], names[:-1])
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -9,7 +9,7 @@ monotonically so that this threshold lies at 0.7. Languages with too few positiv
 
 Defined results: null or empty text scores as a text without words; texts are read whole; repeated label rows count once
 each; labels that are null or of unknown documents are ignored; with one class only, the score is its smoothed share,
-kept on that class's side of 0.7; extra columns are ignored.
+kept on that class's side of 0.7; without any usable label too, every score is on the side of 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample
+from .common import bounded_labels, crc_mod, drop_table, written
 
-MAX_TRAIN = 16_000
+MAX_TRAIN, MAX_WORDS = 16_000, 10_000_000
 THRESHOLD = 0.7
 BITS, DIM, FILTERS, WIDTHS = 20, 8, 8, (1, 2, 3)
 PAD = 0
@@ -205,19 +205,28 @@ def fit_cnn(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed
     return m
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> TextCNN:
-    """Fit on at most max_train labelled documents outside the held-out fold (crc32 mod 3 = 1); words are hashed on the executors."""
+def train_toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> TextCNN:
+    """Fit on at most max_train labelled documents of at most max_words words together, outside the held-out fold (crc32 mod 3 = 1).
+
+    Both bound what reaches the driver; texts are never cut, fewer are taken. Words are hashed on the executors.
+    """
     rows = labels.select("doc_id", F.col("toxic").cast("double").alias("__y")).where("doc_id is not null and __y in (0, 1)")
-    rows = labelled_sample(rows.where(crc_mod(F.col("doc_id"), 3) != 1), max_train, "toxicity")
+    rows = bounded_labels(rows.where(crc_mod(F.col("doc_id"), 3) != 1), max_train, "toxicity")
     chosen = documents.select("doc_id", "lang", "text").join(F.broadcast(rows), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [word_rows(x).tobytes() for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], ["doc_id", "__y", "lang", "rows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary()), pa.array([len(x) // 4 for x in raw], pa.int64())], ["doc_id", "__y", "lang", "rows", "n"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    got = chosen.select("doc_id", "__y", "lang", "text").mapInArrow(hashed, f"doc_id {kind}, __y double, lang string, rows binary").toPandas().sort_values(["doc_id", "__y", "lang"], kind="stable")
+    held = written(chosen.select("doc_id", "__y", "lang", "text").mapInArrow(hashed, f"doc_id {kind}, __y double, lang string, rows binary, n long"), "hashed")
+    if (held.agg(F.sum("n")).first()[0] or 0) > max_words:
+        upto = Window.orderBy(F.xxhash64("doc_id", F.lit("words")), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+        few = held.select("doc_id", "n").withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_words).select("doc_id").distinct()  # of max_train rows and their repeats
+        held = held.join(F.broadcast(few), "doc_id", "left_semi")
+    got = held.toPandas().sort_values(["doc_id", "__y", "lang"], kind="stable")
+    drop_table(held)
     docs = [np.frombuffer(x, np.int32) for x in got["rows"]]
     return fit_cnn(docs, got["__y"].to_numpy(np.float32), [x if isinstance(x, str) else None for x in got["lang"]])
 

@@ -7,11 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests_llm_plain import covered
+
 from sparktriage.llm import bpe, chat, decontaminate, mixcoder, mtree, pieces, simhash, suffix_dedup, tokenfile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string"
@@ -51,25 +54,11 @@ def test_decontamination(spark, texts):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def covered(texts, n=200):
-    seen = {}
-    for i, t in enumerate(texts):
-        b = (t or "").encode()
-        for k in range(len(b) - n + 1):
-            seen.setdefault(b[k : k + n], []).append((i, k))
-    marks = [np.zeros(len((t or "").encode()), bool) for t in texts]
-    for at in seen.values():
-        if len(at) > 1:
-            for i, k in at:
-                marks[i][k : k + n] = True
-    return marks
-
-
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_suffix_dedup(spark, texts, group):
-    """group 1 sends every edge through the path for oversize groups."""
+@pytest.mark.parametrize(("group", "levels"), [(20_000, 3), (1, 2), (1, 0)])
+def test_suffix_dedup(spark, texts, group, levels):
+    """group 1 splits every group of edges by further anchors, and counts what is left string by string; levels 0 counts all."""
     d = docs(spark, texts)
-    found = suffix_dedup.repeated_ranges(d, group=group).collect()
+    found = suffix_dedup.repeated_ranges(d, group=group, levels=levels).collect()
     marks = covered(texts)
     by_hash = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64("text").alias("h")).collect()}
     for i, t in enumerate(texts):
@@ -87,6 +76,25 @@ def test_suffix_dedup(spark, texts, group):
         assert clean.columns == d.columns and clean.count() == len(texts)
 
 
+def test_equal_digests_of_other_bytes(texts, monkeypatch):
+    """Spans of one batch with colliding digests are parted by their bytes."""
+    anchor = np.zeros(6, np.uint64)
+    same, own = np.zeros((6, 2), np.uint64), [b"x", b"y", b"x", b"z", b"y", b"x"]
+    order, again = suffix_dedup._copies(anchor, same, own)
+    assert all((own[order[k]] == own[order[k - 1]]) == again[k] for k in range(1, 6)) and again.sum() == 3
+    monkeypatch.setattr(suffix_dedup, "_DIGEST", lambda x: bytes(16))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "hash": i, "text": t} for i, t in enumerate(texts)], pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
+    (out,) = suffix_dedup._spans(200, 40)(iter([batch]))
+    held, told = {}, 0
+    for r in out.to_pylist():
+        s, n = r["place"] >> 16, (r["place"] >> 8 & 255) + 200
+        own = (texts[r["doc_id"]] or "").encode()[s : s + n]
+        told += r["kind"] == 1
+        if r["kind"] != 1:
+            held.setdefault((r["anchor"], r["same"], r["other"]), set()).add(own)
+    assert all(len(x) == 1 for x in held.values()) and told > 5
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.op2_suffix_dedup(docs(spark, ["x"]).where("false")).count() == 0
 
