@@ -4,10 +4,8 @@ A text is cut into units that no merge can cross (blanks with the word after the
 the best mergeable pair of neighbours (highest piece score, leftmost first); a candidate is skipped for good if a keyed
 hash of (seed, doc_id, the unit's place in the document, the candidate's place in the unit, the piece it would make) falls
 under the dropout rate, so each occurrence is segmented on its own and depends on seed and document alone.
-What a unit gives with a set of candidates skipped (a state) is kept, with the other candidates it met. An occurrence starts
-at the state of no skips; where its key skips candidates of the state, it goes to the state that skips them too, until its
-key skips none of the others: that is its own segmentation. States are encoded many at a time: every round merges the best
-pair of each unit that still has one.
+Units are encoded many at a time: every round merges the best pair of each unit that still has one. The first symbols of
+a unit and the ranks of their pairs, which no skip changes, are kept; its merges are made anew for every occurrence.
 Characters outside the vocabulary, and the blank mark itself, become byte pieces, so decoding gives the text back.
 
 Defined results: null or empty text has no pieces and decodes to the empty text; with dropout 0 the pieces are those of
@@ -20,24 +18,23 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WIDE, MergeTable, agenda_encode, encode_units
+from .bpe import NONE, MergeTable, encode_units
 from .common import fresh
-from .ragged import Interned, Ragged, grown
+from .ragged import Interned, Ragged
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
-MOST_STATES = 400_000
-MOST_BITS = 62
+MOST_UNITS = 700_000
 SPACE = "▁"
 _UNIT = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 
@@ -97,125 +94,63 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _skipped(key, place, rank, dropout: float) -> np.ndarray:
-    h = _mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return h < np.uint64(int(dropout * float(1 << 63)) * 2)
+def occurrence_keys(doc: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """The keys of the units at places of documents: 32 bits each."""
+    own = _mix(doc + np.uint64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    return (_mix(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-class States(Interned):
-    """Numbers of states: a unit without skips, or (state, bits of its candidates to skip too); keys in order."""
-
-    def __init__(self):
-        self.order: list = []
-
-    def __missing__(self, key):
-        self.order.append(key)
-        return super().__missing__(key)
+def skipped(key: np.ndarray, place: np.ndarray, rank: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether each candidate is skipped: its hash under the occurrence's key falls under the rate."""
+    h = place.astype(np.uint32)
+    h *= np.uint32(0x9E3779B1)
+    h += rank.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    h ^= key
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h < np.uint32(min(dropout, 1.0) * 0xFFFFFFFF)
 
 
 class Encoder:
-    """Encodes texts one after another and keeps the states it has met, within a bound."""
+    """Encodes texts one after another and keeps the first symbols and pairs of the units it has met, within a bound."""
 
     def __init__(self, path: str, dropout: float, seed: int):
         self.v, self.dropout, self.seed = vocabulary(path), dropout, seed
         self._reset()
 
     def _reset(self) -> None:
-        self.states, self.rows, self.others = States(), Ragged(), Ragged()
-        self.unit: list[str] = []
-        self.skips: list[tuple[int, ...]] = []
-        self.direct = np.zeros(1024, bool)  # too many candidates for a state: each occurrence is encoded by its own key
-
-    def _make(self, new: np.ndarray) -> None:
-        """Encodes the states `new` (ascending, all that have no row yet)."""
-        off, met_before = self.others.off, self.others.flat
-        for key in self.states.order[len(self.unit) :]:
-            if isinstance(key, bytes):
-                self.unit.append(key.decode())
-                self.skips.append(())
-            else:
-                state, bits = key
-                at, more = int(off[state]), []
-                while bits:
-                    low = bits & -bits
-                    more.append(int(met_before[at + low.bit_length() - 1]))
-                    bits ^= low
-                self.unit.append(self.unit[state])
-                self.skips.append((*self.skips[state], *more))
-        self.direct = grown(self.direct, len(self.unit), False)
-        states = new.tolist()
+        self.units, self.known, self.symbols, self.pairs = Interned(), 0, Ragged(), Ragged()
+
+    def _learn(self, new: np.ndarray) -> None:
+        """First symbols of the units `new` (all that came last), or without dropout their ids."""
+        flat, size = self.v.symbols([u.decode() for u in islice(self.units, self.known, None)])
+        self.known = len(self.units)
         if not self.dropout:
-            own, size, flat = encode_units(self.v, *self.v.symbols([self.unit[i] for i in states]))
-            self.rows.put(new[own], size, flat)
-            return
-        wide = np.array([len(self.unit[i]) > WIDE for i in states], bool)
-        units = ["" if w else self.unit[i] for i, w in zip(states, wide.tolist(), strict=True)]
-        gone = np.array(sorted(k << 26 | c for k, i in enumerate(states) for c in self.skips[i]), np.int64)
-        met: list[np.ndarray] = [np.zeros(0, np.int64)]
-
-        def skip(unit, place, rank):
-            code = unit.astype(np.int64) << 26 | place.astype(np.int64) << 20 | rank
-            met.append(code)
-            return gone[np.minimum(np.searchsorted(gone, code), len(gone) - 1)] == code if len(gone) else np.zeros(len(code), bool)
-
-        own, size, flat = encode_units(self.v, *self.v.symbols(units), skip)
-        if len(own) < len(new):  # empty stand-ins have no row of their own
-            left = np.setdiff1d(np.arange(len(new)), own)
-            own, size = np.r_[own, left], np.r_[size, np.zeros(len(left), np.int64)]
-        self.rows.put(new[own], size, flat)
-        other = np.sort(np.concatenate(met))
-        fresh = np.r_[True, other[1:] != other[:-1]][: len(other)]
-        if len(gone):
-            fresh &= gone[np.minimum(np.searchsorted(gone, other), len(gone) - 1)] != other
-        other = other[fresh]
-        count = np.bincount(other >> 26, minlength=len(new))
-        self.direct[new[wide | (count > MOST_BITS)]] = True
-        self.others.missing(new)
-        self.others.put(new, count, (other & ((1 << 26) - 1)).astype(np.int32))
-
-    def _settled(self, state: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The states whose segmentations the occurrences have, from their units' states and their keys."""
-        left = np.arange(len(state))
-        while len(left):
-            new = self.rows.missing(state[left])
-            if len(new):
-                self._make(new)
-            if not self.dropout:
-                break
-            if (whole := self.direct[state[left]]).any():
-                at = left[whole]
-                keys = key[at]
-                own, size, flat = encode_units(self.v, *self.v.symbols([self.unit[i] for i in state[at].tolist()]), lambda u, place, rank: _skipped(keys[u], place, rank, self.dropout))
-                made = np.array([self.states[b"", len(self.states)] for _ in at.tolist()])
-                self.unit += [""] * len(at)
-                self.skips += [()] * len(at)
-                self.rows.missing(made)
-                self.rows.put(made[own], size, flat)
-                state[at], left = made, left[~whole]
-            n, other = self.others.get(state[left])
-            row = np.repeat(np.arange(len(left)), n)
-            hit = np.flatnonzero(_skipped(key[left[row]], other >> 20, other & ((1 << 20) - 1), self.dropout))
-            if not len(hit):
-                break
-            row = row[hit]
-            bit = np.int64(1) << (hit - (n.cumsum() - n)[row])
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            left = left[row[first]]
-            more = zip(state[left].tolist(), np.bitwise_or.reduceat(bit, first).tolist(), strict=True)
-            state[left] = np.fromiter(map(self.states.__getitem__, more), np.int64, len(left))
-        return state
+            size, flat = encode_units(self.v, flat, size)
+        self.symbols.put(new, size, flat)
+        if self.dropout:
+            pair = np.append(self.v.merges(flat[:-1], flat[1:]), NONE)
+            pair[size.cumsum() - 1] = NONE
+            self.pairs.missing(new)
+            self.pairs.put(new, size, pair)
 
     def encode(self, raws: list[bytes], keys: list[int]) -> list[np.ndarray]:
         """Ids of each text; keys: what names the document for the skips of its occurrences."""
-        if len(self.states) > MOST_STATES:
+        if len(self.units) > MOST_UNITS:
             self._reset()
         cuts = [_UNIT.findall(b" " + r) if r else [] for r in raws]
-        n = np.array([len(c) for c in cuts], np.int64)
-        found = np.fromiter((i for c in cuts for i in map(self.states.__getitem__, c)), np.int64, int(n.sum()))
-        place = np.arange(len(found)) - np.repeat(n.cumsum() - n, n)
-        own = np.repeat(_mix(np.array(keys, np.uint64) + np.uint64(self.seed) * np.uint64(0xD6E8FEB86659FD93)), n)
-        key = _mix(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        size, flat = self.rows.get(self._settled(found, key))
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        slots = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cuts)), np.int64, int(n.sum()))
+        new = self.symbols.missing(slots)
+        if len(new):
+            self._learn(new)
+        size, flat = self.symbols.get(slots)
+        if self.dropout:
+            place = np.arange(len(slots)) - np.repeat(n.cumsum() - n, n)
+            key = occurrence_keys(np.repeat(np.array(keys, np.uint64), n), place, self.seed)
+            size, flat = encode_units(self.v, flat, size, lambda u, at, rank: skipped(key[u], at, rank, self.dropout), self.pairs.get(slots)[1])
         ends = np.r_[0, size.cumsum()][n.cumsum()] if len(n) else np.zeros(0, np.int64)
         return np.split(flat, ends[:-1]) if len(ends) else []
 

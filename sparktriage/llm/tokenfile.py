@@ -98,8 +98,8 @@ class WordTokens:
         units = list(islice(self.words, self.known, None))
         plain = np.array([u.isascii() and b"<|" not in u and not _CONTROL.search(u) for u in units], bool)
         at = np.flatnonzero(plain)
-        own, size, flat = encode_units(self.merges, *self.merges.symbols([units[i] for i in at.tolist()]))
-        self.rows.put(new[at][own], size, flat)
+        size, flat = encode_units(self.merges, *self.merges.symbols([units[i] for i in at.tolist()]))
+        self.rows.put(new[at], size, flat)
         if len(odd := np.flatnonzero(~plain)):
             got = [e.ids for e in self.tokenizer.encode_batch_fast([units[i].decode() for i in odd.tolist()], add_special_tokens=False)]
             self.rows.put(new[odd], np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((x for i in got for x in i), np.int32, sum(map(len, got))))
