@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import release, remove, shared_dir, table_mark, written
@@ -59,3 +59,22 @@ def bounded_labels(labels: DataFrame, most: int, seed: str) -> DataFrame:
     """As labelled_sample, and never more than `most` rows, also where ids repeat: it may be broadcast."""
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     return labelled_sample(labels, most, seed).orderBy(key, *labels.columns).limit(most)
+
+
+def keep_first(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns. groups(root, doc_id, hash): a line for every row of documents, hash = xxhash64(text).
+
+    The row of the smallest doc_id stays (null after all others), then that of the smallest hash, then one of the rows that
+    are equal in both, in the order of all columns.
+    """
+    own, mark, n, k = (fresh(documents, c) for c in ("own_id", "own_hash", "copies", "place"))
+    rows = groups.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n")).alias("r"))
+    least = written(least.select(F.col("r.doc_id").alias(own), F.col("r.hash").alias(mark), F.col("r.n").alias(n)), "kept")
+    key = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark))
+    if least.where(F.col(n) > 1).isEmpty():
+        return documents.join(least, key, "left_semi")
+    single = documents.join(least.where(F.col(n) == 1), key, "left_semi")
+    again = documents.join(least.where(F.col(n) > 1), key)
+    order = Window.partitionBy(own, mark).orderBy(*documents.columns)
+    return single.union(again.withColumn(k, F.row_number().over(order)).where(F.col(k) == 1).select(*documents.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep_first, written
 from .components import connected_components
 
 BLOCK = 4096
@@ -54,8 +54,8 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([fingerprint(x) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        fp = np.array([fingerprint(x) for x in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "hash", "fp"])
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -199,26 +199,24 @@ def candidate_units(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> Data
 
 
 def near_components(documents: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp (long), component_id of every document row."""
+    """doc_id, hash of the text, fp (long), root (a fingerprint that names the component), component_id of every document row."""
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = documents.select("doc_id").schema.add("fp", "long")
-    docs = written(documents.select("doc_id", "text").mapInArrow(_fingerprints, schema), "fingerprints")
+    schema = documents.select("doc_id").schema.add("hash", "long").add("fp", "long")
+    docs = written(documents.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_fingerprints, schema), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     units = candidate_units(classes.select("fp"), radius, block)
     units = units.repartition(n, "combo", "key", "lo", "hi").sortWithinPartitions("combo", "key", "lo", "hi")
     roots = connected_components(units.mapInArrow(_linker(radius), "a long, b long"))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "root").select("fp", "root", "component_id")
+    return docs.join(named, "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def keep_representatives(documents: DataFrame, radius: int = 2) -> DataFrame:
-    """The documents whose id names their component, with all their columns."""
-    found = near_components(documents, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    keyed = F.col("doc_id").eqNullSafe(F.col("__keep"))
-    return documents.join(found.withColumnRenamed("doc_id", "__keep"), keyed, "left_semi")
+    """One document row of each component, with all its columns."""
+    return keep_first(documents, near_components(documents, radius))
 
 
 def op8_simhash(documents: DataFrame) -> DataFrame:
