@@ -272,14 +272,15 @@ def test_token_files_of_decomposed_capitals(spark):
         start += len(ids)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("shard", [150, 20, 16_384])
+def test_top_k(spark, shard):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(700)] + [(900 + i, [0.5] * 8) for i in range(300)]
     rows += [(2000, None), (2050, [1.0, None] * 4), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [1.0, 2.0]), (2250, [3.0, 1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
     v = mtree.quantised(df)
     got = {}
-    for r in mtree.top_k(v, v.where("vec_id % 50 = 0"), 5, shard=150, block=7).collect():
+    for r in mtree.top_k(v, v.where("vec_id % 50 = 0"), 5, shard=shard, block=7).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if x is not None and None not in x and np.isfinite(x).all()}
     for i in (k for k in q if k % 50 == 0):
