@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
         lo = hi
 
 
-def _copies(anchor: np.ndarray, same: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _copies(anchor: np.ndarray, same: np.ndarray, text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal spans are neighbours, and which ones equal the one before. Where spans of equal digests differ
     in bytes, all of that digest get another by their bytes (same is changed), until only equal bytes are left together."""
     turn = 0
@@ -88,12 +88,12 @@ def _copies(anchor: np.ndarray, same: np.ndarray, texts: list[bytes]) -> tuple[n
         a, s = anchor[order], same[order]
         again = np.r_[False, (a[1:] == a[:-1]) & (s[1:] == s[:-1]).all(1)]
         at = np.flatnonzero(again)
-        clash = [k for k, i, j in zip(at.tolist(), order[at].tolist(), order[at - 1].tolist(), strict=True) if texts[i] != texts[j]]
+        clash = [k for k, i, j in zip(at.tolist(), order[at].tolist(), order[at - 1].tolist(), strict=True) if text(i) != text(j)]
         if not clash:
             return order, again
         run, turn = (~again).cumsum(), turn + 1
         rows = order[np.isin(run, run[clash])]
-        same[rows, 1] = [zlib.crc32(texts[i], turn) for i in rows.tolist()]
+        same[rows, 1] = [zlib.crc32(text(i), turn) for i in rows.tolist()]
 
 
 def _spans(length: int, gram: int):
@@ -105,7 +105,7 @@ def _spans(length: int, gram: int):
             if not len(text) or text.buffers()[2] is None:
                 continue
             raw = np.frombuffer(text.buffers()[2], np.uint8)
-            found, texts = [], []
+            found, at_raw = [], []
             for lo, hi, start in _pieces(offsets, length):
                 stop = min(offsets[hi], start + PIECE + length - 1) if hi == lo + 1 else offsets[hi]
                 data = raw[start:stop]
@@ -114,16 +114,16 @@ def _spans(length: int, gram: int):
                 if not len(first):
                     continue
                 view, last = data.tobytes(), first + count - 1 + length
-                own = [view[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                same = np.frombuffer(b"".join(map(_DIGEST, own)), np.uint64).reshape(-1, 2).copy()
+                same = np.frombuffer(b"".join([_DIGEST(view[s:e]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64).reshape(-1, 2).copy()
                 same[:, 0] = _mixed(same[:, 0] ^ (at - first).astype(np.uint64))
-                texts += own
+                at_raw.append(np.stack([first, last], 1) + start)
                 row = lo + np.searchsorted(offsets[lo + 1 : hi + 1], first + start, side="right")
                 found.append((anchor, same, row, (first + start - offsets[row]) << 16 | (count - 1) << 8 | (at - first)))
             if not found:
                 continue
             anchor, same, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, again = _copies(anchor, same, texts)  # copies within the batch: one stands for them, the others are told and dealt anywhere
+            bounds = np.concatenate(at_raw)
+            order, again = _copies(anchor, same, lambda i, raw=raw, bounds=bounds: raw[bounds[i, 0] : bounds[i, 1]].tobytes())  # copies within the batch: one stands for them, the others are told and dealt anywhere
             kind = np.zeros(len(order), np.int32)
             kind[order] = np.where(again, 1, np.where(np.r_[again[1:], False], 4, 0))
             deal = np.where(kind == 1, _mixed(anchor ^ place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ row.astype(np.uint64) << np.uint64(20)), anchor)

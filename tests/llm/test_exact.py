@@ -80,7 +80,7 @@ def test_equal_digests_of_other_bytes(texts, monkeypatch):
     """Spans of one batch with colliding digests are parted by their bytes."""
     anchor = np.zeros(6, np.uint64)
     same, own = np.zeros((6, 2), np.uint64), [b"x", b"y", b"x", b"z", b"y", b"x"]
-    order, again = suffix_dedup._copies(anchor, same, own)
+    order, again = suffix_dedup._copies(anchor, same, own.__getitem__)
     assert all((own[order[k]] == own[order[k - 1]]) == again[k] for k in range(1, 6)) and again.sum() == 3
     monkeypatch.setattr(suffix_dedup, "_DIGEST", lambda x: bytes(16))
     batch = pa.RecordBatch.from_pylist([{"doc_id": i, "hash": i, "text": t} for i, t in enumerate(texts)], pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
