@@ -34,7 +34,7 @@ from .ragged import Interned, Ragged
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
-MOST_UNITS = 700_000
+MOST_UNITS = 400_000
 SPACE = "▁"
 _UNIT = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 
