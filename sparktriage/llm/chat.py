@@ -130,8 +130,14 @@ def record_turns(record: str | None) -> list[dict[str, str]]:
     try:
         value = json.loads(record or "null")
         layout = choose(json_paths(value))
-    except ValueError:
+        out = _turns(value, layout)
+        "".join(x for t in out for x in t.values()).encode()
+    except (ValueError, RecursionError):  # no JSON, no known layout, nested too deep, or half a surrogate pair
         return []
+    return out
+
+
+def _turns(value, layout) -> list[dict[str, str]]:
     if layout.each:
         at = value
         for k in layout.each.split("."):

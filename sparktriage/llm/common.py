@@ -9,6 +9,7 @@ from ..sources.tables import release, remove, shared_dir, table_mark, written
 
 __all__ = ["release", "shared_dir", "table_mark", "written"]
 
+KEYS = 1 << 62
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,13 +47,17 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
 
 
+def sample_below(most: int, n: int) -> int:
+    """Of KEYS equally likely keys, as many as take about `most` of n rows: never none of them, at any n that Spark can count."""
+    return min(KEYS, max(1, KEYS * most // n)) if n else KEYS
+
+
 def labelled_sample(labels: DataFrame, most: int, seed: str) -> DataFrame:
     """At most about `most` rows of labels, chosen by a hash of doc_id: the documented bound of a classifier's fit."""
     n = labels.count()
     if n <= most:
         return labels
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000))
-    return labels.where(key < F.lit(int(1_000_000 * most / n)))
+    return labels.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(KEYS)) < F.lit(sample_below(most, n)))
 
 
 def bounded_labels(labels: DataFrame, most: int, seed: str) -> DataFrame:

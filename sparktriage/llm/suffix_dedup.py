@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from .suffix_sort import Suffixes, powers, prefix_hashes
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 20
+PLACE_BITS = 22  # of an anchor's place among the bytes looked at together
+MOST = 1 << PLACE_BITS
 GROUP, LEVELS = 20_000, 3
 _DIGEST = xxhash.xxh3_128_digest
 
@@ -48,11 +51,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def anchored_spans(data: np.ndarray, ends: np.ndarray, length: int, gram: int, seed: int = 0):
     """Spans of a buffer of texts that end at `ends`: arrays of first string, number of strings, anchor place, anchor hash."""
     n, w = len(data), length - gram + 1
+    if n > MOST:
+        raise ValueError(f"places have {PLACE_BITS} bits: {n} bytes at once are too many")
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     p = prefix_hashes(data)
     h = _mixed((p[gram:] - p[:-gram]) * powers(n + 1)[1][: n - gram + 1] + np.uint64(seed))
-    low = np.uint64((1 << 22) - 1)
+    low = np.uint64(MOST - 1)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))  # the rightmost of equal hashes is least
     full = np.full(-(-len(key) // w) * w, ~np.uint64(0))
     full[: len(key)] = key
@@ -286,21 +291,26 @@ def _ranges(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def _parted(length: int, gram: int, seed: int):
     """Rows of `spans` to their parts under a second anchor: both anchors mixed, place and bytes of the part."""
 
+    def parts_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        raws = b.column(5).to_pylist()
+        data = b"".join(raws)
+        ends = np.cumsum([len(x) for x in raws])
+        first, count, at, anchor = anchored_spans(np.frombuffer(data, np.uint8), ends, length, gram, seed)
+        row = np.searchsorted(ends, first, side="right")
+        start = b.column(3).to_numpy() >> 16
+        place = (start[row] + first - np.r_[0, ends[:-1]][row]) << 16 | (count - 1) << 8 | (at - first)
+        mixed = _mixed(b.column(0).to_numpy().view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) ^ anchor)
+        parts = [data[s:e] for s, e in zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)]
+        pick = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), b.column(1).take(pick), b.column(2).take(pick), pa.array(place), b.column(4).take(pick), pa.array(parts, pa.binary())], ["anchor", "doc_id", "hash", "place", "kind", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            raws = b.column(5).to_pylist()
-            data = b"".join(raws)
-            ends = np.cumsum([len(x) for x in raws])
-            first, count, at, anchor = anchored_spans(np.frombuffer(data, np.uint8), ends, length, gram, seed)
-            row = np.searchsorted(ends, first, side="right")
-            start = b.column(3).to_numpy() >> 16
-            place = (start[row] + first - np.r_[0, ends[:-1]][row]) << 16 | (count - 1) << 8 | (at - first)
-            mixed = _mixed(b.column(0).to_numpy().view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) ^ anchor)
-            parts = [data[s:e] for s, e in zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)]
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), b.column(1).take(pick), b.column(2).take(pick), pa.array(place), b.column(4).take(pick), pa.array(parts, pa.binary())], ["anchor", "doc_id", "hash", "place", "kind", "bytes"])
+            at_byte = np.r_[0, pc.binary_length(b.column(5)).to_numpy().cumsum()]
+            for lo, hi, _ in _pieces(at_byte, length):  # a span has at most 2 * length - gram bytes
+                yield parts_of(b.slice(lo, hi - lo))
 
     return run
 

@@ -21,12 +21,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, crc_mod, drop_table, written
+from .common import KEYS, bounded_labels, crc_mod, drop_table, written
 
 MAX_TRAIN, MAX_WORDS = 16_000, 10_000_000
+ROW_WORDS = 64  # a row of the fit counts as so many words at least
 THRESHOLD = 0.7
 BITS, DIM, FILTERS, WIDTHS = 20, 8, 8, (1, 2, 3)
 PAD = 0
@@ -205,6 +206,24 @@ def fit_cnn(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed
     return m
 
 
+def within_words(held: DataFrame, max_words: int) -> DataFrame:
+    """Rows (doc_id, rows, n) of at most max_words words together, a row counting as ROW_WORDS at least: those whose hash is under a threshold.
+
+    Only if all are too many: texts of over 1/64 of max_words are left out, so that no single text takes the place of many.
+    """
+    cost, below = F.greatest("n", F.lit(ROW_WORDS)), KEYS
+    total = lambda df: df.agg(F.sum(cost)).first()[0] or 0
+    if (n := total(held)) <= max_words:
+        return held
+    held = held.where(cost <= max_words // 64)
+    key = F.pmod(F.xxhash64("doc_id", "rows"), F.lit(KEYS))
+    n = total(held)
+    while n > max_words:
+        below = below * max_words * 15 // (n * 16)
+        n = total(held.where(key < F.lit(below)))
+    return held.where(key < F.lit(below))
+
+
 def train_toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> TextCNN:
     """Fit on at most max_train labelled documents of at most max_words words together, outside the held-out fold (crc32 mod 3 = 1).
 
@@ -221,11 +240,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     held = written(chosen.select("doc_id", "__y", "lang", "text").mapInArrow(hashed, f"doc_id {kind}, __y double, lang string, rows binary, n long"), "hashed")
-    if (held.agg(F.sum("n")).first()[0] or 0) > max_words:
-        upto = Window.orderBy(F.xxhash64("doc_id", F.lit("words")), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-        few = held.select("doc_id", "n").withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_words).select("doc_id").distinct()  # of max_train rows and their repeats
-        held = held.join(F.broadcast(few), "doc_id", "left_semi")
-    got = held.toPandas().sort_values(["doc_id", "__y", "lang"], kind="stable")
+    got = within_words(held, max_words).toPandas().sort_values(["doc_id", "__y", "lang"], kind="stable")
     drop_table(held)
     docs = [np.frombuffer(x, np.int32) for x in got["rows"]]
     return fit_cnn(docs, got["__y"].to_numpy(np.float32), [x if isinstance(x, str) else None for x in got["lang"]])

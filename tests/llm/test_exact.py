@@ -95,6 +95,24 @@ def test_equal_digests_of_other_bytes(texts, monkeypatch):
     assert all(len(x) == 1 for x in held.values()) and told > 5
 
 
+def test_parts_of_a_large_batch():
+    """Rows of 5.4 MB in one batch: equal spans get equal anchors and places."""
+    rng = random.Random(4)
+    own = [rng.randbytes(360) for _ in range(500)]
+    rows = [own[i % 500] for i in range(15_000)]
+    names = ["anchor", "doc_id", "hash", "place", "kind", "bytes"]
+    ids = pa.array(range(15_000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 15_000, pa.int64()), ids, ids, pa.array([0] * 15_000, pa.int64()), pa.array([3] * 15_000, pa.int32()), pa.array(rows, pa.binary())], names)
+    found = {}
+    for out in suffix_dedup._parted(200, 40, 5)(iter([batch])):
+        for r in out.to_pylist():
+            found.setdefault(r["doc_id"], []).append((r["anchor"], r["place"], r["bytes"]))
+    assert len(found) == 15_000 and all(found[i] == found[i % 500] for i in found)
+    assert all(p >= 0 and own[i][p >> 16 :].startswith(b) for i in range(500) for _, p, b in found[i])
+    with pytest.raises(ValueError, match="bytes at once"):
+        suffix_dedup.anchored_spans(np.zeros((1 << 22) + 1, np.uint8), np.array([(1 << 22) + 1]), 200, 40)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.op2_suffix_dedup(docs(spark, ["x"]).where("false")).count() == 0
 
@@ -304,3 +322,9 @@ def test_chat(spark):
     assert chat.record_turns("{") == chat.record_turns(None) == chat.record_turns('{"z": 1}') == []
     typed = spark.createDataFrame([(1, "q", "r")], "conv_id long, prompt string, response string")
     assert [tuple(t) for t in chat.canonical_turns(typed).first().turns] == [("user", "q"), ("assistant", "r")]
+
+
+def test_hostile_records():
+    deep, lone = "[" * 100_000, '{"messages": [{"role": "user", "content": "\\ud800"}]}'
+    assert chat.record_turns(deep) == chat.record_turns(lone) == chat.record_turns(None) == chat.record_turns("{") == []
+    assert chat.record_turns('{"messages": [{"role": "user", "content": "hi"}]}') == [{"role": "user", "text": "hi"}]

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparktriage.llm import language, quality, toxicity
+from sparktriage.llm import common, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,3 +52,17 @@ def test_toxicity(spark):
     empty = d.where("false")
     assert toxicity.op7_toxicity(empty, labels).count() == 0 == language.op5_language(empty.withColumn("lang", F.lit("en"))).count()
     assert all(r.predicted == 0 for r in toxicity.op7_toxicity(d.limit(50), labels.where("toxic = 0")).collect())
+
+
+def test_a_long_text_takes_no_other_texts_place(spark):
+    held = spark.createDataFrame([(i, bytes([i % 250, i // 250]), 30_000 if i == 0 else 100) for i in range(400)] + [(5, b"x", 64)] * 20, "doc_id long, rows binary, n long")
+    got = toxicity.within_words(held, 20_000)
+    n = [r.n for r in got.select("n").collect()]
+    assert max(n) == 100 and 0.7 * 20_000 < sum(n) <= 20_000
+    assert toxicity.within_words(held, 10**6).count() == 420
+
+
+def test_samples_of_huge_tables():
+    for n in (1, 20_000, 2 * 10**10, 10**15):
+        assert 0.99 <= common.sample_below(20_000, n) * max(n, 20_000) / (20_000 * common.KEYS) <= 1.01 or n <= 20_000
+    assert common.sample_below(20_000, 5) == common.KEYS
