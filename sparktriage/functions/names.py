@@ -135,7 +135,13 @@ def _pairs(f: Callable[[list[str], list[str]], np.ndarray]):
 
 
 jaro_winkler_udf, token_sort_udf = _pairs(jaro_winkler_pairs), _pairs(token_sort_pairs)
-score_udf = _pairs(lambda a, b: np.maximum(jaro_winkler_pairs(a, b), token_sort_pairs(a, b)))
+
+
+def best_of_both(a: list[str], b: list[str]) -> np.ndarray:
+    return np.maximum(jaro_winkler_pairs(a, b), token_sort_pairs(a, b))
+
+
+score_udf = _pairs(best_of_both)
 
 
 def score_names(a: Column, b: Column) -> Column:
@@ -146,22 +152,52 @@ def score_names(a: Column, b: Column) -> Column:
 def letter_counts(names: list[str], alphabet: dict[int, int]) -> np.ndarray:
     """How often each letter of the alphabet stands in each name; letters outside it count in the last column."""
     x, size = codes(names)
-    out = np.zeros((len(names), len(alphabet) + 1), np.uint8)
-    place = np.vectorize(lambda c: alphabet.get(c, len(alphabet)), otypes=[np.int64])(x)
+    width = len(alphabet) + 1
+    known = np.array(sorted(alphabet), np.int64)
+    place = np.array([alphabet[c] for c in known.tolist()] + [width - 1], np.int64)
+    flat = x[np.arange(x.shape[1]) < size[:, None]]
+    at = np.searchsorted(known, flat)
+    at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != flat if len(known) else True)] = len(known)
     row = np.repeat(np.arange(len(names)), size)
-    np.add.at(out, (row, place[np.arange(x.shape[1]) < size[:, None]]), 1)
-    return out
+    return np.bincount(row * width + place[at], minlength=len(names) * width).reshape(len(names), width).astype(np.float32)
+
 
+def _bound(shared: np.ndarray, m: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    jaro = np.where(shared > 0, (shared / m + shared / n + 1) / 3, 0)
+    jaro = jaro + np.where(jaro > 0.6999, np.float32(0.1) * start * (1 - jaro), 0)
+    return np.maximum(jaro, 2 * shared / (m + n)) + np.float32(1e-5)
 
-def score_bounds(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For all pairs of two blocks of names: no less than either score, from the letters they share. It rules out, and never wrongly."""
+
+def _start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common first letters, 4 at most, of padded codes; the pads of both sides differ."""
+    return np.logical_and.accumulate(x == y, axis=-1).sum(-1)
+
+
+def starts(names: list[str], pad: int) -> np.ndarray:
+    x = codes(names)[0][:, :4]
+    x = np.pad(x, ((0, 0), (0, 4 - x.shape[1])), constant_values=-1)
+    return np.where(x < 0, pad, x)
+
+
+def score_bounds(a: np.ndarray, m: np.ndarray, p: np.ndarray, b: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For all pairs of two blocks of names (letter_counts, lengths, starts): no less than either score. It rules out, and never wrongly."""
     shared = np.zeros((len(a), len(b)), np.float32)
     for c in range(a.shape[1]):
         if a[:, c].any() and b[:, c].any():
             shared += np.minimum(a[:, c, None], b[None, :, c])
-    m, n = m[:, None].astype(np.float32), n[None, :].astype(np.float32)
-    jaro = np.where(shared > 0, (shared / m + shared / n + 1) / 3, 0)
-    return np.maximum(jaro + np.float32(0.4) * (1 - jaro), 2 * shared / (m + n)) + np.float32(1e-5)
+    same, start = np.ones(shared.shape, bool), np.zeros(shared.shape, np.float32)
+    for k in range(4):
+        same &= p[:, k, None] == q[None, :, k]
+        start += same
+    return _bound(shared, m[:, None].astype(np.float32), n[None, :].astype(np.float32), start)
+
+
+def pair_bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """As score_bounds, for the pairs at equal places."""
+    alphabet = {c: i for i, c in enumerate(sorted({ord(c) for x in a for c in set(x)}))}
+    shared = np.minimum(letter_counts(a, alphabet), letter_counts(b, alphabet)).sum(1)
+    size = lambda xs: np.fromiter(map(len, xs), np.float32, len(xs))
+    return _bound(shared, size(a), size(b), _start(starts(a, -1), starts(b, -2)).astype(np.float32))
 
 
 def last_token(c: Column) -> Column:

@@ -312,7 +312,7 @@ def identity_overlay(spark, d):
 def best_list_score(spark, d):
     """The best score of each identity's name against the whole list."""
     names = inputs.overlay(spark, d).select(normalize_name(F.col("name")).alias("norm"))
-    return screening.best_scores(names, inputs.records(spark, d), 0.6).select("norm", F.round("score", 9).alias("score"))
+    return screening.best_scores(names, inputs.records(spark, d)).select("norm", F.round("score", 9).alias("score"))
 
 
 @query

@@ -215,7 +215,7 @@ ORACLES: dict[str, str] = {
     "eval_not_in_overlay": f"WITH {TX}, {ACC} SELECT CAST(c_custkey AS VARCHAR) AS account_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT account_id FROM acc JOIN part ON CAST(p_partkey AS VARCHAR) = account_id)",
     "overlay_on_list": f"WITH {TX}, {ACC}, {NAMES}, {OVERLAY} SELECT lower(name) AS name FROM ov INTERSECT (SELECT p_name FROM nm UNION SELECT split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) FROM nm)",
     "identity_overlay": _drawn_overlay(),
-    "best_list_score": f"WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, {OVERLAY}, pr AS (SELECT DISTINCT ov.norm AS a, ix.norm AS b FROM ov, ix), {_ratio('pr')}, b AS (SELECT a AS norm, max(greatest(ts, jaro_winkler_similarity(a, b))) AS s FROM tr GROUP BY a) SELECT norm, CASE WHEN s >= 0.6 THEN round(s, 9) ELSE 0 END AS score FROM b",
+    "best_list_score": f"WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, {OVERLAY}, pr AS (SELECT DISTINCT ov.norm AS a, ix.norm AS b FROM ov, ix), {_ratio('pr')}, b AS (SELECT a AS norm, max(greatest(ts, jaro_winkler_similarity(a, b))) AS s FROM tr GROUP BY a) SELECT norm, round(s, 9) AS score FROM b",
     "score_lookup": f"WITH {TX}, {RANK} SELECT CAST(c_custkey AS VARCHAR) AS account_id, coalesce(score, -1) AS score, round(coalesce(percentile, -1), 6) AS percentile FROM customer LEFT JOIN pc ON pc.account_id = CAST(c_custkey AS VARCHAR)",
     "evidence_bundle": f"WITH {CASES}, {BASE} SELECT case_id, coalesce(max_hit, -1) AS max_hit, coalesce(max_sev, 0) AS max_sev, array_to_string(sev3_ids, ',') AS sev3_ids, coalesce(score, -1) AS score, CASE WHEN score IS NOT NULL THEN percentile ELSE -1 END AS percentile, score IS NOT NULL AND is_flagged AS is_flagged, disposition AS baseline_disposition FROM bs",
     "strategy_agreement": f"WITH {CASES} SELECT count(*) AS n_cases, true AS disposition_agree, true AS reasoning_agree, true AS human_review_agree, true AS override_agree, true AS case_ids_agree, true AS case_order_agree, true AS costs_zero, true AS tokens_zero, true AS passed FROM cs",

@@ -108,21 +108,65 @@ def test_many_pairs_at_once():
     assert names.common_lengths(a, b).tolist() == [common_length(x, y) for x, y in pairs]
     assert np.allclose(names.token_sort_pairs(a, b), [token_sort_ratio(x, y) for x, y in pairs])
     clean = sorted({" ".join(x.split()) for p in pairs for x in p} - {""})
+    clean += ["b" * 256 + "xd", "b" * 256 + "dx", "ab " * 90 + "c"]  # more equal letters than a byte counts
     alphabet = {ord(c): i for i, c in enumerate("abcde ")}  # one letter is left to the last column
     count, size = names.letter_counts(clean, alphabet), np.array([len(x) for x in clean])
-    bound = names.score_bounds(count, size, count, size)
-    assert all(bound[i, j] >= max(jaro_winkler(x, y), token_sort_ratio(x, y)) for i, x in enumerate(clean[:120]) for j, y in enumerate(clean))
+    bound = names.score_bounds(count, size, names.starts(clean, -1), count, size, names.starts(clean, -2))
+    some = [*range(120), *range(len(clean) - 3, len(clean))]
+    for i in some:
+        score = names.best_of_both([clean[i]] * len(clean), clean)
+        assert (bound[i] >= score).all()
+        assert (names.pair_bounds([clean[i]] * len(clean), clean) >= score).all()
 
 
-def test_near_names_in_blocks(spark):
+def invented(rng, n):
+    """Names of two or three words of two or three syllables."""
+    part = lambda: "".join(rng.choice("b d f g h k l m n r s t v z sh kr".split()) + rng.choice("a e i o u an en ar er al".split()) for _ in range(rng.choice([2, 2, 3])))
+    given, family = [part() for _ in range(150)], [part() for _ in range(600)]
+    return [" ".join([rng.choice(given) for _ in range(rng.choice([1, 1, 2]))] + [rng.choice(family)]) for _ in range(n)]
+
+
+def spoiled(rng, x):
+    """One to three letters swapped, dropped, doubled or replaced, or the words turned."""
+    for _ in range(rng.randrange(1, 4)):
+        k, how = rng.randrange(len(x) - 1), rng.randrange(5)
+        x = (x[:k] + x[k + 1] + x[k] + x[k + 2 :], x[:k] + x[k + 1 :], x[:k] + x[k] + x[k:], x[:k] + rng.choice("aeiosz") + x[k + 1 :], " ".join(reversed(x.split())))[how]
+    return " ".join(x.split()) or "a"
+
+
+@pytest.mark.parametrize(("limit", "share", "n"), [(0.85, 0.02, 250), (0.72, 1, 40)])
+def test_near_names_lose_no_pair(spark, limit, share, n):
+    """Candidates are a small part of all pairs, and hold every pair within the limit."""
     rng = random.Random(6)
-    word = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 7))) for _ in range(2))
-    own, listed = [word() for _ in range(80)], [word() for _ in range(60)]
-    own += listed[:10]
+    listed = invented(rng, n)
+    own = invented(rng, n // 2) + [spoiled(rng, rng.choice(listed)) for _ in range(n)] + listed[:10] + ["a", "ab", "ba", "\u00e9l\u00e4"]
+    listed += ["a", "b", "ab", "abc", "\u00e9la", "x" * 30, "mary " * 12 + "jo", "mary " * 13 + "jo", "q" * 300]
+    own += ["x" * 29, "mary " * 12 + "oj", "jo " + "mary " * 11 + "mary", "q" * 280 + "r" * 40, "xy" * 40]
+    own, listed = sorted({x.strip() for x in own}), sorted({x.strip() for x in listed})
     frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
-    want = {(x, y) for x in own for y in listed if max(jaro_winkler(x, y), token_sort_ratio(x, y)) >= 0.7}
-    for most in (50_000, 13):
-        assert {(r.norm, r.other) for r in screening.near_names(frame(own, "norm"), frame(listed, "other"), 0.7, most).collect()} == want
+    want = {(x, y) for x in own for y, s in zip(listed, names.best_of_both([x] * len(listed), listed).tolist(), strict=True) if s >= limit}
+    got = screening.near_names(frame(own * 2, "norm"), frame(listed, "other"), limit).collect()
+    assert {(r.norm, r.other) for r in got} == want and len(got) == len(want) > n
+    assert share == 1 or screening.candidate_pairs(frame(own, "norm"), frame(listed, "other"), limit).count() <= share * len(own) * len(listed)
+
+
+def test_best_scores_by_branch_and_bound(spark):
+    rng = random.Random(8)
+    listed = invented(rng, 200)
+    records = spark.createDataFrame([(f"U{k % 150:03}", x, [listed[k - 1]], "SDN") for k, x in enumerate(listed)] + [(None, "null uid", None, "SDN")], "uid string, canonical_name string, aka_names array<string>, list_name string")
+    own = [spoiled(rng, x) for x in listed[:60]] + invented(rng, 60) + listed[:5] + ["0", "zzz 123", "null uid"]
+    index = screening.build_index(records).select("norm", "uid").collect()
+    names_ = spark.createDataFrame([(x,) for x in own], "norm string")
+    for floor, most in ((0.0, 50_000), (0.0, 37), (0.8, 50_000)):
+        got = {r.norm: (r.score, r.uid) for r in screening.best_scores(names_, records, floor, most).collect()}
+        assert set(got) == set(own)
+        for x in own:
+            score = names.best_of_both([x] * len(index), [r.norm for r in index])
+            top = score.max()
+            if top < floor:
+                assert got[x] == (0.0, None)
+            else:
+                assert got[x] == (top, min((r.uid is None, r.uid or "") for r, v in zip(index, score, strict=True) if v == top)[1] or None)
 
 
 def test_medians(spark):
