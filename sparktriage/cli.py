@@ -23,7 +23,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def run_baseline(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Verify the frozen files, run every case, check that each has one result, write them."""
     if a.manifest:
-        files.Manifest(Path(a.manifest), Path(a.root)).verify()
+        files.Manifest(Path(a.manifest), Path(a.root)).verify(spark)
     cases = files.json_lines(spark, a.cases, files.EVAL)
     if a.expected is not None and (n := cases.count()) != a.expected:
         raise ValueError(f"{n} cases; {a.expected} are wanted")
@@ -95,10 +95,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     if a.command in ("freeze", "verify"):
         m = files.Manifest(Path(a.manifest), Path(a.root))
+        tables = any(Path(f).is_dir() for f in a.files) or any(k.endswith("/") for k in m.entries())
+        spark = spark or (SparkSession.builder.getOrCreate() if tables else None)
         for f in a.files if a.command == "freeze" else ():
-            m.freeze(Path(f), a.force)
+            m.freeze(Path(f), a.force, spark)
         if a.command == "verify":
-            m.verify()
+            m.verify(spark)
         return
     a.run(spark or SparkSession.builder.getOrCreate(), a).show(100, truncate=False)
 

@@ -6,16 +6,20 @@ import hashlib
 import warnings
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .publish import table_digest, write_json, write_parquet
+
+__all__ = ["write_json", "write_parquet"]
+
 GROUND_TRUTH = "row_id int, account_id string, assigned_name string, ofac_uid string, ofac_canonical_name string, match_flavor string, expected_score_min double, expected_score_max double, gold_is_match string"
 EVAL = "case_id string, account_id string, gold_label string, case_type string, typology string, severity_band int, conflict_type string, relevant_txn_ids array<string>, notes string"
 LATIN = "215"
 
 
 class Manifest:
-    """Write-once SHA-256 list of files, by path relative to root."""
+    """Write-once SHA-256 list of files and Parquet tables, by path relative to root; a table's path ends with a slash."""
 
     def __init__(self, path: Path, root: Path):
         self.path, self.root = path, root
@@ -27,19 +31,29 @@ class Manifest:
         return {self._key(Path(k)) if Path(k).is_absolute() else k: h for k, h in held.items()}
 
     def _key(self, file: Path) -> str:
-        return str(file.resolve().relative_to(self.root.resolve()))
-
-    def freeze(self, file: Path, force: bool = False) -> None:
+        return f"{file.resolve().relative_to(self.root.resolve())}{'/' * file.is_dir()}"
+
+    def _digest(self, key: str, spark: SparkSession | None) -> str:
+        """Of a file, read in chunks, or of a table's rows, hashed where they are (publish.table_digest)."""
+        if key.endswith("/"):
+            if spark is None:
+                raise ValueError(f"{key} is a table: a session is needed")
+            return table_digest(spark.read.parquet(str(self.root.resolve() / key)))
+        with (self.root / key).open("rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+
+    def freeze(self, file: Path, force: bool = False, spark: SparkSession | None = None) -> None:
         held, key = self.entries(), self._key(file)
         if key in held and not force:
             raise ValueError(f"{key} is frozen")
-        held[key] = hashlib.sha256(file.read_bytes()).hexdigest()
-        self.path.write_text("".join(f"{h}  {k}\n" for k, h in held.items()))
+        held[key] = self._digest(key, spark)
+        part = self.path.with_name(f"{self.path.name}.tmp")
+        part.write_text("".join(f"{h}  {k}\n" for k, h in held.items()))
+        part.replace(self.path)
 
-    def verify(self) -> None:
+    def verify(self, spark: SparkSession | None = None) -> None:
         for key, h in self.entries().items():
-            file = self.root / key
-            if not file.exists() or hashlib.sha256(file.read_bytes()).hexdigest() != h:
+            if not (self.root / key).exists() or self._digest(key, spark) != h:
                 raise ValueError(f"{key} is missing or has changed")
 
 
@@ -58,15 +72,30 @@ def line_patterns(spark: SparkSession, path: str) -> DataFrame:
     return held.select("typology", F.flatten(F.transform("xs", lambda x: x["ids"])).alias("account_ids"))
 
 
+# fixed values: the marks of a block, in any letter case and spacing
+_BEGIN, _END = r"(?i)^\s*BEGIN\s+LAUNDERING\s+ATTEMPT\s*-\s*([^:]*)", r"(?i)^\s*END\s+LAUNDERING\s+ATTEMPT"
+
+
 def block_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """typology, account_id of complete BEGIN/END blocks, in any letter case and spacing; account ids are fields 2 and 4; an open block is dropped."""
-    text = spark.read.text(path, wholetext=True)
-    mark = r"LAUNDERING\s+ATTEMPT"
-    block = rf"(?si)BEGIN\s+{mark}\s*-\s*((?:(?!BEGIN\s+LAUNDERING|END\s+LAUNDERING).)*)END\s+{mark}"
-    body = text.select(F.explode(F.regexp_extract_all("value", F.lit(block), F.lit(1))).alias("b"))
-    named = body.select(F.trim(F.regexp_extract("b", r"^([^:\r\n]*)", 1)).alias("typology"), F.explode(F.split("b", r"\r?\n")).alias("line"))
-    f = F.split("line", ",")
-    ids = named.where(F.size(f) > 4).select("typology", F.explode(F.array(f[2], f[4])).alias("account_id"))
+    """typology, account_id of complete BEGIN/END blocks; account ids are fields 2 and 4; a block that another begins in, or the file ends in, is dropped.
+
+    Files are read line by line in as many splits as Spark makes of them. Inside a split, windows give each line the last mark before
+    it and the next one after it; what reaches over splits comes from the first and last mark of each split, a row a split.
+    """
+    value = F.col("value")
+    kind = F.when(value.rlike(_BEGIN), "B").when(value.rlike(_END), "E")
+    at = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i")]
+    mark = F.when(F.col("kind").isNotNull(), F.struct("kind", F.col("name").alias("typology")))
+    lines = spark.read.text(path).select("value", kind.alias("kind"), F.trim(F.regexp_extract("value", _BEGIN, 1)).alias("name"), *at).withColumn("mark", mark)
+    split = Window.partitionBy("f", "s").orderBy("i")
+    rows = lines.where("kind is not null or size(split(value, ',')) > 4")
+    rows = rows.withColumns({"last": F.last("mark", True).over(split.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first("mark", True).over(split.rowsBetween(1, Window.unboundedFollowing))})
+    ends = lines.groupBy("f", "s").agg(F.min_by("mark", F.when(F.col("mark").isNotNull(), F.col("i"))).alias("one"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("i"))).alias("two"))
+    file = Window.partitionBy("f").orderBy("s")
+    ends = ends.select("f", "s", F.last("two", True).over(file.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("one", True).over(file.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    rows = rows.where("kind is null").join(ends, ["f", "s"]).select("value", F.coalesce("last", "before").alias("last"), F.coalesce("next", "after").alias("next"))
+    part = F.split("value", ",")
+    ids = rows.where("last.kind = 'B' and next.kind = 'E'").select(F.col("last.typology").alias("typology"), F.explode(F.array(part[2], part[4])).alias("account_id"))
     return ids.select("typology", F.trim("account_id").alias("account_id")).where("account_id <> ''").distinct()
 
 
@@ -113,15 +142,6 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 
 
-def write_parquet(rows: DataFrame, path: str) -> None:
-    rows.write.parquet(path, mode="overwrite")
-
-
-def write_json(rows: DataFrame, path: str) -> None:
-    """JSON lines; the commit protocol of the writer makes them appear as a whole or not at all."""
-    rows.write.json(path, mode="overwrite", ignoreNullFields=False)
-
-
 def write_json_file(rows: DataFrame, file: Path, by: str, most: int = 100_000) -> None:
     """One JSON-lines file on the driver, in order of a column, by a temporary file and a rename: for frozen artifacts of counted size."""
     if (n := rows.count()) > most:
@@ -159,4 +179,5 @@ def write_ground_truth(rows: DataFrame, file: Path, manifest: Manifest | None =
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256 of small files, each held whole by a task (2 GB at most); for tables of any size there is publish.table_digest."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
