@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_medians
 from ..sources.tables import written
-from ..sources.transactions import legs
+from ..sources.transactions import COLUMNS, legs
 
 NEEDED = ("timestamp", "from_account", "to_account", "amount_paid", "row_nr", "amount_received")
 # fixed values: names that would leak the label or carry none of the behaviour
@@ -18,6 +19,7 @@ EXCLUDED = (
     "is_laundering", "pattern_label", "net_flow", "balance_delta", "total_in_minus_out", "running_balance_delta", "cumulative_net_flow",
     "name", "kyc_risk", "receiving_currency_concentration", "payment_currency_concentration",
 )
+KNOWN = (*COLUMNS, "row_nr")  # of a transaction; its label is among them and is never selected
 # fixed values: the features in the order of the output
 FEATURES = (
     "outbound_count", "inbound_count", "in_out_ratio", "amount_mean", "amount_std", "amount_max", "amount_skew", "round_amount_ratio",
@@ -35,21 +37,25 @@ def guard(columns: list[str]) -> None:
 
 
 def log_excluded(path: Path | None = None) -> list[str]:
-    """One line an excluded feature, to the log and, if asked for, to the end of a file of the driver."""
-    lines = [f"excluded feature: {c}" for c in EXCLUDED]
+    """One line an excluded feature with the time (UTC), to the log and, if asked for, to the end of a file of the driver, whose folder is made."""
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    lines = [f"{now} excluded feature: {c}" for c in EXCLUDED]
     for line in lines:
         log.info(line)
     if path is not None:
+        path.parent.mkdir(parents=True, exist_ok=True)
         with path.open("a") as f:
             f.write("".join(f"{line}\n" for line in lines))
     return lines
 
 
-def clean_input(tx: DataFrame) -> DataFrame:
-    """The columns that features read; nothing else reaches them, and the guard proves it of the result."""
-    out = tx.select(*[c for c in NEEDED if c in tx.columns])
-    guard(out.columns)
-    return out
+def clean_input(tx: DataFrame, known: tuple[str, ...] = KNOWN) -> DataFrame:
+    """The columns that features read, and nothing else.
+
+    Of the input's other columns those of a transaction file are dropped. Any further one is looked at: ValueError if it bears an excluded name.
+    """
+    guard([c for c in tx.columns if c not in known])
+    return tx.select(*[c for c in NEEDED if c in tx.columns])
 
 
 def outbound(tx: DataFrame) -> DataFrame:
@@ -81,24 +87,32 @@ def hour_entropy(tx: DataFrame) -> DataFrame:
     return total.select("account_id", (F.log2("t") - F.col("s") / F.col("t")).alias("txn_hour_entropy"))
 
 
-def clock(tx: DataFrame) -> DataFrame:
-    """timing() and hour_entropy() from one scan: hours of each account first, then the account."""
-    h = F.hour("timestamp")
-    each = legs(tx).groupBy(F.col("account").alias("account_id"), h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("a"), F.max("us").alias("z"))
-    off = F.when((F.col("h") < 7) | (F.col("h") > 20), F.col("n")).otherwise(0)
-    total = each.groupBy("account_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.min("a").alias("a"), F.max("z").alias("z"), F.sum(off).alias("off"))
-    return total.select("account_id", ((F.col("z") - F.col("a")) / F.lit(8.64e10)).alias("day_range"), (F.col("off") / F.col("t")).alias("off_hours_fraction"), (F.log2("t") - F.col("s") / F.col("t")).alias("txn_hour_entropy"))
+def account_aggregates(tx: DataFrame) -> DataFrame:
+    """outbound(), inbound(), timing() and hour_entropy() of every account in one aggregate over one scan of the stacked legs.
+
+    Moments are merged from the tasks' partial ones; the entropy comes from 24 counts; the two sets of counterparties are the only rows a key
+    that meet, and Spark counts them apart, partially first.
+    """
+    out, paid = F.col("side") == "o", F.when(F.col("side") == "o", F.col("amount"))
+    hour = F.hour("timestamp")
+    held = legs(tx).withColumn("h", hour).groupBy(F.col("account").alias("account_id")).agg(
+        F.count_if(out).alias("outbound_count"), F.count_if(~out).alias("inbound_count"), F.count_distinct(F.when(out, F.col("cp"))).alias("unique_out_recipients"), F.count_distinct(F.when(~out, F.col("cp"))).alias("unique_in_senders"),
+        F.avg(paid).alias("amount_mean"), F.stddev_samp(paid).alias("amount_std"), F.max(paid).alias("amount_max"), F.skewness(paid).alias("amount_skew"), F.avg((F.round(paid) % 1000 == 0).cast("double")).alias("round_amount_ratio"),
+        ((F.max("us") - F.min("us")) / F.lit(8.64e10)).alias("day_range"), F.avg(((F.col("h") < 7) | (F.col("h") > 20)).cast("double")).alias("off_hours_fraction"), *[F.count_if(F.col("h") == k).alias(f"h{k}") for k in range(24)],
+    )
+    n = [F.col(f"h{k}") for k in range(24)]
+    total = sum(n[1:], n[0])
+    bits = [F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0)) for x in n]
+    entropy = F.when(total > 0, F.log2(total) - sum(bits[1:], bits[0]) / total)
+    return held.withColumn("txn_hour_entropy", entropy).drop(*[f"h{k}" for k in range(24)])
 
 
 def feature_matrix(tx: DataFrame, accounts: DataFrame) -> DataFrame:
-    """account_id and the 15 features as floats. Inputs are aggregated by account, so each join meets one row a side.
+    """account_id and the 15 features as floats, from one aggregate by account.
 
-    The joined aggregates are written once: the medians that fill gaps, and every later pass, read that table.
+    It is written once: the medians that fill gaps, and every later pass, read that table. It runs jobs at once.
     """
-    tx = clean_input(tx)
-    m = accounts.select("account_id")
-    for part in (outbound(tx), inbound(tx), clock(tx)):
-        m = m.join(part, "account_id", "left")
+    m = accounts.select("account_id").join(account_aggregates(clean_input(tx)), "account_id", "left")
     m = written(m.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ZERO}), "features")
     out, into = F.col("outbound_count"), F.col("inbound_count")
     fill = exact_medians(m, MEDIAN)

@@ -209,7 +209,8 @@ def fixtures(accounts: DataFrame, records: DataFrame, given: list[str], seed: st
     return accounts.sparkSession.createDataFrame(held, "row_id int, account_id string, assigned_name string, ofac_uid string, ofac_canonical_name string, match_flavor string, expected_score_min double, expected_score_max double, gold_is_match boolean")
 
 
-DRAWS = 16
+DRAWS = 200
+MOST_FIXTURES = 100_000
 
 
 def _drawn(c: Column, salt: Column | str, n: int) -> Column:
@@ -218,29 +219,57 @@ def _drawn(c: Column, salt: Column | str, n: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
-def identity_overlay(accounts: DataFrame, given: list[str], family: list[str], countries: list[str], seed: str, records: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
-    """account_id, name, country, kyc_risk: fixtures keep their names, the others draw one by hash, again if it collides.
+def colliding_names(names: DataFrame, index: DataFrame) -> DataFrame:
+    """name: those that in normal form are on the list, or score 0.90 or more against a listed name with the same last token."""
+    every = names.select("name").distinct().withColumn("norm", normalize_name(F.col("name")))
+    hit = every.join(index.select("norm").distinct(), "norm", "left_semi").select("norm").unionByName(surname_collisions(every, index)).distinct()
+    return every.join(hit, "norm", "left_semi").select("name")
+
+
+def drawn_names(accounts: DataFrame, given: list[str], family: list[str], seed: str, index: DataFrame | None = None, draws: int = DRAWS) -> DataFrame:
+    """account_id, name: the first of `draws` names drawn by hash that doesn't collide with the list, or else a number after the last draw.
 
-    A name collides if in normal form it is on the list, or scores 0.90 or more against a listed name with its last token.
-    All possible names are few, so they are screened once; an account takes its first draw of DRAWS that is free, or else a
-    number after its last draw.
+    Accounts whose draw collides, and they alone, draw again: one more name in the first round, then two, four and so on, so few rounds do.
+    Names are screened as drawn, each distinct one once a round, on the executors; a round's accounts are a written table. It runs jobs at once.
     """
     a = F.col("account_id")
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
     name = lambda k: F.concat_ws(" ", pick(given, _drawn(a, F.concat(F.lit(f"{seed}g"), k), len(given))), pick(family, _drawn(a, F.concat(F.lit(f"{seed}f"), k), len(family))))
-    bad: list[str] = []
-    if records is not None:
-        every = accounts.sparkSession.createDataFrame([(f"{g} {f}",) for g in given for f in family], "name string").withColumn("norm", normalize_name(F.col("name")))
-        index = build_index(records).select("norm")
-        hit = every.join(index.distinct(), "norm", "left_semi").select("norm").unionByName(surname_collisions(every, index)).distinct()
-        bad = [r.name for r in every.join(hit, "norm", "left_semi").select("name").collect()]  # of len(given) * len(family) names
-    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: name(i.cast("string")))
-    free = F.filter(draws, lambda x: ~F.array_contains(F.array(*map(F.lit, bad)), x)) if bad else draws
-    last = F.concat_ws(" ", F.element_at(draws, -1), (_drawn(a, f"{seed}n", 9000) + 1000).cast("string"))
+    drawn = lambda df, lo, hi: df.select("account_id", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("i")).withColumn("name", name(F.col("i").cast("string")))
+    left, out, lo, step = accounts.select("account_id"), None, 0, 1
+    if index is None:
+        return drawn(left, 0, 1).select("account_id", "name")
+    while lo < draws:
+        hi = min(draws, lo + step)
+        now = drawn(left, lo, hi)
+        free = written(now.join(colliding_names(now, index), "name", "left_anti").groupBy("account_id").agg(F.min_by("name", "i").alias("name")), "drawn")
+        out = free if out is None else out.unionByName(free)
+        left = written(left.join(free, "account_id", "left_anti"), "colliding")
+        if left.isEmpty():
+            return out
+        lo, step = hi, step * 2
+    number = (_drawn(a, f"{seed}n", 9000) + 1000).cast("string")
+    return out.unionByName(left.select("account_id", F.concat_ws(" ", name(F.lit(str(draws - 1))), number).alias("name")))
+
+
+def identity_overlay(accounts: DataFrame, given: list[str], family: list[str], countries: list[str], seed: str, records: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+    """account_id, name, country, kyc_risk: the fixtures in truth (account_id, assigned_name) keep their names, all others draw one by hash.
+
+    Any number of fixtures is joined whole; an account with two fixtures is an error. It runs jobs at once.
+    """
+    a = F.col("account_id")
+    accounts, index = accounts.select("account_id"), None if records is None else build_index(records)
+    if truth is None:
+        named = drawn_names(accounts, given, family, seed, index)
+    else:
+        truth = truth.select("account_id", F.col("assigned_name").alias("name"))
+        n = truth.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("k")).first()
+        if n.n != n.k:
+            raise ValueError(f"{n.n} fixtures are of {n.k} accounts")
+        held = F.broadcast(truth) if n.n <= MOST_FIXTURES else truth
+        rest = written(accounts.join(held, "account_id", "left_anti"), "unnamed")
+        named = accounts.join(held, "account_id").unionByName(drawn_names(rest, given, family, seed, index))
     k = _drawn(a, f"{seed}kyc", 100)
     risk = F.when(k < 85, "low").when(k < 97, "medium").otherwise("high")
-    out = accounts.select("account_id", F.coalesce(F.try_element_at(free, F.lit(1)), last).alias("name"), pick(countries, _drawn(a, f"{seed}c", len(countries))).alias("country"), risk.alias("kyc_risk"))
-    if truth is None:
-        return out
-    own = F.broadcast(truth.select("account_id", "assigned_name").limit(10_000))  # fixtures are some fifty rows
-    return out.join(own, "account_id", "left").select("account_id", F.coalesce("assigned_name", "name").alias("name"), "country", "kyc_risk")
+    country = F.element_at(F.array(*map(F.lit, countries)), _drawn(a, f"{seed}c", len(countries)) + 1)
+    return named.select("account_id", "name", country.alias("country"), risk.alias("kyc_risk"))

@@ -305,7 +305,9 @@ def overlay_on_list(spark, d):
 
 @query
 def identity_overlay(spark, d):
-    return slices.identity_overlay(inputs.accounts(spark, d), list(inputs.GIVEN), list(inputs.FAMILY), list(inputs.COUNTRIES), "draw", inputs.records(spark, d))
+    """Every third customer is a fixture with the customer's name; all others draw a name that is clear of the list."""
+    own = inputs.profiles(spark, d).where(F.col("account_id").cast("long") % 3 == 0).select("account_id", F.col("name").alias("assigned_name"))
+    return slices.identity_overlay(inputs.accounts(spark, d), list(inputs.GIVEN), list(inputs.FAMILY), list(inputs.COUNTRIES), "draw", inputs.records(spark, d), own)
 
 
 @query

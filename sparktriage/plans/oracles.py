@@ -156,9 +156,9 @@ def _drawn_overlay() -> str:
     k = draw("'drawkyc'", 100)
     return f"""WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, av AS (SELECT g || ' ' || f AS a FROM (SELECT unnest({quoted(GIVEN)}) AS g), (SELECT unnest({quoted(FAMILY)}) AS f)),
       pr AS (SELECT DISTINCT a, norm AS b FROM av, ix WHERE split_part(a, ' ', -1) = split_part(norm, ' ', -1)), {_ratio('pr')}, bad AS (SELECT a FROM tr WHERE greatest(ts, jaro_winkler_similarity(a, b)) >= 0.90 UNION SELECT norm FROM ix),
-      dr AS (SELECT account_id, i, {name} AS name FROM acc, (SELECT unnest(range(0, 16)) AS i)), fr AS (SELECT account_id, min_by(name, i) AS name FROM dr WHERE name NOT IN (SELECT a FROM bad) GROUP BY account_id)
-      SELECT acc.account_id, coalesce(fr.name, (SELECT any_value(d.name) FROM dr d WHERE d.account_id = acc.account_id AND d.i = 15) || ' ' || CAST(({draw("'drawn'", 9000).replace('account_id', 'acc.account_id')}) + 1000 AS VARCHAR)) AS name,
-        ({_LIST})[{draw("'drawc'", len(COUNTRIES)).replace('account_id', 'acc.account_id')} + 1] AS country, CASE WHEN {k.replace('account_id', 'acc.account_id')} < 85 THEN 'low' WHEN {k.replace('account_id', 'acc.account_id')} < 97 THEN 'medium' ELSE 'high' END AS kyc_risk FROM acc LEFT JOIN fr USING (account_id)"""
+      dr AS (SELECT account_id, i, {name} AS name FROM acc, (SELECT unnest(range(0, 200)) AS i)), fr AS (SELECT account_id, min_by(name, i) AS name FROM dr WHERE name NOT IN (SELECT a FROM bad) GROUP BY account_id)
+      SELECT acc.account_id, coalesce(fx.name, fr.name, (SELECT any_value(d.name) FROM dr d WHERE d.account_id = acc.account_id AND d.i = 199) || ' ' || CAST(({draw("'drawn'", 9000).replace('account_id', 'acc.account_id')}) + 1000 AS VARCHAR)) AS name,
+        ({_LIST})[{draw("'drawc'", len(COUNTRIES)).replace('account_id', 'acc.account_id')} + 1] AS country, CASE WHEN {k.replace('account_id', 'acc.account_id')} < 85 THEN 'low' WHEN {k.replace('account_id', 'acc.account_id')} < 97 THEN 'medium' ELSE 'high' END AS kyc_risk FROM acc LEFT JOIN fr USING (account_id) LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS account_id, c_name AS name FROM customer WHERE c_custkey % 3 = 0) fx USING (account_id)"""
 
 
 ORACLES: dict[str, str] = {

@@ -1,5 +1,7 @@
+import hashlib
 import json
 import random
+import re
 from datetime import datetime
 from statistics import median
 
@@ -182,7 +184,33 @@ def test_medians(spark):
 def test_leak_guard(tmp_path):
     with pytest.raises(ValueError, match="pattern_label"):
         features.guard(["amount_mean", "pattern_label"])
-    assert len(features.log_excluded(tmp_path / "x.log")) == 11 == len((tmp_path / "x.log").read_text().splitlines())
+    at = tmp_path / "new" / "x.log"
+    assert len(features.log_excluded(at)) == 11 == len(at.read_text().splitlines()) and at.read_text()[:2] == "20"
+
+
+def test_leak_guard_looks_at_the_input(spark):
+    tx = spark.createDataFrame([("A", "B", 1.0, 1.0, 0, 5)], "from_account string, to_account string, amount_paid double, amount_received double, is_laundering int, row_nr long").withColumn("timestamp", F.lit("2022-01-01 10:00:00").cast("timestamp_ntz"))
+    assert "is_laundering" not in features.clean_input(tx).columns
+    with pytest.raises(ValueError, match="kyc_risk"):
+        features.feature_matrix(tx.withColumn("kyc_risk", F.lit("low")), tx.select(F.col("from_account").alias("account_id")))
+
+
+def test_features_in_one_aggregate(spark):
+    """One scan gives what the four parts give; hubs, self-transfers, null counterparties and accounts without outbound legs are there."""
+    rng = random.Random(9)
+    rows = [(k, f"2022-01-{rng.randrange(1, 28):02} {rng.randrange(24):02}:{rng.randrange(60):02}:00", rng.choice(["hub", "a", "b", "c", None]), rng.choice(["hub", "x", "y", "a", "z", None]), rng.choice([1000.0, 12.5, 3000.4, 7.0])) for k in range(400)]
+    tx = spark.createDataFrame(rows, "row_nr long, t string, from_account string, to_account string, amount_paid double").select("row_nr", F.col("t").cast("timestamp_ntz").alias("timestamp"), "from_account", "to_account", "amount_paid", (F.col("amount_paid") * 2).alias("amount_received"))
+    one = features.account_aggregates(tx).where("account_id is not null")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    got = {r.account_id: r.asDict() for r in one.collect()}
+    for part in (features.outbound(tx), features.inbound(tx), features.timing(tx), features.hour_entropy(tx)):
+        for r in part.where("account_id is not null").collect():
+            for k, v in r.asDict().items():
+                if k in got[r.account_id]:
+                    w = got[r.account_id][k]
+                    assert v == w or abs(v - w) < 1e-9 or v != v and w != w, (r.account_id, k, v, w)
+    assert got["z"]["outbound_count"] == 0 and got["z"]["amount_mean"] is None
 
 
 def test_percentiles(spark):
@@ -312,6 +340,36 @@ def test_derived_names(spark):
         screening.require_disjoint(spark.createDataFrame([("Olga Brandt",)], "name string"), files.raw_names(records))
 
 
+def test_overlay_redraws_and_fixtures(spark):
+    """Accounts draw until their name is clear of the list; fixtures of any number keep theirs."""
+    given, family = [f"Anna{c}" for c in "bdfgk"], ["Keller", "Moreau", "Brandt"]
+    records = spark.createDataFrame([("U1", "Annab Keller", ["Annad Moreau"], "SDN"), ("U2", "Annaf Keler", None, "SDN")], "uid string, canonical_name string, aka_names array<string>, list_name string")
+    index = screening.build_index(records)
+    accounts = spark.range(0, 20_000).select(F.col("id").cast("string").alias("account_id"))
+    truth = accounts.where("cast(account_id as int) % 5 < 3").select("account_id", F.concat(F.lit("Fixture "), "account_id").alias("assigned_name"))
+    got = {r.account_id: r.name for r in slices.identity_overlay(accounts, given, family, ["US"], "s", records, truth).collect()}
+    assert len(got) == 20_000 and all((got[str(k)] == f"Fixture {k}") == (k % 5 < 3) for k in range(20_000))
+    bad = {r.name for r in slices.colliding_names(spark.createDataFrame([(f"{g} {f}",) for g in given for f in family], "name string"), index).collect()}
+    assert {"Annab Keller", "Annad Moreau"} <= bad and 2 < len(bad) < 15
+    drawn = lambda k, i: " ".join(xs[int(hashlib.md5(f"{k}|s{c}{i}".encode()).hexdigest()[:8], 16) % len(xs)] for c, xs in (("g", given), ("f", family)))
+    for k in range(3, 20_000, 5):
+        assert got[str(k)] == next(x for i in range(200) if (x := drawn(k, i)) not in bad)
+    none = slices.drawn_names(accounts.limit(3), ["Annab"], ["Keller"], "s", index, draws=5).collect()
+    assert all(re.fullmatch(r"Annab Keller \d{4}", r.name) for r in none)
+    with pytest.raises(ValueError, match="fixtures"):
+        slices.identity_overlay(accounts, given, family, ["US"], "s", records, truth.union(truth))
+
+
+def test_small_helpers(spark, tmp_path):
+    cases = spark.createDataFrame([("c1", "ESCALATE"), ("c2", "CLEAR")], "case_id string, gold_label string")
+    results = spark.createDataFrame([("c1", "CLEAR", 1.0)], "case_id string, disposition string, latency_ms double")
+    assert {tuple(r) for r in evaluation.joined_leniently(cases, results).select("case_id", "disposition").collect()} == {("c1", "CLEAR"), ("c2", None)}
+    pair = spark.createDataFrame([("  \u00c9va  Keller", "keller eva")], "a string, b string").select(names.score_names(F.col("a"), F.col("b")).alias("s")).first()
+    assert pair.s == 1.0
+    (tmp_path / "m.json").write_text('{"accuracy": 0.75}')
+    assert strategies.prior_accuracy(tmp_path / "m.json") == 0.75 and strategies.prior_accuracy(tmp_path / "none.json") == 0.0
+
+
 def test_eval_set_refuses_short_pools(spark):
     state = spark.createDataFrame([(f"a{i}", [0, 1, 2, 3][i % 4], "R", i % 5 == 0, 0.5) for i in range(40)], "account_id string, max_sev int, top_rule string, is_flagged boolean, percentile double")
     truth = spark.createDataFrame([(i, f"a{i}", "exact", 0.95, 1.0, i < 3) for i in range(6)], "row_id int, account_id string, match_flavor string, expected_score_min double, expected_score_max double, gold_is_match boolean")
