@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import baseline, decisions, evaluation, screening, strategies, validation
+from .operators import baseline, decisions, evaluation, features, rules, scoring, screening, slices, strategies, validation
 from .sources import files, transactions
+from .sources.tables import written
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -46,6 +48,50 @@ def metrics(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return out
 
 
+def phase(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Metrics of a policy's results, with review and override rates and the differences to the baseline's metric file."""
+    results = spark.read.parquet(a.results)
+    missing = {"latency_ms": 0.0, "cost_usd": 0.0, "tokens_used": 0}
+    results = results.withColumns({c: F.lit(v) for c, v in missing.items() if c not in results.columns})
+    own = evaluation.metrics(evaluation.joined(files.json_lines(spark, a.cases, files.EVAL), results))
+    before = spark.read.json(a.baseline).select("accuracy", "weighted_false_clear")
+    told = evaluation.rates(results).select("review_rate", "override_rate", "total_tokens", "total_cost")
+    held = before.select(F.col("accuracy").alias("baseline_accuracy"), F.col("weighted_false_clear").alias("baseline_weighted_false_clear"))
+    out = own.crossJoin(told).crossJoin(held).crossJoin(evaluation.delta(own, before))  # a row each
+    files.write_json_file(out, Path(a.out), "eval_size")
+    return out
+
+
+def identities(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Identity overlay and ground truth of all accounts; an error if a name of the list, letter for letter, would be in the overlay."""
+    records = files.load_records(spark, a.watchlist, a.second)
+    accounts, given, family = spark.read.parquet(a.accounts).select("account_id"), a.given.split(","), a.family.split(",")
+    truth = written(slices.fixtures(accounts, records, given, a.seed), "truth")
+    overlay = written(slices.identity_overlay(accounts, given, family, a.countries.split(","), a.seed, records, truth), "overlay")
+    screening.require_disjoint(overlay, files.raw_names(records))
+    files.write_parquet(overlay, a.overlay_out)
+    files.write_ground_truth(truth, Path(a.truth_out), files.Manifest(Path(a.manifest), Path(a.root)) if a.manifest else None)
+    return truth.groupBy("match_flavor", "gold_is_match").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cases(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The evaluation set from transactions, overlay, ground truth and patterns, checked, written and frozen."""
+    tx = transactions.read_csv(spark, a.transactions)
+    overlay, truth = spark.read.parquet(a.overlay), files.read_ground_truth(spark, a.truth)
+    accounts = validation.accounts_universe(tx)
+    scored = scoring.percentiles(scoring.robust_scores(features.feature_matrix(tx, accounts)))
+    fired = rules.all_rules(tx).groupBy(F.col("account").alias("account_id")).agg(F.max("severity").alias("max_sev"), F.min_by("rule_id", F.struct(-F.col("severity"), "ord")).alias("top_rule"))
+    state = written(accounts.join(scored, "account_id", "left").join(fired, "account_id", "left"), "state")
+    t = slices.Targets() if a.targets is None else slices.Targets(**json.loads(a.targets))
+    made = slices.eval_set(truth, state, validation.labelled_senders(tx), files.block_patterns(spark, a.patterns), rules.recent_ids(tx), t, a.seed)
+    slices.require_eval_set(made, overlay, t.total)
+    ids = F.filter(F.split("relevant_txn_ids", ";"), lambda x: x != "")
+    files.write_json_file(made.withColumn("relevant_txn_ids", ids).select(*[c.split(" ")[0] for c in files.EVAL.split(", ")]), Path(a.out), "case_id")
+    if a.manifest:
+        files.Manifest(Path(a.manifest), Path(a.root)).freeze(Path(a.out), bool(a.again))
+    return made.groupBy("case_type", "gold_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def compare(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Every strategy over the baseline's evidence; agreement of all."""
     held = spark.read.parquet(a.results).withColumnRenamed("disposition", "baseline_disposition").drop("decision_reason")
@@ -79,6 +125,9 @@ def parser() -> argparse.ArgumentParser:
     command(validate, transactions=str, rows=int, accounts=int, tolerance=(int, 0), ratio=float, ratio_tolerance=(float, 0.0))
     command(run_baseline, cases=str, transactions=str, overlay=str, patterns=str, watchlist=str, second=(str, None), manifest=(str, None), root=(str, "."), expected=(int, None), out=str)
     command(metrics, cases=str, results=str, out=str)
+    command(phase, cases=str, results=str, baseline=str, out=str)
+    command(identities, accounts=str, watchlist=str, second=(str, None), given=str, family=str, countries=str, seed=(str, "42"), overlay_out=str, truth_out=str, manifest=(str, None), root=(str, "."))
+    command(cases, transactions=str, overlay=str, truth=str, patterns=str, seed=(str, "eval"), targets=(str, None), out=str, manifest=(str, None), root=(str, "."), again=(int, 0))
     command(compare, results=str, cases=str, expected=(int, None))
     command(triage, results=str)
     command(inspect, transactions=str, n=(int, 5))

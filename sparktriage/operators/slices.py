@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +45,6 @@ def typology_key(c: Column) -> Column:
     return F.lower(F.translate(F.trim(c), "- ", "__"))
 
 
-def _free(pool: DataFrame, used: list[str]) -> DataFrame:
-    return pool.where(~F.col("account_id").isin(used)) if used else pool
-
-
-def take(pool: DataFrame, n: int, seed: str, what: str, used: list[str], order: Column | None = None) -> list:
-    """n rows of the accounts not used yet, in seeded order or the order given; ValueError if the pool is short. `used` grows."""
-    free = _free(pool, used).dropDuplicates(["account_id"])
-    rows = free.orderBy(draw_key(F.col("account_id"), seed) if order is None else order, "account_id").limit(n).collect()  # n is a small target
-    if len(rows) < n:
-        raise ValueError(f"{what}: {n} accounts are wanted, {len(rows)} are there")
-    used += [r.account_id for r in rows]
-    return rows
-
-
 # fixed values: how many cases of each kind
 TYPOLOGIES = {"fan_out": 3, "fan_in": 3, "cycle": 3, "scatter_gather": 3, "bipartite": 2, "stack": 2, "gather_scatter": 2, "random": 2}
 CONFLICTS = {"anomaly_no_rule": 4, "rule_no_anomaly": 4, "rule3_no_anomaly": 2}
@@ -76,40 +64,82 @@ class Targets:
 
 
 EVAL_COLUMNS = "case_id string, account_id string, gold_label string, case_type string, typology string, severity_band int, conflict_type string, notes string"
+_TAKEN = "slice int, " + EVAL_COLUMNS
 
 
-def eval_set(truth: DataFrame, state: DataFrame, senders: DataFrame, patterns: DataFrame, recent: DataFrame, t: Targets = Targets(), seed: str = "eval") -> DataFrame:
-    """The evaluation cases, slice by slice; an account serves once, and a pool that is short stops the build.
+def slice_plan(t: Targets) -> list[tuple[str, int]]:
+    """What is taken, in order: names of the slices with their targets."""
+    bands = [(f"ibm_labeled band {b}", t.band) for b in (3, 2, 1)]
+    return [("sanctions_hit", t.hit), ("sanctions_near_miss", t.near_miss), *bands, *[(f"typology {k}", n) for k, n in t.typologies.items()], *[(f"conflict {k}", n) for k, n in t.conflicts.items()]]
 
-    truth(row_id, account_id, match_flavor, expected_score_min, expected_score_max, gold_is_match), state(account_id, max_sev,
-    top_rule, is_flagged, percentile), senders(account_id) of labelled transactions, patterns(typology, account_id),
-    recent(account, txn_ids). The driver holds the chosen accounts alone, as many as the targets say.
-    """
-    used: list[str] = []
-    out: list[tuple] = []
-    sev, flag = F.coalesce("max_sev", F.lit(0)), F.coalesce("is_flagged", F.lit(False))
 
-    def add(rows, prefix, gold, kind, notes, typology=None, band=None, conflict=None):
-        out.extend((f"{prefix}_{r.account_id}", r.account_id, gold, kind, typology, band, conflict, notes(r)) for r in rows)
+def _pools(truth: DataFrame, state: DataFrame, senders: DataFrame, patterns: DataFrame, t: Targets, seed: str) -> DataFrame:
+    """Every account that a slice may take, with the case it would make: slice, first and then (the order inside the slice), and the case's columns."""
+    sev, flag, top = F.coalesce("max_sev", F.lit(0)), F.coalesce("is_flagged", F.lit(False)), F.coalesce("top_rule", F.lit("none"))
+    at = {name: k for k, (name, _) in enumerate(slice_plan(t))}
+    numbered = lambda kind, c, names: F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, at[f"{kind} {n}"])]), c)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def pool(df, number, salt, prefix, gold, kind, notes, typology=none("string"), band=none("int"), conflict=none("string"), first=F.lit(0)):
+        return df.select(
+            number.cast("int").alias("slice"), first.cast("long").alias("first"), F.md5(F.concat("account_id", F.lit("|"), salt).cast("binary")).alias("then"), F.concat(prefix, F.lit("_"), "account_id").alias("case_id"), "account_id",
+            gold.alias("gold_label"), F.lit(kind).alias("case_type"), typology.alias("typology"), band.alias("severity_band"), conflict.alias("conflict_type"), notes.alias("notes"),
+        ).where("slice is not null")
 
     hits = truth.where("gold_is_match AND expected_score_min >= 0.90")
-    add(take(hits, t.hit, seed, "sanctions_hit", used, F.col("row_id")), "SH", "ESCALATE", "sanctions_hit", lambda r: f"match of kind {r.match_flavor}, score from {r.expected_score_min:.2f}")
+    out = [pool(hits, F.lit(at["sanctions_hit"]), F.lit(seed), F.lit("SH"), F.lit("ESCALATE"), "sanctions_hit", F.format_string("match of kind %s, score from %.2f", "match_flavor", "expected_score_min"), first=F.col("row_id"))]
     clear = truth.where("NOT gold_is_match").join(state, "account_id", "left").where(inline_gold(F.lit(0.0), F.col("max_sev"), F.col("is_flagged")) == "CLEAR")
-    add(take(clear, t.near_miss, f"{seed}|near", "sanctions_near_miss", used), "SNM", "CLEAR", "sanctions_near_miss", lambda r: f"shares a surname, score {r.expected_score_min:.2f} to {r.expected_score_max:.2f}")
+    out.append(pool(clear, F.lit(at["sanctions_near_miss"]), F.lit(f"{seed}|near"), F.lit("SNM"), F.lit("CLEAR"), "sanctions_near_miss", F.format_string("shares a surname, score %.2f to %.2f", "expected_score_min", "expected_score_max")))
+    band = F.when(sev >= 3, 3).when(sev == 2, 2).otherwise(1)
     own = senders.distinct().join(state, "account_id", "left")
-    for band, held in ((3, sev >= 3), (2, sev == 2), (1, sev <= 1)):
-        rows = take(own.where(held), t.band, f"{seed}|band{band}", f"ibm_labeled band {band}", used)
-        add(rows, "IBM", "ESCALATE", "ibm_labeled", lambda r, b=band: f"labelled sender, band {b}, top rule {r.top_rule or 'none'}", band=band)
+    out.append(pool(own, at["ibm_labeled band 3"] + 3 - band, F.concat(F.lit(f"{seed}|band"), band.cast("string")), F.lit("IBM"), F.lit("ESCALATE"), "ibm_labeled", F.concat(F.lit("labelled sender, band "), band.cast("string"), F.lit(", top rule "), top), band=band))
     known = patterns.select(typology_key(F.col("typology")).alias("typology"), "account_id").distinct().join(senders.distinct(), "account_id", "left_semi")
-    for name, n in t.typologies.items():
-        add(take(known.where(F.col("typology") == name), n, f"{seed}|{name}", f"typology {name}", used), "TYP", "ESCALATE", "typology", lambda r: f"in the pattern list as {r.typology}", typology=name)
-    pools = {"anomaly_no_rule": state.where(flag & (sev < 2)), "rule_no_anomaly": state.where(~flag & (sev == 2)), "rule3_no_anomaly": state.where(~flag & (sev >= 3))}
-    for name, n in t.conflicts.items():
-        gold, prefix = ("ESCALATE", "CONF_R3NA") if name == "rule3_no_anomaly" else ("CLEAR", "CONF_ANR" if name == "anomaly_no_rule" else "CONF_RNA")
-        add(take(pools[name], n, f"{seed}|{name}", f"conflict {name}", used), prefix, gold, "rules_anomaly_conflict", lambda r: f"top rule {r.top_rule or 'none'}, flagged {'yes' if r.is_flagged else 'no'}", conflict=name)
+    if t.typologies:
+        name = F.col("typology")
+        out.append(pool(known, numbered("typology", name, t.typologies), F.concat(F.lit(f"{seed}|"), name), F.lit("TYP"), F.lit("ESCALATE"), "typology", F.concat(F.lit("in the pattern list as "), name), typology=name))
+    if t.conflicts:
+        kind = F.col("conflict_type")
+        both = state.drop("conflict_type").join(conflict_pools(state), "account_id")
+        prefix = F.when(kind == "rule3_no_anomaly", "CONF_R3NA").when(kind == "anomaly_no_rule", "CONF_ANR").otherwise("CONF_RNA")
+        notes = F.concat(F.lit("top rule "), top, F.lit(", flagged "), F.when(F.coalesce("is_flagged", F.lit(False)), "yes").otherwise("no"))
+        out.append(pool(both, numbered("conflict", kind, t.conflicts), F.concat(F.lit(f"{seed}|"), kind), prefix, F.when(kind == "rule3_no_anomaly", "ESCALATE").otherwise("CLEAR"), "rules_anomaly_conflict", notes, conflict=kind))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _taker(wanted: list[int]):
+    def take(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Slice by slice, the first accounts in order that no slice before has taken."""
+        used, kept = set(), []
+        for k, own in rows.sort_values(["slice", "place"]).groupby("slice"):
+            free = own[~own["account_id"].isin(used)].head(wanted[k])
+            used |= set(free["account_id"])
+            kept.append(free)
+        return pd.concat(kept)[[c.split(" ")[0] for c in _TAKEN.split(", ")]]
+
+    return take
+
+
+def eval_set(truth: DataFrame, state: DataFrame, senders: DataFrame, patterns: DataFrame, recent: DataFrame, t: Targets = Targets(), seed: str = "eval") -> DataFrame:
+    """The evaluation cases, slice by slice; an account serves once, and a pool that is short stops the build.
+
+    truth(row_id, account_id, match_flavor, expected_score_min, expected_score_max, gold_is_match), state(account_id, max_sev,
+    top_rule, is_flagged, percentile), senders(account_id) of labelled transactions, patterns(typology, account_id),
+    recent(account, txn_ids).
+
+    One plan: slices before can take no more accounts from a pool than all targets together, so that many of each pool, ranked, decide. They are at
+    most slices times total rows, whatever the pools hold; one small task excludes and takes. The cases are written; it runs jobs at once.
+    """
+    wanted = slice_plan(t)
+    rows = _pools(truth, state, senders, patterns, t, seed).withColumn("again", F.row_number().over(Window.partitionBy("slice", "account_id").orderBy("first", "then", "notes"))).where("again = 1")
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("first", "then", "account_id"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= max(1, t.total))
+    taken = written(rows.groupBy(F.lit(0).alias("all")).applyInPandas(_taker([n for _, n in wanted]), _TAKEN), "evaluation")
     spark = truth.sparkSession
-    cases = spark.createDataFrame(out, EVAL_COLUMNS)
-    own = F.broadcast(cases).join(recent.withColumnRenamed("account", "account_id"), "account_id", "left")
+    due = spark.createDataFrame([(k, what, n) for k, (what, n) in enumerate(wanted)], "slice int, what string, wanted int")
+    short = due.join(taken.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice", "left").where(F.coalesce("n", F.lit(0)) < F.col("wanted")).orderBy("slice").first()
+    if short is not None:
+        raise ValueError(f"{short.what}: {short.wanted} accounts are wanted, {short.n or 0} are there")
+    own = F.broadcast(taken).join(recent.withColumnRenamed("account", "account_id"), "account_id", "left")  # as many rows as the targets say
     return own.select(*[c.split(" ")[0] for c in EVAL_COLUMNS.split(", ")], F.coalesce("txn_ids", F.lit("")).alias("relevant_txn_ids"))
 
 
