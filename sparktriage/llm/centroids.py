@@ -160,14 +160,14 @@ def op13_centroids(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS,
 
 
 _ROUND = """
-a{n} as (select vec_id, r, v, k as cluster, d from (select e.vec_id, e.r, e.v, c.k, list_sum(list_transform(list_zip(e.v, c.v), z -> (z[1] - z[2])::hugeint * (z[1] - z[2]))) as d from e, c{n} c)
+a{n} as (select vec_id, r, v, k as cluster, d from (select e.vec_id, e.r, e.v, c.k, list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2])::hugeint * (z[1] - z[2]))) as d from e, c{n} c)
   qualify row_number() over (partition by r order by d, k) = 1),
 s{n} as (select cluster, i, sum(v[i]) as s, count(*) as n from a{n}, range(1, 65) t(i) group by cluster, i),
 c{m} as (select c.k, coalesce(f.v, c.v) as v from c{n} c left join (select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from s{n} group by cluster) f on f.cluster = c.k),"""
 ORACLE = (
     """
-with e as (select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v from embeddings
-  where len(embedding) = 64 and len(list_filter(embedding, x -> x is not null and isfinite(x))) = 64),
+with e as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
 c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, v from e qualify k < 16),"""
     + "".join(_ROUND.format(n=n, m=n + 1) for n in range(ROUNDS + 1))
     + """

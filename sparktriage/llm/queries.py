@@ -17,6 +17,7 @@ from .mtree import op4_topk
 from .pieces import op6_pieces
 from .quality import op9_quality
 from .simhash import op8_simhash
+from .suffix_dedup import ORACLE as OP2_SQL
 from .suffix_dedup import op2_suffix_dedup
 from .tokencount import op11_token_counts
 from .tokenfile import op10_token_ids
@@ -38,4 +39,4 @@ QUERIES = {
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op12_divergence": OP12_SQL, "op13_centroids": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op12_divergence": OP12_SQL, "op13_centroids": OP13_SQL}

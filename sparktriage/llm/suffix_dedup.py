@@ -438,3 +438,19 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents with the repeated strings taken out of `text`, whole characters only; all other columns stay."""
     return with_ranges(documents, length).mapInArrow(_cleaned, documents.schema)
+
+
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+x as (select r, doc_id, hex(b) as h, octet_length(b) as n from d),
+p as (select r, p, substr(h, p * 512 + 1, 512 + 400) as part from x, lateral (select unnest(range(0, (2 * n + 511) // 512)) as p)),
+s as (select r, p * 256 + k as k, md5(substr(part, 2 * k + 1, 400)) as m from p, lateral (select unnest(range(0, least(256, len(part) // 2 - 199))) as k)),
+m as (select m from s group by m having count(*) > 1),
+q as (select r, k from s semi join m using (m)),
+g as (select r, k, case when k - lag(k) over (partition by r order by k) <= 200 then 0 else 1 end as new from q),
+i as (select r, k, sum(new) over (partition by r order by k rows unbounded preceding) as g from g),
+t as (select r, min(k) as a, max(k) + 200 as z from i group by r, g),
+u as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as last from t),
+k as (select r, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' order by a) as front, max(z) as z, sum(z - a) as removed, count(*) as spans from u join x using (r) group by r)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(z, 0) + 1))) as kept_sha256 from x left join k using (r)
+"""
