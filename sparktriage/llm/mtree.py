@@ -18,7 +18,6 @@ once; fewer candidates than k give all of them; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,38 +86,68 @@ class MTree:
         centers = np.stack([m.center for m in made])
         return Node(center, radius, np.sqrt(((centers - center) ** 2).sum(1)), children=made, centers=centers, radii=np.array([m.radius for m in made]))
 
-    def search(self, query_id: int, query: np.ndarray, k: int, least: float | None = None) -> list[tuple[int, int]]:
-        """The k best (score, vec_id), best first, ties to the smaller id. least: a score that k other rows reach; lower ones may be left out."""
-        if self.root is None:
-            return []
-        q, far = np.r_[query.astype(np.float64), 0.0], float((query.astype(np.float64) ** 2).sum()) + self.top
-        slack = SLACK * (1 + far) ** 0.5
-        best_s, best_i, tau = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf if least is None else max(0.0, far - 2.0 * least) ** 0.5
-        d = float(np.sqrt(((q - self.root.center) ** 2).sum()))
-        agenda, n = [(max(0.0, d - self.root.radius), 0, d, self.root)], 1
-        while agenda:
-            bound, _, d, node = heapq.heappop(agenda)
-            if bound > tau + slack:
-                break
-            near = np.abs(d - node.apart)
-            if node.rows is None:
-                for c in np.flatnonzero(near - node.radii <= tau + slack):
-                    e = float(np.sqrt(((q - node.centers[c]) ** 2).sum()))
-                    if (low := max(0.0, e - node.radii[c])) <= tau + slack:
-                        heapq.heappush(agenda, (low, n, e, node.children[c]))
-                        n += 1
+    def _visits(self, q: np.ndarray, reach: np.ndarray) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves, and of each query and leaf that `reach` doesn't rule out: query, leaf, lower bound, distance to the leaf's routing object."""
+        leaves, found = [], []
+        every = np.arange(len(q))
+        todo = [(self.root, every, np.sqrt(((q - self.root.center) ** 2).sum(1)))]
+        while todo:
+            node, own, d = todo.pop()
+            if node.rows is not None:
+                found.append((own, np.full(len(own), len(leaves)), np.maximum(d - node.radius, 0), d))
+                leaves.append(node)
                 continue
-            rows = node.rows[near <= tau + slack]
-            rows = rows[self.ids[rows] != query_id]
-            if not len(rows):
-                continue
-            score = self.vectors[rows] @ query
-            s, i = np.r_[best_s, score.astype(np.int64)], np.r_[best_i, self.ids[rows]]
-            keep = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[keep], i[keep]
-            if len(keep) == k:
-                tau = min(tau, max(0.0, far - 2.0 * float(best_s[-1])) ** 0.5)
-        return list(zip(best_s.tolist(), best_i.tolist(), strict=True))
+            near = np.abs(d[:, None] - node.apart) - node.radii <= reach[own][:, None]  # by the stored distances alone
+            for c in np.flatnonzero(near.any(0)).tolist():
+                at = own[near[:, c]]
+                e = np.sqrt(((q[at] - node.centers[c]) ** 2).sum(1))
+                on = e - node.radii[c] <= reach[at]
+                if on.any():
+                    todo.append((node.children[c], at[on], e[on]))
+        found = found or [[np.zeros(0, t) for t in (int, int, float, float)]]
+        return leaves, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query (its place), score, vec_id of the k best of each query, ties to the smaller id. least: a score that k other rows reach, or NaN; lower ones may be left out.
+
+        Every query takes its pages best-first, in rounds of 1, 2, 4 ... pages; queries that want the same page in a round share its product.
+        """
+        x = queries.astype(np.float64)
+        q, far = np.c_[x, np.zeros(len(x))], (x**2).sum(1) + self.top
+        slack = SLACK * np.sqrt(1 + far)
+        tau = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(far - 2 * np.nan_to_num(least), 0)))
+        best = [np.zeros(0, np.int64)] * 3
+        if self.root is None or not len(x):
+            return tuple(best)
+        leaves, asks, leaf, bound, apart = self._visits(q, tau + slack)
+        order = np.lexsort((bound, asks))
+        asks, leaf, bound, apart = (v[order] for v in (asks, leaf, bound, apart))
+        place = np.arange(len(asks)) - np.searchsorted(asks, asks)
+        kth, lo, step = np.full(len(x), np.iinfo(np.int64).min), 0, 1
+        while lo <= place.max(initial=-1):
+            due = np.flatnonzero((place >= lo) & (place < lo + step) & (bound <= (tau + slack)[asks]))
+            due = due[np.argsort(leaf[due], kind="stable")]
+            found = [best]
+            for part in np.split(due, np.flatnonzero(np.diff(leaf[due])) + 1):
+                if not len(part):
+                    continue
+                node, own = leaves[leaf[part[0]]], asks[part]
+                may = np.abs(apart[part][:, None] - node.apart) <= (tau + slack)[own][:, None]
+                cols = np.flatnonzero(may.any(0))
+                rows = node.rows[cols]
+                score = (queries[own] @ self.vectors[rows].T).astype(np.int64)
+                i, j = np.nonzero(may[:, cols] & (score >= kth[own][:, None]) & (self.ids[rows] != query_ids[own][:, None]))
+                found.append([own[i], score[i, j], self.ids[rows[j]]])
+            who, score, ids = (np.concatenate(v) for v in zip(*found, strict=True))
+            keep = np.lexsort((ids, -score, who))
+            who, score, ids = who[keep], score[keep], ids[keep]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            best = [who[rank < k], score[rank < k], ids[rank < k]]
+            full = rank == k - 1
+            kth[who[full]] = score[full]
+            tau[who[full]] = np.minimum(tau[who[full]], np.sqrt(np.maximum(far[who[full]] - 2.0 * score[full], 0)))
+            lo, step = lo + step, step * 2
+        return tuple(best)
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -138,16 +167,15 @@ def _builder(tops: dict[int, float]):
 
 def _searcher(k: int):
     def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        who = score = ids = names = np.zeros(0, np.int64)
         if len(trees) and len(queries):
             tree: MTree = pickle.loads(trees["tree"][0].as_py())
             q = _matrix(queries["v"], queries["dim"][0].as_py())
             if q.dtype != tree.vectors.dtype:
                 q, tree.vectors = q.astype(np.int64), tree.vectors.astype(np.int64)
-            for i, least, own in zip(queries["vec_id"].to_pylist(), queries["least"].to_pylist(), q, strict=True):
-                out += [(i, v, s) for s, v in tree.search(i, own, k, least)]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            names = queries["vec_id"].to_numpy()
+            who, score, ids = tree.search(names, q, k, queries["least"].to_numpy(zero_copy_only=False).astype(np.float64))
+        return pa.table([pa.array(c, pa.int64()) for c in (names[who], ids, score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -271,8 +299,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
     asked = queries.select("vec_id", "dim", "v")
     near = written(search(asked.withColumn("least", F.lit(None).cast("double")), True), "near")
     kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "least")
-    if len({r.vec_id for r in asked.groupBy("vec_id").count().where("count > 1").limit(1).collect()}):  # an id with several vectors: its scores don't tell them apart
-        kth = kth.where("false")
+    several = asked.groupBy("vec_id").count().where("count > 1")  # an id with several vectors: its scores don't tell them apart
+    kth = kth.join(several, "vec_id", "left_anti")
     rest = search(asked.join(kth, "vec_id", "left").select("vec_id", "dim", "v", "least"), False)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
