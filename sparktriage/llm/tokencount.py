@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import uuid
@@ -128,7 +129,7 @@ def _trimmed(n: Counter, most: int) -> Counter:
 
 
 def _packed(n: Counter) -> bytes:
-    return json.dumps(list(n.items())).encode()
+    return json.dumps(list(n.items()), ensure_ascii=False, separators=(",", ":")).encode()
 
 
 def _merged(a: bytes, b: bytes, most: int) -> bytes:
@@ -152,7 +153,8 @@ def frequent_pieces(documents: DataFrame, path: str, most: int = FREQUENT) -> Fr
         yield pa.RecordBatch.from_arrays([pa.array([_packed(_trimmed(n, 2 * most))], pa.binary())], ["n"])
 
     told = documents.select("text").mapInArrow(summary, "n binary").rdd.map(lambda r: bytes(r.n))
-    n = Counter(dict(json.loads(told.treeReduce(lambda a, b: _merged(a, b, 2 * most)) if not documents.isEmpty() else b"[]")))
+    depth = max(2, math.ceil(math.log(max(2, told.getNumPartitions()), 8)))  # so that the driver merges eight summaries at most
+    n = Counter(dict(json.loads(told.treeReduce(lambda a, b: _merged(a, b, 2 * most), depth) if told.getNumPartitions() else b"[]")))
     pieces = [k for k, v in _trimmed(n, most).items() if v > 1]
     return Frequent(pieces, cutter(path).counts(pieces))
 
