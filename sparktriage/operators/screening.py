@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import best_of_both, jaro_winkler_pairs, last_token, letter_counts, normalize_name, pair_bounds, score_bounds, score_udf, starts, token_sort_pairs
 from ..functions.nearkeys import letter_set, near_keys
-from ..sources.tables import written
 
 LIMIT, COLLIDE = 0.85, 0.90
 MOST_LISTED = 50_000  # spellings a block
 MOST_LETTERS = 4096  # kinds of letters with counts that are told apart by how common they are
-MOST_BROADCAST = 500_000  # keys of the list, of 64 bits with a spelling each
 
 
 def build_index(records: DataFrame) -> DataFrame:
@@ -60,10 +58,6 @@ def _scored(limit: float):
     return run
 
 
-def _longest(names: DataFrame) -> int:
-    return names.agg(F.max(F.length(names.columns[0]))).first()[0] or 0
-
-
 def _letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         yield pd.DataFrame({"letters": [sorted(letter_set(x)) for x in frame.iloc[:, 0]]})
@@ -84,8 +78,7 @@ def _keyed(held, limit: float, most: int, first: bool):
 def candidate_pairs(names: DataFrame, listed: DataFrame, limit: float = LIMIT) -> DataFrame:
     """norm, other: pairs of distinct names and listed spellings with an equal key (functions.nearkeys) whose letters allow the limit (over 0).
 
-    Every pair within the limit is one.     Names come to the list by an equi-join on 64-bit keys; Spark splits hot keys, and
-    broadcasts the keys of the list only while they are few. The letters' order comes from the list's MOST_LETTERS commonest letters with counts, all others being the rarest.
+    Every pair within the limit is one. Names come to the list by an equi-join on 64-bit keys, whose hot ones Spark splits. The letters' order comes from the list's MOST_LETTERS commonest letters with counts, all others being the rarest.
     """
     if limit <= 0:
         raise ValueError("every pair scores 0 or more: best_scores goes through all of them")
@@ -94,11 +87,11 @@ def candidate_pairs(names: DataFrame, listed: DataFrame, limit: float = LIMIT) -
     common = listed.mapInPandas(_letters, "letters array<string>").select(F.explode("letters").alias("t")).groupBy("t").count()
     common = common.orderBy(F.desc("count"), "t").limit(MOST_LETTERS).collect()
     held = spark.sparkContext.broadcast({r.t: len(common) - i for i, r in enumerate(common)})
-    a = names.mapInPandas(_keyed(held, limit, _longest(listed), True), "norm string, keys array<long>")
-    b = listed.mapInPandas(_keyed(held, limit, _longest(names), False), "other string, keys array<long>")
-    b = written(b.select("other", F.explode("keys").alias("key")), "near-keys")
-    b = F.broadcast(b) if b.count() <= MOST_BROADCAST else b
-    met = a.select("norm", F.explode("keys").alias("key")).join(b, "key").select("norm", "other")
+    size = lambda df: df.select(F.max(F.length(df.columns[0])))
+    own, other = (r[0] or 0 for r in size(names).unionAll(size(listed)).collect())
+    a = names.mapInPandas(_keyed(held, limit, other, True), "norm string, keys array<long>").select("norm", F.explode("keys").alias("key"))
+    b = listed.mapInPandas(_keyed(held, limit, own, False), "other string, keys array<long>").select("other", F.explode("keys").alias("key"))
+    met = a.join(b, "key").select("norm", "other")
     return met.mapInPandas(_possible(limit), "norm string, other string").distinct()
 
 

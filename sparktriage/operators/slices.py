@@ -259,8 +259,8 @@ def colliding_names(names: DataFrame, index: DataFrame) -> DataFrame:
 def drawn_names(accounts: DataFrame, given: list[str], family: list[str], seed: str, index: DataFrame | None = None, draws: int = DRAWS) -> DataFrame:
     """account_id, name: the first of `draws` names drawn by hash that doesn't collide with the list, or else a number after the last draw.
 
-    Accounts whose draw collides, and they alone, draw again: one more name in the first round, then two, four and so on, so few rounds do.
-    Names are screened as drawn, each distinct one once a round, on the executors; a round's accounts are a written table. It runs jobs at once.
+    The names that can be drawn are made and screened once, on the executors. Accounts whose draw collides, and they alone, draw again: one name in
+    the first round, then eight, 64 and the rest. A round's accounts are a written table. It runs jobs at once.
     """
     a = F.col("account_id")
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
@@ -269,15 +269,19 @@ def drawn_names(accounts: DataFrame, given: list[str], family: list[str], seed:
     left, out, lo, step = accounts.select("account_id"), None, 0, 1
     if index is None:
         return drawn(left, 0, 1).select("account_id", "name")
+    spark = accounts.sparkSession
+    first = spark.createDataFrame([(x,) for x in dict.fromkeys(given)], "a string").repartition(8)
+    every = first.withColumn("b", F.explode(F.lit(list(dict.fromkeys(family))))).select(F.concat_ws(" ", "a", "b").alias("name"))
+    bad = written(colliding_names(every, index), "colliding-names")
     while lo < draws:
         hi = min(draws, lo + step)
         now = drawn(left, lo, hi)
-        free = written(now.join(colliding_names(now, index), "name", "left_anti").groupBy("account_id").agg(F.min_by("name", "i").alias("name")), "drawn")
+        free = written(now.join(bad, "name", "left_anti").groupBy("account_id").agg(F.min_by("name", "i").alias("name")), "drawn")
         out = free if out is None else out.unionByName(free)
         left = written(left.join(free, "account_id", "left_anti"), "colliding")
         if left.isEmpty():
             return out
-        lo, step = hi, step * 2
+        lo, step = hi, step * 8
     number = (_drawn(a, f"{seed}n", 9000) + 1000).cast("string")
     return out.unionByName(left.select("account_id", F.concat_ws(" ", name(F.lit(str(draws - 1))), number).alias("name")))
 
