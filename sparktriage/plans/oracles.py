@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.rules import BLACK, HIGH_RISK
+from ..operators.slices import OCR, TRANSLIT
 from .inputs import COUNTRIES, FAMILY, GIVEN, RISKS, TYPOLOGIES
 
 TX = """tx AS (SELECT event_id AS row_nr, ts, CAST(user_id AS VARCHAR) AS f, json_extract_string(props, '$.k') AS t, round(value * 100, 2) AS amt, event_type, CAST(event_type = 'error' AS INTEGER) AS bad FROM events),
@@ -161,6 +162,35 @@ def _drawn_overlay() -> str:
         ({_LIST})[{draw("'drawc'", len(COUNTRIES)).replace('account_id', 'acc.account_id')} + 1] AS country, CASE WHEN {k.replace('account_id', 'acc.account_id')} < 85 THEN 'low' WHEN {k.replace('account_id', 'acc.account_id')} < 97 THEN 'medium' ELSE 'high' END AS kyc_risk FROM acc LEFT JOIN fr USING (account_id) LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS account_id, c_name AS name FROM customer WHERE c_custkey % 3 = 0) fx USING (account_id)"""
 
 
+_TITLE = lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '')"
+
+
+def _near_misses(given: list[str]) -> str:
+    """Given names with the surnames of the list: in the band to their record, under 0.90 to all, the first by md5."""
+    return f"""WITH RECURSIVE {NAMES}, {INDEX}, ea AS (SELECT *, given || ' ' || split_part(base, ' ', -1) AS norm FROM (SELECT 'U-' || replace(p_name, ' ', '_') AS uid, p_name AS base, unnest({given}) AS given FROM nm) WHERE length(split_part(base, ' ', -1)) >= 4 AND given || ' ' || split_part(base, ' ', -1) <> base),
+      pr AS (SELECT norm AS a, base AS b FROM ea UNION SELECT ea.norm, ix.norm FROM ea, ix), {_ratio("pr")}, sc AS (SELECT a, b, greatest(ts, jaro_winkler_similarity(a, b)) AS s FROM tr),
+      ft AS (SELECT ea.*, s FROM ea JOIN sc ON a = norm AND b = base WHERE s BETWEEN 0.80 AND 0.88 AND norm NOT IN (SELECT a FROM sc JOIN ix ON ix.norm = b WHERE s >= 0.90))
+      SELECT uid, {_TITLE("norm")} AS spelling, round(s, 9) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY uid ORDER BY md5(uid || '|' || given || '|near'), given) = 1"""
+
+
+def _derived() -> str:
+    """The first fitting spelling of each record and flavor; names on the list bear an accent on every e, their turned aliases none."""
+    swap = lambda flavor, subs: f"SELECT uid, base, '{flavor}' AS flavor, false AS late, md5(uid || '|' || x[1]) AS key, {_TITLE('substr(base, 1, instr(base, x[1]) - 1) || x[2] || substr(base, instr(base, x[1]) + length(x[1]))')} AS spelling FROM (SELECT *, unnest({[list(x) for x in subs]}) AS x FROM rc) WHERE contains(base, x[1])"
+    letter = "substr(base, i, 1)"
+    return f"""WITH RECURSIVE {NAMES}, rc AS (SELECT 'U-' || replace(p_name, ' ', '_') AS uid, p_name AS base, replace(p_name, 'e', 'é') AS raw FROM nm), ri AS (SELECT *, unnest(range(4, length(base) + 1)) AS i FROM rc),
+      al AS (SELECT raw AS name FROM rc UNION SELECT split_part(base, ' ', -1) || ' ' || split_part(base, ' ', 1) FROM rc), sp AS (
+        SELECT uid, base, 'exact' AS flavor, false AS late, '' AS key, base AS spelling FROM rc WHERE base <> raw
+        UNION ALL SELECT uid, base, 'partial_reorder', false, '', split_part(base, ' ', -1) || ' ' || split_part(base, ' ', 1) FROM rc
+        UNION ALL {swap("transliteration", TRANSLIT)} UNION ALL {swap("typo_ocr", OCR)}
+        UNION ALL SELECT uid, base, 'typo_ocr', true, lpad(CAST(i AS VARCHAR), 6, '0'), {_TITLE("substr(base, 1, i - 1) || substr(base, i + 1, 1) || substr(base, i, 1) || substr(base, i + 2)")} FROM ri WHERE i < length(base) AND NOT contains(substr(base, i, 2), ' ') AND {letter} <> substr(base, i + 1, 1)
+        UNION ALL SELECT uid, base, 'transliteration', true, lpad(CAST(i AS VARCHAR), 6, '0'), {_TITLE(f"substr(base, 1, i - 1) || translate({letter}, 'aeiou', 'eioua') || substr(base, i + 1)")} FROM ri
+          WHERE {letter} IN ('a', 'e', 'i', 'o', 'u') AND NOT contains(substr(base, i - 3, 3), ' ') AND instr(substr(base, i + 1, 3) || ' ', ' ') <= 3),
+      fr AS (SELECT *, lower(spelling) AS norm FROM sp WHERE spelling NOT IN (SELECT name FROM al) AND (flavor NOT IN ('transliteration', 'typo_ocr') OR lower(spelling) NOT IN (SELECT strip_accents(name) FROM al))),
+      pr AS (SELECT DISTINCT norm AS a, base AS b FROM fr), {_ratio("pr")}
+      SELECT uid, flavor, spelling, round(s, 9) AS score FROM (SELECT fr.*, greatest(ts, jaro_winkler_similarity(a, b)) AS s FROM fr JOIN tr ON a = norm AND b = base)
+      WHERE s >= CASE flavor WHEN 'exact' THEN 1.0 WHEN 'typo_ocr' THEN 0.85 ELSE 0.90 END QUALIFY row_number() OVER (PARTITION BY uid, flavor ORDER BY late, key, spelling) = 1"""
+
+
 ORACLES: dict[str, str] = {
     "accounts_universe": f"WITH {TX}, {ACC} SELECT account_id FROM acc",
     "validation_report": f"""WITH {TX}, {ACC}, a AS (SELECT count(*) AS n, avg(CAST(bad AS DOUBLE)) AS r, count(*) FILTER (WHERE bad NOT IN (0, 1)) AS odd, count(*) FILTER (WHERE f IS NULL) + count(*) FILTER (WHERE t IS NULL) + count(*) FILTER (WHERE amt IS NULL) AS k,
@@ -215,6 +245,8 @@ ORACLES: dict[str, str] = {
     "eval_not_in_overlay": f"WITH {TX}, {ACC} SELECT CAST(c_custkey AS VARCHAR) AS account_id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT account_id FROM acc JOIN part ON CAST(p_partkey AS VARCHAR) = account_id)",
     "overlay_on_list": f"WITH {TX}, {ACC}, {NAMES}, {OVERLAY} SELECT lower(name) AS name FROM ov INTERSECT (SELECT p_name FROM nm UNION SELECT split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) FROM nm)",
     "identity_overlay": _drawn_overlay(),
+    "near_miss_names": _near_misses(["anna", "bruno", "carla", "smale", "redd", "bloo", "larger", "greta"]),
+    "derived_spellings": _derived(),
     "best_list_score": f"WITH RECURSIVE {TX}, {ACC}, {NAMES}, {INDEX}, {OVERLAY}, pr AS (SELECT DISTINCT ov.norm AS a, ix.norm AS b FROM ov, ix), {_ratio('pr')}, b AS (SELECT a AS norm, max(greatest(ts, jaro_winkler_similarity(a, b))) AS s FROM tr GROUP BY a) SELECT norm, round(s, 9) AS score FROM b",
     "score_lookup": f"WITH {TX}, {RANK} SELECT CAST(c_custkey AS VARCHAR) AS account_id, coalesce(score, -1) AS score, round(coalesce(percentile, -1), 6) AS percentile FROM customer LEFT JOIN pc ON pc.account_id = CAST(c_custkey AS VARCHAR)",
     "evidence_bundle": f"WITH {CASES}, {BASE} SELECT case_id, coalesce(max_hit, -1) AS max_hit, coalesce(max_sev, 0) AS max_sev, array_to_string(sev3_ids, ',') AS sev3_ids, coalesce(score, -1) AS score, CASE WHEN score IS NOT NULL THEN percentile ELSE -1 END AS percentile, score IS NOT NULL AND is_flagged AS is_flagged, disposition AS baseline_disposition FROM bs",
