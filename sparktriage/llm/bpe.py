@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import cached_property
 
 import numpy as np
 
@@ -59,37 +60,53 @@ class MergeTable:
             at, key, slot = more if at is None else at[more], key[more], (slot[more] + 1) & ((1 << self.bits) - 1)
         return out
 
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        """Ranks by pair (both ids in 40 bits), to look up one at a time; made when a long unit first comes."""
+        held = self.entries[self.entries >= 0]
+        return dict(zip((held >> 20).tolist(), (held & 0xFFFFF).tolist(), strict=True))
+
+    @cached_property
+    def made(self) -> list[int]:
+        return self.piece.tolist()
+
     def spelled(self, row: list[int]) -> list[int]:
         """A finished row of symbols as ids."""
         return row
 
 
 def agenda_encode(v: MergeTable, syms: list[int], skip) -> list[int]:
-    """One unit by an agenda of candidates; the form for very long units. skip: as in encode_units, of places and ranks."""
-    n = len(syms)
-    sym, nxt, prv, start = list(syms), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(n))
-    alive = [True] * n
-    agenda: list[tuple[int, int, int, int]] = []
-
-    def propose(lefts: list[int]) -> None:
-        lefts = [i for i in lefts if i >= 0 and nxt[i] < n]
-        if not lefts:
-            return
-        a, b = np.array([sym[i] for i in lefts], np.int32), np.array([sym[nxt[i]] for i in lefts], np.int32)
-        for i, r, x, y in zip(lefts, v.merges(a, b).tolist(), a.tolist(), b.tolist(), strict=True):
-            if r != NONE and not (skip and skip(np.array([i]), np.array([r]))[0]):
-                heapq.heappush(agenda, (r, i, x, y))
+    """One unit by an agenda of candidates; the form for very long units, n log n in their length.
 
-    propose(list(range(n - 1)))
+    skip(places, ranks) marks candidates as in encode_units; skip.one(place, rank), if it has that, one alone.
+    """
+    n, ranks, piece = len(syms), v.ranks, v.made
+    sym, nxt, prv = list(syms), list(range(1, n + 1)), list(range(-1, n - 1))
+    one = getattr(skip, "one", skip and (lambda i, r: bool(skip(np.array([i]), np.array([r]))[0])))
+    row = np.array(syms, np.int64)
+    first = v.merges(row[:-1], row[1:]) if n > 1 else np.zeros(0, np.int32)
+    at = np.flatnonzero(first != NONE)
+    if skip and len(at):
+        at = at[~skip(at, first[at])]
+    agenda = [r << 32 | i for r, i in zip(first[at].tolist(), at.tolist(), strict=True)]
+    heapq.heapify(agenda)
+    due = dict(zip(at.tolist(), first[at].tolist(), strict=True))  # the rank that the pair at a place has now
     while agenda:
-        r, i, x, y = heapq.heappop(agenda)
-        if not alive[i] or sym[i] != x or nxt[i] >= n or sym[nxt[i]] != y:
+        r, i = divmod(heapq.heappop(agenda), 1 << 32)
+        if due.get(i) != r:
             continue
         j = nxt[i]
-        sym[i], alive[j], nxt[i] = int(v.piece[r]), False, nxt[j]
+        due.pop(j, None)
+        sym[i], nxt[i] = piece[r], nxt[j]
         if nxt[i] < n:
             prv[nxt[i]] = i
-        propose([prv[i], i])
+        for k in (prv[i], i):
+            due.pop(k, None)
+            if k >= 0 and nxt[k] < n and sym[k] >= 0 and sym[nxt[k]] >= 0:
+                new = ranks.get(sym[k] << 20 | sym[nxt[k]])
+                if new is not None and not (one and one(k, new)):
+                    due[k] = new
+                    heapq.heappush(agenda, new << 32 | k)
     out, i = [], 0
     while i < n:
         out.append(sym[i])
@@ -100,7 +117,7 @@ def agenda_encode(v: MergeTable, syms: list[int], skip) -> list[int]:
 def encode_units(v: MergeTable, flat: np.ndarray, size: np.ndarray, skip=None, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and flat ids of the units, in their order. flat, size: the units' first symbols.
 
-    skip(units, places, ranks) marks the candidates that are skipped; None: none are. ranks: those of each symbol with the
+    skip(units, places, ranks) marks the candidates that are skipped, skip.of(unit) those of one unit; None: none are. ranks: those of each symbol with the
     next one, where they are known. Units of a width go together; each round merges the best pair of every one that has any.
     """
     off = size.cumsum() - size
@@ -119,7 +136,7 @@ def encode_units(v: MergeTable, flat: np.ndarray, size: np.ndarray, skip=None, r
 
     wide = np.where(size <= 16, size, np.where(size <= WIDE, -(-size // 8) * 8, 0))
     for u in np.flatnonzero((wide == 0) & (size > 0)):
-        row = np.array(v.spelled(agenda_encode(v, flat[off[u] : off[u] + size[u]].tolist(), skip and (lambda place, rank, u=u: skip(np.array([u]), place, rank)))), np.int32)
+        row = np.array(v.spelled(agenda_encode(v, flat[off[u] : off[u] + size[u]].tolist(), skip and skip.of(u))), np.int32)
         done.append((np.array([u]), np.array([len(row)]), row))
     for width in np.unique(wide[wide > 0]).tolist():
         own = np.flatnonzero(wide == width)

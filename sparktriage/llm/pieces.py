@@ -113,6 +113,35 @@ def skipped(key: np.ndarray, place: np.ndarray, rank: np.ndarray, dropout: float
     return h < np.uint32(min(dropout, 1.0) * 0xFFFFFFFF)
 
 
+class Skips:
+    """Candidates skipped in units of the given keys, as encode_units asks for them."""
+
+    def __init__(self, key: np.ndarray, dropout: float):
+        self.key, self.dropout, self.least = key, dropout, int(np.uint32(min(dropout, 1.0) * 0xFFFFFFFF))
+
+    def __call__(self, unit: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return skipped(self.key[unit], place, rank, self.dropout)
+
+    def of(self, unit: int) -> UnitSkips:
+        return UnitSkips(self.key[unit : unit + 1], self.dropout)
+
+
+class UnitSkips(Skips):
+    def __init__(self, key: np.ndarray, dropout: float):
+        super().__init__(key, dropout)
+        self.own = int(key[0])
+
+    def __call__(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return skipped(self.key, place, rank, self.dropout)
+
+    def one(self, place: int, rank: int) -> bool:
+        """skipped() of one candidate, in Python's integers."""
+        h = (place * 0x9E3779B1 + rank * 0x85EBCA6B & 0xFFFFFFFF) ^ self.own
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        return (h ^ h >> 16) < self.least
+
+
 class Encoder:
     """Encodes texts one after another and keeps the first symbols and pairs of the units it has met, within a bound."""
 
@@ -150,7 +179,7 @@ class Encoder:
         if self.dropout:
             place = np.arange(len(slots)) - np.repeat(n.cumsum() - n, n)
             key = occurrence_keys(np.repeat(np.array(keys, np.uint64), n), place, self.seed)
-            size, flat = encode_units(self.v, flat, size, lambda u, at, rank: skipped(key[u], at, rank, self.dropout), self.pairs.get(slots)[1])
+            size, flat = encode_units(self.v, flat, size, Skips(key, self.dropout), self.pairs.get(slots)[1])
         ends = np.r_[0, size.cumsum()][n.cumsum()] if len(n) else np.zeros(0, np.int64)
         return np.split(flat, ends[:-1]) if len(ends) else []
 
