@@ -85,6 +85,9 @@ class TextCNN:
             a = t[0][flat[:n]]
             for j in range(1, w):
                 a = a + t[j][flat[j : j + n]]
+            for j in range(1, w):  # windows that begin in a text's padding and reach into the next text are none of its own
+                last = start + size - j
+                a[last[last < n]] = -np.inf
             top = np.maximum.reduceat(a, start, axis=0)
             feats.append(np.maximum(top + self.shift[w], 0))
             places.append((a, top))
