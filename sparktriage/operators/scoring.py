@@ -22,12 +22,12 @@ def _stats(features: DataFrame) -> list[tuple[str, float, float, float]]:
 
 
 def robust_stats(features: DataFrame) -> DataFrame:
-    """feature, median, mad, std: fifteen rows."""
+    """feature, median, mad, std: fifteen rows. It runs jobs at once."""
     return features.sparkSession.createDataFrame(_stats(features), "feature string, median double, mad double, std double")
 
 
 def robust_scores(features: DataFrame) -> DataFrame:
-    """account_id, score: mean of clipped |x - median| / scale over the features, rounded so that equal rows tie. One narrow pass."""
+    """account_id, score: mean of clipped |x - median| / scale over the features, rounded so that equal rows tie. One narrow pass, after the jobs for the statistics, which run at once."""
     z = []
     for c, mid, mad, std in _stats(features):
         scale = MAD * mad if mad > 0 else std + EPS
@@ -44,7 +44,7 @@ def percentiles(scores: DataFrame) -> DataFrame:
     """account_id, score, percentile, is_flagged. Ties share the mean rank.
 
     Distinct scores are counted first; ranks are running sums of range-partitioned counts with an offset a partition,
-    so no task sorts all scores.
+    so no task sorts all scores. Their counts are written; that job runs at once.
     """
     spark = scores.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -97,7 +97,7 @@ def run_one(make: Callable[[], Strategy], cases: DataFrame) -> DataFrame:
 
 
 def run_all(cases: DataFrame, registry=None) -> tuple[DataFrame, dict[str, str]]:
-    """Union of all strategies' rows in the order of the registry, and the errors of those that failed, while planned or while run."""
+    """Union of all strategies' rows in the order of the registry, and the errors of those that failed, while planned or while run. Each is run at once."""
     out, errors = None, {}
     for make in registry or REGISTRY:
         try:
