@@ -6,7 +6,7 @@ independently reset, checksummed blocks; its row carries the ids and sizes of it
 Spark's Parquet writer, so any store it reaches will do, and each row can be read alone.
 
 Defined results: null or empty text is the end id alone; null doc_ids come first; repeated rows each have their ids, in
-order of their text's hash; the text may hold the tokenizer's special strings, which give their ids as the library has it;
+order of their text's hash; a tokenizer file that describes other words than those cut here is used through the library alone; the text may hold the tokenizer's special strings, which give their ids as the library has it;
 extra columns are ignored.
 """
 
@@ -41,6 +41,19 @@ MOST_WORDS = 700_000
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
 
 
+# fixed values: how the file of the tokenizer that is cut here describes its normalizer and its pattern
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cut_here(path: str) -> bool:
+    """True if the file describes the words that WordTokens cuts itself; texts for any other tokenizer go to the library whole."""
+    file = json.loads(Path(path).read_text())
+    pre = (file["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    held = (file["normalizer"] or {}).get("normalizers") == _NORMAL and pre[0].get("pattern") == {"Regex": _SPLIT} and [x.get("type") for x in pre[1:]] == ["ByteLevel"]
+    return held and file["model"]["type"] == "BPE" and not file["model"]["dropout"] and all(x["content"].startswith("<|") for x in file["added_tokens"])
+
+
 # fixed values: the tokenizer's pattern for ASCII, blanks left out, and characters that its byte map renames
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _CONTROL = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
@@ -75,7 +88,9 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.merges = Tokenizer.from_file(path), WordMerges(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), WordMerges(path) if cut_here(path) else None
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._reset()
 
@@ -106,6 +121,8 @@ class WordTokens:
         self.known = len(self.words)
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
+        if self.merges is None:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([r.decode() for r in raws], add_special_tokens=False)]
         if len(self.words) > MOST_WORDS:
             self._reset()
         cuts = list(map(self._units, raws))
@@ -168,7 +185,7 @@ def write_ids(documents: DataFrame, path: str | None = None, end: int = END, seg
     spark = documents.sparkSession
     shared_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = documents.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # a hot id is parted
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()),

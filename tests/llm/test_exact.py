@@ -215,6 +215,21 @@ def test_coder_round_trip(n):
             mixcoder.decode(bytes(hurt))
 
 
+def test_long_units():
+    """Letters without blanks: the agenda of long units gives what the definition gives, and skips one by one as it does all at once."""
+    rng = np.random.default_rng(3)
+    key, place, rank = np.array([0xDEADBEEF], np.uint32), rng.integers(0, 1 << 20, 5000), rng.integers(0, 1 << 15, 5000)
+    own = pieces.UnitSkips(key, 0.3)
+    assert [own.one(int(p), int(r)) for p, r in zip(place, rank, strict=True)] == own(place, rank).tolist() and 0.25 < own(place, rank).mean() < 0.35
+    enc = pieces.Encoder(public_tokenizers.path(pieces.MODEL), 0.2, 1)
+    letters = "".join(rng.choice(list("etaoinshrdluna\u00e9\u65e5"), 700).tolist())
+    for text in (letters, "a" * 333, "ab" * 90, "https://example.org/" + "x9-_" * 60, "=" * 49):
+        ids = enc.encode([text.encode()], [4])[0].tolist()
+        skip = pieces.UnitSkips(pieces.occurrence_keys(np.array([4], np.uint64), np.array([0]), 1), 0.2)
+        assert ids == plain_dropout(enc.v, enc.v.symbols([" " + text])[0].tolist(), skip.one)
+        assert enc.decode(np.array(ids)) == text.encode()
+
+
 def plain_dropout(v, symbols, skip):
     """Merge-dropout by the definition: the best pair of neighbours that is not skipped, leftmost first, until there is none."""
     row = [(s, k) for k, s in enumerate(symbols)]
@@ -290,6 +305,20 @@ def test_token_files_of_decomposed_capitals(spark):
         start += len(ids)
 
 
+def test_token_files_of_other_tokenizers_and_hot_ids(spark, texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert tokenfile.cut_here(public_tokenizers.path(tokenfile.MODEL)) and not tokenfile.cut_here(path)
+    some = [*texts[:9], "It's  A B\n C", "x <|endoftext|>"]
+    for r in tokenfile.read_ids(tokenfile.write_ids(docs(spark, some), path)).collect():
+        assert r.ids == [*tok.encode(some[r.doc_id] or "", add_special_tokens=False).ids, 1]
+    hot = spark.range(4000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), "id").alias("text")).union(spark.createDataFrame([(None, f"n{k}") for k in range(500)], "doc_id int, text string"))
+    files = tokenfile.write_ids(hot)
+    assert files.select("part").distinct().count() > 2
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in tokenfile.op10_token_ids(hot).collect())
+    assert len(got) == 4500 and [s for s, *_ in got] == [0, *np.cumsum([n for _, n, _ in got])[:-1].tolist()] and [d for *_, d in got] == [None] * 500 + [7] * 4000
+
+
 @pytest.mark.parametrize("shard", [150, 20, 16_384])
 def test_top_k(spark, shard):
     rng = np.random.default_rng(4)
