@@ -29,9 +29,20 @@ BLOCK = 256  # terms of a tile, about
 GROUPS = 512  # sources of a tile and side
 CELLS = 1 << 22  # values compared at once
 HELD = 1 << 18  # counts that a task holds
+PIECE = 1 << 22  # bytes of a text whose terms are listed at once
 _PARTS = bytes(c if chr(c) in LOWER or c > 127 else ord(LOWER[c - 65]) if chr(c) in UPPER else 32 for c in range(256))  # letters and blanks
 
 
+def _words(text: bytes, most: int = PIECE) -> Iterator[list[bytes]]:
+    """The terms of a text in lists of a bounded length; a long text is cut at blanks."""
+    text, lo = text.translate(_PARTS), 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + most)
+        hi = len(text) if hi < 0 else hi
+        yield text[lo:hi].split()
+        lo = hi
+
+
 def term_counts(documents: DataFrame, held: int = HELD) -> DataFrame:
     """lang, source, term, n, docs: occurrences and documents with the term, several rows for the same key; term '' once a task and source."""
 
@@ -47,13 +58,15 @@ def term_counts(documents: DataFrame, held: int = HELD) -> DataFrame:
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             for i, key in enumerate(keys):
-                words = b.column(2)[i].as_buffer().to_pybytes().translate(_PARTS).split()
                 if key not in n:
                     n[key], docs[key], size = Counter(), Counter(), size + 1
                 own = n[key]
                 size -= len(own)
-                own.update(words)
-                docs[key].update(set(words))
+                seen: set[bytes] = set()
+                for words in _words(b.column(2)[i].as_buffer().to_pybytes()):
+                    own.update(words)
+                    seen.update(words)
+                docs[key].update(seen)
                 size += len(own)
                 if size > held:
                     yield flushed(n, docs)

@@ -81,6 +81,15 @@ def test_divergence(spark, block, groups, held):
     assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == plain_divergence(rows, 8, 4)
 
 
+def test_long_texts_are_cut_at_blanks():
+    text = "The été, x" + "\u65e5" * 50 + " a1b " * 40
+    whole = [w for part in divergence._words(text.encode()) for w in part]
+    assert whole[:3] == [b"the", "été".encode(), b"x" + "\u65e5".encode() * 50] and len(whole) == 83
+    for most in (1, 7, 100):
+        assert [w for part in divergence._words(text.encode(), most) for w in part] == whole
+    assert list(divergence._words(b"")) == []
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.op12_divergence(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
