@@ -32,17 +32,26 @@ class Thresholds:
     last: int = 10_000
 
 
-def account_window(tx: DataFrame, last: int = 10_000, salts: int = 32) -> DataFrame:
-    """Legs of each account's last transactions; a self-transfer is one transaction of two legs, so ranks are dense.
+def account_window(tx: DataFrame, last: int | None = 10_000, salts: int = 32) -> DataFrame:
+    """Legs of each account's last transactions, all of them if last is None; a self-transfer is one transaction of two legs, so ranks are dense.
 
     The cut is made twice: by account and salt, so that a hub's legs are sorted in many tasks, then by account.
     """
-    rows = legs(tx).where("account is not null").withColumn("salt", F.pmod(F.hash("row_nr"), F.lit(salts)))
+    rows = legs(tx).where("account is not null")
+    if last is None:
+        return rows
+    rows = rows.withColumn("salt", F.pmod(F.hash("row_nr"), F.lit(salts)))
     recent = (F.desc("us"), F.desc("row_nr"))
     rows = rows.withColumn("k", F.dense_rank().over(Window.partitionBy("account", "salt").orderBy(*recent))).where(F.col("k") <= last)
     return rows.withColumn("k", F.dense_rank().over(Window.partitionBy("account").orderBy(*recent))).where(F.col("k") <= last).drop("k", "salt")
 
 
+def _until(rows: DataFrame, fired: DataFrame) -> DataFrame:
+    """The rows of each account's first firing: its row and those of the trailing day (ends included)."""
+    fire = fired.groupBy("account").agg(F.min(F.struct("us", "row_nr")).alias("hi"))
+    return rows.join(fire, "account").where((F.struct("us", "row_nr") <= F.col("hi")) & (F.col("us") >= F.col("hi.us") - DAY))
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rn in order of time, l0 the first rn of the trailing day (ends included)."""
     order = Window.partitionBy("account").orderBy("us", "row_nr")
@@ -70,7 +79,7 @@ def fan(window: DataFrame, side: str, t: Thresholds = Thresholds()) -> DataFrame
     Legs of a counterparty no more than a day apart make one episode. It counts from its first leg to a day after its last,
     so the distinct counterparties at a leg are the episodes begun less those that have ended: a running sum.
     """
-    rows = window.where(F.col("side") == side).where("cp is not null")
+    rows = window.where(F.col("side") == side).where("cp is not null and us is not null")
     own = Window.partitionBy("account", "cp").orderBy("us", "row_nr")
     apart = rows.select("account", "us", "row_nr", (F.col("us") - F.lag("us").over(own)).alias("gap"), (F.lead("us").over(own) - F.col("us")).alias("wait"))
     event = lambda on, us, kind, step: F.when(on, F.struct(us.alias("us"), F.lit(kind).alias("kind"), F.lit(step).alias("step")))
@@ -79,9 +88,7 @@ def fan(window: DataFrame, side: str, t: Thresholds = Thresholds()) -> DataFrame
     events = apart.select("account", "row_nr", F.explode(F.array_compact(both)).alias("e")).select("account", "row_nr", "e.*")
     sweep = Window.partitionBy("account").orderBy("us", "kind", "row_nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = events.withColumn("held", F.sum("step").over(sweep)).where((F.col("kind") == 0) & (F.col("held") >= t.fan))
-    fire = full.groupBy("account").agg(F.min(F.struct("us", "row_nr")).alias("hi"))
-    seen = rows.join(fire, "account").where((F.struct("us", "row_nr") <= F.col("hi")) & (F.col("us") >= F.col("hi.us") - DAY))
-    held = seen.groupBy("account").agg(F.array_sort(F.collect_set("cp")).alias("ids"), F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"))
+    held = _until(rows, full).groupBy("account").agg(F.array_sort(F.collect_set("cp")).alias("ids"), F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"))
     rule = "FAN_OUT_001" if side == "o" else "FAN_IN_001"
     return held.select(
         "account", F.lit(rule).alias("rule_id"), F.lit(2).alias("severity"), F.size("ids").cast("long").alias("n_counterparties"),
