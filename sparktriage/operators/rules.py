@@ -97,13 +97,17 @@ def fan(window: DataFrame, side: str, t: Thresholds = Thresholds()) -> DataFrame
 
 
 def passthrough(window: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Inbound followed within a day, both ends exclusive, by outbound of at least the ratio. A following range frame."""
-    after = Window.partitionBy("account").orderBy("us").rangeBetween(1, DAY - 1)
-    out = F.when(F.col("side") == "o", F.col("amount"))
-    rows = window.withColumn("out_sum", F.sum(out).over(after)).withColumn("out_n", F.count(out).over(after)).withColumn("out_end", F.max(F.when(F.col("side") == "o", F.col("timestamp"))).over(after))
-    fire = rows.where("side = 'i' and amount > 0 and out_n > 0").withColumn("ratio", F.col("out_sum") / F.col("amount")).where(F.col("ratio") >= t.pass_ratio)
-    order = Window.partitionBy("account").orderBy("us", "row_nr")
-    fire = fire.withColumn("k", F.row_number().over(order)).where("k = 1")
+    """Inbound followed within a day, both ends exclusive, by outbound of at least the ratio.
+
+    Legs meet by account and day, an inbound one in its own day and the next: a hub is dealt by days, and its inbound legs never meet each other.
+    """
+    day = (F.col("us") - F.pmod("us", F.lit(DAY))) / F.lit(DAY)
+    into = window.where("side = 'i' and amount > 0").withColumn("day", F.explode(F.array(day, day + 1))).select("account", "day", "us", "row_nr", "timestamp", "amount")
+    out = window.where("side = 'o'").select("account", day.alias("day"), F.col("us").alias("out_us"), F.col("amount").alias("out"), F.col("timestamp").alias("out_at"))
+    met = into.join(out, ["account", "day"]).where((F.col("out_us") > F.col("us")) & (F.col("out_us") < F.col("us") + DAY))
+    sums = met.groupBy("account", "us", "row_nr", "timestamp", "amount").agg(F.sum("out").alias("out_sum"), F.count(F.lit(1)).alias("out_n"), F.max("out_at").alias("out_end"))
+    fire = sums.withColumn("ratio", F.col("out_sum") / F.col("amount")).where(F.col("ratio") >= t.pass_ratio)
+    fire = fire.groupBy("account").agg(F.min(F.struct("us", "row_nr", "timestamp", "amount", "out_sum", "out_n", "out_end", "ratio")).alias("f")).select("account", "f.*")
     return fire.select(
         "account", F.lit("PASSTHROUGH_001").alias("rule_id"), F.lit(3).alias("severity"), F.round("amount", 4).alias("inbound_amount"), F.round("out_sum", 4).alias("outbound_sum"),
         F.round("ratio", 4).alias("ratio"), F.col("out_n").alias("n_outbound"), F.col("timestamp").alias("window_start"), F.col("out_end").alias("window_end"),
