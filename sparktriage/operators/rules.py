@@ -52,22 +52,12 @@ def _until(rows: DataFrame, fired: DataFrame) -> DataFrame:
     return rows.join(fire, "account").where((F.struct("us", "row_nr") <= F.col("hi")) & (F.col("us") >= F.col("hi.us") - DAY))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """rn in order of time, l0 the first rn of the trailing day (ends included)."""
-    order = Window.partitionBy("account").orderBy("us", "row_nr")
-    day = Window.partitionBy("account").orderBy("us").rangeBetween(-DAY, Window.currentRow)
-    return rows.withColumn("rn", F.row_number().over(order)).withColumn("l0", F.min("rn").over(day))
-
-
-def _first(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("account").orderBy("rn"))).where("k = 1").drop("k")
-
-
 def structuring(window: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    rows = _numbered(window.where((F.col("side") == "o") & (F.col("amount") >= t.band_low) & (F.col("amount") < t.band_high)))
-    fire = _first(rows.where(F.col("rn") - F.col("l0") + 1 >= t.struct_count)).select("account", F.col("l0").alias("lo"), F.col("rn").alias("hi"))
-    held = rows.join(fire, "account").where("rn between lo and hi").groupBy("account").agg(
-        F.count(F.lit(1)).alias("txn_count"), F.array_sort(F.collect_list(F.struct("rn", "amount"))).alias("a"), F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"),
+    """Amounts in the band, struct_count or more inside a trailing day: the leg so many places before is no more than a day older."""
+    rows = window.where((F.col("side") == "o") & (F.col("amount") >= t.band_low) & (F.col("amount") < t.band_high))
+    order = Window.partitionBy("account").orderBy("us", "row_nr")
+    held = _until(rows, rows.withColumn("back", F.lag("us", t.struct_count - 1).over(order)).where(F.col("us") - F.col("back") <= DAY)).groupBy("account").agg(
+        F.count(F.lit(1)).alias("txn_count"), F.array_sort(F.collect_list(F.struct("us", "row_nr", "amount"))).alias("a"), F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"),
     )
     amounts = F.array_join(F.transform("a", lambda x: F.format_number(x["amount"], 2)), ";")
     return held.select("account", F.lit("STRUCT_001").alias("rule_id"), F.lit(3).alias("severity"), "txn_count", amounts.alias("amounts"), "window_start", "window_end")
