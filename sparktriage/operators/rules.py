@@ -29,7 +29,7 @@ class Thresholds:
     struct_count: int = 3
     pass_ratio: float = 0.80
     fan: int = 5
-    last: int = 10_000
+    last: int | None = None  # transactions of an account that the rules see; None: all
 
 
 def account_window(tx: DataFrame, last: int | None = 10_000, salts: int = 32) -> DataFrame:
@@ -119,7 +119,7 @@ def corridor(profiles: DataFrame, tx: DataFrame, high_risk: tuple[str, ...] = HI
 def all_rules(tx: DataFrame, profiles: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
     """account, ord, rule_id, severity, window_start, window_end in the fixed rule order, for all accounts at once.
 
-    The cut to each account's last transactions is written once and read by every rule.
+    The legs, cut to each account's last transactions if t.last says so, are written once and read by every rule.
     """
     w = written(account_window(tx, t.last), "legs")
     parts = [structuring(w, t), passthrough(w, t), fan(w, "o", t), fan(w, "i", t)] + ([corridor(profiles, tx)] if profiles is not None else [])
