@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles of Jaccard similarity 0.8 or more: the one with the smallest id.
 
+    Candidates come from SimHash fingerprints, and beyond their radius from prefixes; whole sets of shingles decide.
     Texts without words (null, empty, blanks) are one group; null ids come after all others; of equal rows one stays.
     """
     return keep_dissimilar(docs)

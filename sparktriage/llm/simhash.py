@@ -42,9 +42,8 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     return np.fromiter([_HASH(joined[s:e], 42) for s, e in zip(start[:n].tolist(), end.tolist(), strict=True)], np.uint64, n)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of one text over its shingles of `width` words."""
-    h = shingle_hashes(text, width)
+def fingerprint_of(h: np.ndarray) -> int:
+    """SimHash of a text's shingle hashes, repeats included."""
     if not (n := len(h)):
         return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
@@ -52,6 +51,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of one text over its shingles of `width` words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(x) for x in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
@@ -198,16 +202,20 @@ def candidate_units(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> Data
     return met.select("combo", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fp")
 
 
+def fingerprint_links(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints (fp: long) to links (a, b) that span the components of those which differ in at most radius bits."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = candidate_units(fps, radius, block)
+    units = units.repartition(n, "combo", "key", "lo", "hi").sortWithinPartitions("combo", "key", "lo", "hi")
+    return units.mapInArrow(_linker(radius), "a long, b long")
+
+
 def near_components(documents: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """doc_id, hash of the text, fp (long), root (a fingerprint that names the component), component_id of every document row."""
-    spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = documents.select("doc_id").schema.add("hash", "long").add("fp", "long")
     docs = written(documents.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_fingerprints, schema), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    units = candidate_units(classes.select("fp"), radius, block)
-    units = units.repartition(n, "combo", "key", "lo", "hi").sortWithinPartitions("combo", "key", "lo", "hi")
-    roots = connected_components(units.mapInArrow(_linker(radius), "a long, b long"))
+    roots = connected_components(fingerprint_links(classes.select("fp"), radius, block))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("fp", "root", "component_id")

@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix-filtered candidates, checked sets, connected components.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles: candidates by fingerprint and by prefix, checked sets, connected components.
+
+Fingerprints of the shingles, compared bit-sliced in buckets as in simhash, propose the close pairs: at most RADIUS differing bits.
+Similar texts differ in up to 11 bits, and buckets for such a radius hold too many rows, so the prefixes below add every pair that is further
+apart. A proposed pair whose parity maps differ too much is dropped, and whole sets decide on all candidates alike.
 
 Texts of equal words are one node. In any one order of all shingles, two sets of similarity s share one of the first
 n - ceil(s n) + 1 of each, so only those are dealt out, and nodes that meet in no bucket have no partner. The order puts
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, keep_first, labelled_sample, written
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
-WIDTH, SIMILAR = 5, (4, 5)
+WIDTH, SIMILAR, RADIUS = 5, (4, 5), 3
 BLOCK, BITS = 2048, 1024
 HELD = 1_000_000  # shingles of a sub-block that is compared by whole sets
 SAMPLE, OFTEN, COMMON = 5_000, 4, 50_000
@@ -76,12 +80,14 @@ def _sketches(width: int, similar: tuple[int, int], common: np.ndarray, weight:
             if not raws:
                 continue
             node = np.array([_HASH(x) for x in raws], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(x, width)) for x in raws]
+            hashes = [shingle_hashes(x, width) for x in raws]
+            fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             firsts = [prefix(x, common, weight, similar) for x in sets]
             off = np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32)
             maps = pa.array([parity(x) for x in sets], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(firsts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), maps, lists], ["doc_id", "hash", "node", "n", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), maps, lists], ["doc_id", "hash", "node", "fp", "n", "parity", "prefix"])
 
     return run
 
@@ -206,6 +212,28 @@ def _linker(link, own=None):
     return run
 
 
+def _near_pairs(similar: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.array([2, 2])
+        for b in batches:
+            na, xa, nb, xb = (b.column(k).to_pylist() for k in range(2, 6))
+            near = [bool(link_maps([m, n], [x, y], both, similar)) for m, x, n, y in zip(na, xa, nb, xb, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def proposed_pairs(sketch: DataFrame, maps: DataFrame, radius: int = RADIUS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Links (a, b) of nodes that span the components of close fingerprints, less those that parity maps (node, n, parity) rule out."""
+    classes = written(sketch.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
+    same = sketch.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    end = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"node_{c}"))
+    near = fingerprint_links(classes.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b")
+    about = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    pairs = near.union(same).toDF("a", "b").distinct().join(about("a"), "a").join(about("b"), "b")
+    return pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(_near_pairs(similar), "a long, b long")
+
+
 def _dealt(met: DataFrame, about: DataFrame) -> DataFrame:
     """met(h, node, parts) with the columns that `about` has by node, dealt and sorted by unit and pair of sub-blocks."""
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -225,14 +253,14 @@ def _common(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.array([r["count"] for r in top], np.int64)[order]
 
 
-def similar_components(documents: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, block: int = BLOCK, held: int = HELD) -> DataFrame:
+def similar_components(documents: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, block: int = BLOCK, held: int = HELD, radius: int = RADIUS) -> DataFrame:
     """doc_id, hash of the text, node, root of every document row: rows of one root are linked by similar pairs."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     run = _sketches(width, similar, *_common(documents, width))
-    sketch = written(docs.mapInArrow(run, f"doc_id {id_type}, hash long, node long, n int, parity binary, prefix array<long>"), "sketches")
+    sketch = written(docs.mapInArrow(run, f"doc_id {id_type}, hash long, node long, fp long, n int, parity binary, prefix array<long>"), "sketches")
     rows = sketch.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("h"), "node")
     met = rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_buckets, "h long, node long, size long, x long, s long")
     met = written(met, "buckets")
@@ -240,7 +268,8 @@ def similar_components(documents: DataFrame, width: int = WIDTH, similar: tuple[
     met = met.join(once, "h", "left_semi").select("h", "node", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts"))
     maps = sketch.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     by_map = _linker(lambda unit, side: link_maps([r[0] for r in unit], [r[1] for r in unit], side, similar))
-    groups = written(connected_components(_dealt(met, maps).mapInArrow(by_map, "a long, b long")), "groups")
+    close = proposed_pairs(sketch, maps, radius, similar)
+    groups = written(connected_components(_dealt(met, maps).mapInArrow(by_map, "a long, b long").union(close)), "groups")
 
     parts_of = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(held))).cast("int")
     named = groups.join(groups.join(maps.select("node", "n"), "node").groupBy("root").agg(parts_of.alias("parts")), "root").select(F.col("root").alias("h"), "node", "parts")
