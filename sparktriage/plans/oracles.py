@@ -256,3 +256,5 @@ ORACLES: dict[str, str] = {
     "result_invariants": "SELECT framework, CAST(ord AS INTEGER) AS ord, (['count', 'duplicates', 'framework', 'empty', 'tokens', 'cost', 'missing', 'extra'])[ord] AS \"check\", 0::BIGINT AS bad FROM (SELECT unnest(['columns', 'sql', 'arrow']) AS framework), (SELECT unnest(range(1, 9)) AS ord)",
     "entity_triage": _triage(),
 }
+# the same without the cut to 50
+ORACLES["entity_chain_whole"] = ORACLES["entity_chain"].replace(HOP2, HOP2.replace(" WHERE k <= 50", ""))
